@@ -16,15 +16,22 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where a
-    session names none, as in tests on one machine.
+    A temporary one is set only where a session names none, as in tests on one machine.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getCheckpointDir()
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: a lost executor costs no more."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
