@@ -75,8 +75,8 @@ _SPANS = {
 def _kind_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
     return f"""
-  SELECT r, {number} AS number, '{kind}' AS kind, at AS start, at + len AS stop FROM (
-    SELECT r, len, size, sum(gap + before) OVER (PARTITION BY r ORDER BY i) AS at FROM (
+  SELECT r, {number} AS number, '{kind}' AS kind, pos AS start, pos + len AS stop FROM (
+    SELECT r, len, size, sum(gap + before) OVER (PARTITION BY r ORDER BY i) AS pos FROM (
       SELECT r, i, length(m[i]) AS len, length(t[i]) AS size, length(g[i]) AS gap, CASE WHEN i > 1 THEN length(m[i - 1]) ELSE 0 END AS before
       FROM (SELECT r, m, t, g, unnest(range(1, len(m) + 1)) AS i FROM (
         SELECT r, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS t, regexp_split_to_array(text, '{quoted}') AS g FROM d)))
