@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from draftlake.llm.common import cut, mixed, read, slices, text_or_empty, word_hashes
 
 SIMILARITY = 0.8
-#: Tokens are counted in so many buckets; the counts, a table of fixed size, go to every task.
+#: Tokens are counted in so many buckets, a power of two; the counts, a table of fixed size, go to every task.
 BUCKETS = 1 << 18
 #: Partners that a line proposes at first, the closest sketches; only lines that none of them
 #: settles propose all of theirs in a second turn.
@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) ->
             texts = batch.column(0).to_pylist()
             for part in slices(texts):
                 h = word_hashes(" ".join(texts[part]).encode("utf-8", "surrogatepass").split())
-                total += np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+                total += np.bincount((h & np.uint64(buckets - 1)).view(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -62,10 +62,9 @@ class Sets:
 
     def __init__(self, texts: list[str], rank: np.ndarray):
         self.doc, self.number, h, line = _tokens(texts)
-        buckets = np.uint64(len(rank))
+        bits = np.uint64((len(rank) - 1).bit_length())
         # The bucket's place by rarity in front, the rest of the hash behind.
-        shift = np.uint64(64 - (len(rank) - 1).bit_length())
-        token = (rank[(h % buckets).astype(np.int64)] << shift) | (h // buckets & ((np.uint64(1) << shift) - np.uint64(1)))
+        token = (rank[(h & np.uint64(len(rank) - 1)).view(np.int64)] << (np.uint64(64) - bits)) | (h >> bits)
         order = np.argsort(token)
         order = order[np.argsort(line[order], kind="stable")]
         token, line = token[order], line[order]
@@ -161,26 +160,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, only: np.ndarra
             a, b, d = i[good], j[good], apart[good]
             swap = (k[a] > k[b]) | ((k[a] == k[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (sets[a] > sets[b]))))
             earlier, later = np.where(swap, b, a), np.where(swap, a, b)
-            found.append((sets[later], sets[earlier], d, k[later], k[earlier]))
+            found.append((sets[later], sets[earlier], d, k[later], k[earlier], line[later], line[earlier]))
             if len(found) > 256:
                 found = [_closest(found, first)]
     if found:
-        later, earlier, apart, later_k, earlier_k = _closest(found, first)
+        later, earlier, _, *places = _closest(found, first)
         more = np.zeros(len(later), bool)
         if first is not None:
             counts = np.unique(later, return_inverse=True, return_counts=True)
             more = counts[2][counts[1]] > first
             rank = np.arange(len(later)) - np.searchsorted(later, later)
             keep = rank < first
-            later, earlier, later_k, earlier_k, more = (x[keep] for x in (later, earlier, later_k, earlier_k, more))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (later, earlier, later_k, earlier_k, more)], ["later", "earlier", "later_k", "earlier_k", "more"])
+            later, earlier, more, *places = (x[keep] for x in (later, earlier, more, *places))
+        names = ["later", "earlier", "later_k", "earlier_k", "later_line", "earlier_line", "more"]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (later, earlier, *places, more)], names)
 
 
 def _closest(found: list[tuple[np.ndarray, ...]], first: int | None) -> tuple[np.ndarray, ...]:
     """Distinct pairs by later set and distance; one more than ``first`` of each, to show the rest."""
-    later, earlier, apart, later_k, earlier_k = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((earlier, apart, later))
-    out = [x[order] for x in (later, earlier, apart, later_k, earlier_k)]
+    out = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.lexsort((out[1], out[2], out[0]))
+    out = [x[order] for x in out]
     new = np.append(True, (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1]))
     out = [x[new] for x in out]
     if first is not None:
@@ -205,39 +205,28 @@ def candidates(lines: DataFrame, counts, similarity: float, only: np.ndarray | N
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "set", "k", "line", "size", "place", "sketch")
     run = lambda batches: _pairs(batches, similarity, sent.value if sent else None, first)
-    return each.repartition("token", "low", "high").mapInArrow(run, "later long, earlier long, later_k long, earlier_k long, more boolean")
+    return each.repartition("token", "low", "high").mapInArrow(run, "later long, earlier long, later_k long, earlier_k long, later_line int, earlier_line int, more boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> DataFrame:
     """The later sets of pairs whose Jaccard similarity is high enough, from the lines themselves."""
-    spark = docs.sparkSession
-    both = pairs.select(F.col("later").alias("set"), F.col("later_k").alias("k")).unionByName(pairs.select(F.col("earlier").alias("set"), F.col("earlier_k").alias("k")))
-    both = cut(both.distinct())
-    keys = both.select("k").distinct()
-    if both.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-        wanted = spark.sparkContext.broadcast(np.unique(both.select("set").toPandas()["set"].to_numpy()))
-    else:
-        wanted = None
+    sides = [pairs.select(*(F.col(f"{side}{x}").alias(y) for x, y in (("", "set"), ("_k", "k"), ("_line", "line")))) for side in ("later", "earlier")]
+    wanted = cut(sides[0].unionByName(sides[1]).distinct())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            named, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for part in slices(texts):
                 s = Sets(texts[part], rank.value)
-                _, head = np.unique(s.set, return_index=True)
-                if wanted is not None:
-                    head = head[np.isin(s.set[head], wanted.value)]
-                keep = np.zeros(len(s.set), bool)
-                keep[head] = True
-                sizes = np.where(keep, s.size, 0)
-                values = s.token[np.repeat(keep, s.size)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), _split(values, sizes[keep])], ["set", "tokens"])
-
-    lines = docs.join(keys, "k", "left_semi").select("k", "t").mapInArrow(run, "set long, tokens array<long>")
-    if wanted is None:
-        lines = lines.join(both.select("set").distinct(), "set", "left_semi")
-    lines = cut(lines.groupBy("set").agg(F.first("tokens").alias("tokens")))
+                # Documents that share a key can have other lines at that place.
+                keep = s.set == named[part][s.doc]
+                yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), _split(s.token[np.repeat(keep, s.size)], s.size[keep])], ["set", "tokens"])
+
+    lines = docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("line", "x")).join(wanted, ["k", "line"])
+    lines = lines.select("set", "x").mapInArrow(run, "set long, tokens array<long>")
+    lines = lines.groupBy("set").agg(F.first("tokens").alias("tokens"))
     joined = pairs.join(lines.withColumnsRenamed({"set": "later", "tokens": "a"}), "later").join(lines.withColumnsRenamed({"set": "earlier", "tokens": "b"}), "earlier")
     common = F.size(F.array_intersect("a", "b"))
     return joined.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common) - 1e-9).select("later").distinct()
@@ -264,9 +253,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     lines = cut(line_sets(slim, rank, similarity))
 
     pairs = cut(candidates(lines, counts, similarity, None, FIRST))
-    gone = verified(pairs, slim, rank, similarity)
+    gone = cut(verified(pairs, slim, rank, similarity))
     open_sets = cut(pairs.where("more").select("later").distinct().join(gone, "later", "left_anti"))
-    gone = cut(gone)
     n = open_sets.count()
     if n:
         only = open_sets.toPandas()["later"].to_numpy() if n <= BROADCAST_ROWS else None
