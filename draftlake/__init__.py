@@ -1,0 +1 @@
+"""A PySpark engine for commercial-bill and document data."""
