@@ -9,17 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import cut, mixed, read, slices, text_or_empty, word_hashes
+from draftlake.llm.common import cut, mixed, read, shuffle_parts, slices, text_or_empty, word_hashes
 
 SIMILARITY = 0.8
 #: Tokens are counted in so many buckets, a power of two; the counts, a table of fixed size, go to every task.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+#: Sets of more tokens than this have a second sketch, which doubles the first one's places.
+LONG = 48
 #: Partners that a line proposes at first, the closest sketches; only lines that none of them
 #: settles propose all of theirs in a second turn.
-FIRST = 3
+FIRST = 4
 #: Rows of a token above which its group is split into blocks.
-HOT = 1 << 15
+HOT = 1 << 14
 BROADCAST_ROWS = 1_000_000
+BROADCAST_SETS = 100_000
+#: Pairs that a task gathers before it sorts them or gives them out.
+MOST_HELD = 200_000
 NO_KEY = -(2**63)
 
 
@@ -77,9 +82,13 @@ class Sets:
         m = mixed(self.token)
         if len(self.doc):
             self.set = mixed(np.add.reduceat(m, self.start)).view(np.int64)
-            self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (m >> np.uint64(58)), self.start).view(np.int64)
+            # Parities of the tokens in 64 places; of those in the first 64 of 128 places.
+            bit = np.uint64(1) << (m >> np.uint64(58))
+            self.sketch = np.bitwise_xor.reduceat(bit, self.start).view(np.int64)
+            half = np.bitwise_xor.reduceat(bit * (m & np.uint64(1)), self.start).view(np.int64)
+            self.half = np.where(self.size > LONG, half, 0)
         else:
-            self.set = self.sketch = np.zeros(0, np.int64)
+            self.set = self.sketch = self.half = np.zeros(0, np.int64)
 
 
 def _split(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -93,7 +102,7 @@ def _prefix(size: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, rank, similarity: float) -> DataFrame:
-    """(k, row, line, set, size, sketch, prefix) of every line with tokens of docs (k, row, t).
+    """(k, row, line, set, size, sketch, half, prefix) of every line with tokens of docs (k, row, t).
 
     prefix is empty where the same set came earlier in the same batch."""
 
@@ -112,36 +121,94 @@ def line_sets(docs: DataFrame, rank, similarity: float) -> DataFrame:
                 head[order] = np.append(True, s.set[order][1:] != s.set[order][:-1])
                 keep = np.where(head, _prefix(s.size, similarity), 0)
                 values = s.token[s.place < np.repeat(keep, s.size)]
-                arrays = [k[at], row[at], s.number.astype(np.int32), s.set, s.size.astype(np.int32), s.sketch]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), _split(values, keep)], ["k", "row", "line", "set", "size", "sketch", "prefix"])
+                arrays = [k[at], row[at], s.number.astype(np.int32), s.set, s.size.astype(np.int32), s.sketch, s.half]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), _split(values, keep)], ["k", "row", "line", "set", "size", "sketch", "half", "prefix"])
 
-    return docs.mapInArrow(run, "k long, row long, line int, set long, size int, sketch long, prefix array<long>")
+    return docs.mapInArrow(run, "k long, row long, line int, set long, size int, sketch long, half long, prefix array<long>")
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9).astype(np.int64)
 
 
+#: The columns of a row of a token, in the order in which they are packed.
+PACKED = {"token": "<u8", "low": "<i4", "high": "<i4", "side": "<i4", "set": "<i8", "k": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sketch": "<i8", "half": "<i8"}
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns byte by byte, all first bytes before all second ones, so that small numbers' zero
+    bytes stand together and shuffle files stay small."""
+    return b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, t in zip(columns, PACKED.values(), strict=True))
+
+
+def _unpacked(data: bytes, n: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for t in PACKED.values():
+        width = np.dtype(t).itemsize
+        part = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(part.T).view(t).reshape(n))
+        at += n * width
+    return out
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
+
+
+def _deal(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, parts: int, tokens: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(part, n, data): the batch's rows of tokens, packed by the part that they go to."""
+    bits = np.uint64((len(blocks) - 1).bit_length())
+    for batch in batches:
+        token, sizes = _lists(batch, "prefix")
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if tokens is not None:
+            keep = np.isin(token, tokens)
+            token, at, place = token[keep], at[keep], place[keep]
+        if not len(token):
+            continue
+        k, line, sets, size, sketch, half = (batch.column(batch.schema.get_field_index(c)).to_numpy()[at] for c in ("k", "line", "set", "size", "sketch", "half"))
+        n = blocks[(token >> (np.uint64(64) - bits)).view(np.int64)]
+        side = (mixed(sets.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+        again = np.repeat(np.arange(len(token)), n)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = np.minimum(side[again], other), np.maximum(side[again], other)
+        part = (mixed(mixed(token[again] + low.astype(np.uint64)) + high.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((token[again], part))
+        columns = [x[again][order] for x in (token, side, sets, k, line, size, place, sketch, half)]
+        columns = [columns[0], low[order], high[order], *columns[1:]]
+        part = part[order]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        end = np.append(begin[1:], len(part))
+        data = [_packed([c[i:j] for c in columns]) for i, j in zip(begin, end, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(data, pa.binary())], ["part", "n", "data"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, only: np.ndarray | None, first: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidates (later, set, more, k, set_k) among rows that share a token and blocks.
+    """Candidates (later, earlier, their keys and lines, more) among rows that share a token.
 
     Pairs pass the length filter, the positional filter, and the bound that the parity sketch sets
     to the sets' difference. Of each later set at most ``first`` partners are given, with whether
     there were more.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [_unpacked(d, n) for b in batches for n, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    if not held:
         return
-    token, low, high, side, sets, k, line, size, place, sketch = (table.column(i).to_numpy() for i in range(10))
+    token, low, high, side, sets, k, line, size, place, sketch, half = (np.concatenate(x) for x in zip(*held, strict=True))
+    del held
+    size, place = size.astype(np.int64), place.astype(np.int64)
     order = np.lexsort((line, k, sets, size, high, low, token))
-    token, low, high, side, sets, k, line, size, place, sketch = (x[order] for x in (token, low, high, side, sets, k, line, size, place, sketch))
+    token, low, high, side, sets, k, line, size, place, sketch, half = (x[order] for x in (token, low, high, side, sets, k, line, size, place, sketch, half))
     # One row for each set: its first line.
     new = np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (sets[1:] != sets[:-1]))
-    token, low, high, side, sets, k, line, size, place, sketch = (x[new] for x in (token, low, high, side, sets, k, line, size, place, sketch))
+    low, high, side, sets, k, line, size, place, sketch, half = (x[new] for x in (low, high, side, sets, k, line, size, place, sketch, half))
+    token = token[new]
     begins = np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
     group = np.cumsum(begins)
     asked = None if only is None else np.isin(sets, only)
     found: list[tuple[np.ndarray, ...]] = []
+    held_pairs = 0
     i, shift = np.arange(len(group)), 0
     while len(i):
         shift += 1
@@ -150,7 +217,10 @@ def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, only: np.ndarra
         near = (group[i] == group[j]) & (size[i] >= similarity * size[j] - 1e-9)
         i, j = i[near], j[near]
         need = _least_overlap(size[i], size[j], similarity)
-        apart = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).astype(np.int64)
+        one, two = sketch[i] ^ sketch[j], half[i] ^ half[j]
+        apart = np.bitwise_count(one.view(np.uint64)).astype(np.int64)
+        long = (size[i] > LONG) & (size[j] > LONG)
+        apart = np.where(long, np.bitwise_count(two.view(np.uint64)).astype(np.int64) + np.bitwise_count((one ^ two).view(np.uint64)), apart)
         good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
         good &= apart <= size[i] + size[j] - 2 * need
         good &= (low[i] == high[i]) | (side[i] != side[j])
@@ -161,19 +231,31 @@ def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, only: np.ndarra
             swap = (k[a] > k[b]) | ((k[a] == k[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (sets[a] > sets[b]))))
             earlier, later = np.where(swap, b, a), np.where(swap, a, b)
             found.append((sets[later], sets[earlier], d, k[later], k[earlier], line[later], line[earlier]))
-            if len(found) > 256:
+            if asked is not None:
+                wanted = asked[later]
+                found[-1] = tuple(x[wanted] for x in found[-1])
+            held_pairs += len(found[-1][0])
+            if held_pairs > MOST_HELD:
                 found = [_closest(found, first)]
+                if first is None:
+                    yield _named(found.pop(), None)
+                held_pairs = sum(len(x[0]) for x in found)
     if found:
-        later, earlier, _, *places = _closest(found, first)
-        more = np.zeros(len(later), bool)
-        if first is not None:
-            counts = np.unique(later, return_inverse=True, return_counts=True)
-            more = counts[2][counts[1]] > first
-            rank = np.arange(len(later)) - np.searchsorted(later, later)
-            keep = rank < first
-            later, earlier, more, *places = (x[keep] for x in (later, earlier, more, *places))
-        names = ["later", "earlier", "later_k", "earlier_k", "later_line", "earlier_line", "more"]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (later, earlier, *places, more)], names)
+        yield _named(_closest(found, first), first)
+
+
+def _named(found: tuple[np.ndarray, ...], first: int | None) -> pa.RecordBatch:
+    """The batch of pairs that ``_closest`` has ordered."""
+    later, earlier, _, *places = found
+    more = np.zeros(len(later), bool)
+    if first is not None:
+        counts = np.unique(later, return_inverse=True, return_counts=True)
+        more = counts[2][counts[1]] > first
+        rank = np.arange(len(later)) - np.searchsorted(later, later)
+        keep = rank < first
+        later, earlier, more, *places = (x[keep] for x in (later, earlier, more, *places))
+    names = ["later", "earlier", "later_k", "earlier_k", "later_line", "earlier_line", "more"]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (later, earlier, *places, more)], names)
 
 
 def _closest(found: list[tuple[np.ndarray, ...]], first: int | None) -> tuple[np.ndarray, ...]:
@@ -181,7 +263,8 @@ def _closest(found: list[tuple[np.ndarray, ...]], first: int | None) -> tuple[np
     out = [np.concatenate(x) for x in zip(*found, strict=True)]
     order = np.lexsort((out[1], out[2], out[0]))
     out = [x[order] for x in out]
-    new = np.append(True, (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1])
     out = [x[new] for x in out]
     if first is not None:
         rank = np.arange(len(out[0])) - np.searchsorted(out[0], out[0])
@@ -189,23 +272,54 @@ def _closest(found: list[tuple[np.ndarray, ...]], first: int | None) -> tuple[np
     return tuple(out)
 
 
-def candidates(lines: DataFrame, counts, similarity: float, only: np.ndarray | None, first: int | None) -> DataFrame:
-    """Candidate pairs of sets; a token that is very common is dealt out over pairs of blocks."""
+def block_counts(lines: DataFrame, buckets: int) -> np.ndarray:
+    """For each bucket, by rarity, into how many blocks its rows are dealt: one, unless they are
+    more than ``HOT``. Partitions name only buckets that could matter, so the table stays small."""
+    parts = lines.rdd.getNumPartitions()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        shift = np.uint64(64 - (buckets - 1).bit_length())
+        for batch in batches:
+            total += np.bincount((_lists(batch, "prefix")[0] >> shift).view(np.int64), minlength=buckets)
+        at = np.flatnonzero(total >= max(1, HOT // (4 * parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    rows = lines.select("prefix").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).toPandas()
+    out = np.ones(buckets, np.int64)
+    out[rows["bucket"].to_numpy()] = 1 + rows["n"].to_numpy() // HOT
+    return out
+
+
+def tokens_of(lines: DataFrame, only: np.ndarray) -> np.ndarray:
+    """The prefix tokens of the sets ``only``, a few for each."""
+    sent = lines.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, sizes = _lists(batch, "prefix")
+            keep = np.repeat(np.isin(batch.column(0).to_numpy(), sent.value), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[keep]).view(np.int64))], ["token"])
+
+    found = lines.select("set", "prefix").mapInArrow(run, "token long").distinct().toPandas()
+    return np.sort(found["token"].to_numpy().view(np.uint64))
+
+
+def candidates(lines: DataFrame, blocks, similarity: float, only: np.ndarray | None = None, first: int | None = None) -> DataFrame:
+    """Candidate pairs of sets; a token of very many rows is dealt out over pairs of blocks."""
     spark = lines.sparkSession
-    sent = spark.sparkContext.broadcast(only) if only is not None else None
-    each = lines.where(F.size("prefix") > 0).select("set", "k", "line", "size", "sketch", F.posexplode("prefix").alias("place", "token"))
-    # A token's rank names its bucket, whose count is a bound on the token's rows.
-    hot = {int(r): int(n) // HOT + 1 for r, n in enumerate(np.sort(counts)) if n >= HOT}
-    shift = 64 - (len(counts) - 1).bit_length()
-    coldest = min(hot, default=len(counts))
-    table = F.array(*(F.lit(hot[r]) for r in range(coldest, len(counts)))) if hot else F.array(F.lit(1))
-    rank = F.shiftrightunsigned("token", shift)
-    blocks = F.when(rank >= coldest, F.get(table, (rank - coldest).cast("int"))).otherwise(F.lit(1))
-    each = each.withColumn("blocks", blocks).withColumn("side", F.pmod("set", F.col("blocks")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "set", "k", "line", "size", "place", "sketch")
-    run = lambda batches: _pairs(batches, similarity, sent.value if sent else None, first)
-    return each.repartition("token", "low", "high").mapInArrow(run, "later long, earlier long, later_k long, earlier_k long, later_line int, earlier_line int, more boolean")
+    parts = 4 * shuffle_parts(spark)
+    asked = None if only is None else (only, tokens_of(lines, only))
+    sent = spark.sparkContext.broadcast(asked)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _deal(batches, blocks.value, parts, sent.value and sent.value[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs(batches, similarity, sent.value and sent.value[0], first)
+
+    each = lines.where(F.size("prefix") > 0).select("set", "k", "line", "size", "sketch", "half", "prefix").mapInArrow(deal, "part int, n int, data binary")
+    return each.repartition("part").mapInArrow(run, "later long, earlier long, later_k long, earlier_k long, later_line int, earlier_line int, more boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> DataFrame:
@@ -252,13 +366,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     rank = spark.sparkContext.broadcast(places)
     lines = cut(line_sets(slim, rank, similarity))
 
-    pairs = cut(candidates(lines, counts, similarity, None, FIRST))
+    blocks = spark.sparkContext.broadcast(block_counts(lines, len(counts)))
+    pairs = cut(candidates(lines, blocks, similarity, first=FIRST))
     gone = cut(verified(pairs, slim, rank, similarity))
     open_sets = cut(pairs.where("more").select("later").distinct().join(gone, "later", "left_anti"))
     n = open_sets.count()
     if n:
-        only = open_sets.toPandas()["later"].to_numpy() if n <= BROADCAST_ROWS else None
-        gone = cut(gone.unionByName(verified(cut(candidates(lines, counts, similarity, only, None)), slim, rank, similarity)).distinct())
+        only = open_sets.toPandas()["later"].to_numpy() if n <= BROADCAST_SETS else None
+        gone = cut(gone.unionByName(verified(cut(candidates(lines, blocks, similarity, only)), slim, rank, similarity)).distinct())
 
     firsts = lines.groupBy("set").agg(F.min(F.struct("k", "line", "row")).alias("first"))
     firsts = firsts.join(gone.withColumnRenamed("later", "set"), "set", "left_anti").select("set", "first")
