@@ -142,7 +142,7 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each document: (k, row, class, links).
+    """One row for each document: (k, row, root, class, links).
 
     Two documents are linked if the Jaccard similarity of their sets of word shingles is at least
     ``similarity``; class is the smallest key that a document is linked with, directly or through
@@ -154,7 +154,8 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     ``BLOCK`` so that no task gets a large group, and only sums for each set leave a task. Null,
     empty and blank texts have no shingles: no links, and a class of their own. Rows alike in key
     and text count as copies; a class of null keys alone is named by a hash; other columns are not
-    looked at; an empty table gives no rows.
+    looked at; an empty table gives no rows. Documents of one key and different texts can have one
+    class's name without being linked; root tells classes apart.
     """
     signed = cut(signatures(docs, key, text, width, depth_for(similarity)))
     sets = signed.where(F.col("set").isNotNull()).groupBy("set").agg(
@@ -192,9 +193,9 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     classed = sets.select("set", "k", "copies").join(totals, "set", "left").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     classed = classed.withColumn("root", F.coalesce("root", "set")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     names = classed.groupBy("root").agg(F.min("k").alias("class"))
-    classed = classed.join(names, "root").select("set", F.coalesce("class", "root").alias("class"), "links")
+    classed = classed.join(names, "root").select("set", "root", F.coalesce("class", "root").alias("class"), "links")
     return signed.select("k", "row", "set").join(classed, "set", "left").select(
-        "k", "row", F.coalesce("class", "k", "row").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
+        "k", "row", F.coalesce("root", "row").alias("root"), F.coalesce("class", "k", "row").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
     )
 
 
@@ -216,9 +217,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     repeated rows among them count as copies too.
     """
     found = cut(near_copies(docs, text, key))
-    first = found.groupBy("class").agg(F.min(F.struct("k", "row")).alias("first"))
-    rows = found.groupBy("row").agg(F.min("k").alias("k"), F.min("class").alias("class"), F.count("*").alias("n"))
-    flags = rows.join(first, "class").select(F.col("row").alias("__row"), (F.col("first.row") != F.col("row")).alias("__gone"), (F.col("n") > 1).alias("__many"))
+    first = found.groupBy("root").agg(F.min(F.struct("k", "row")).alias("first"))
+    rows = found.groupBy("row").agg(F.min("root").alias("root"), F.count("*").alias("n"))
+    flags = rows.join(first, "root").select(F.col("row").alias("__row"), (F.col("first.row") != F.col("row")).alias("__gone"), (F.col("n") > 1).alias("__many"))
     flags = cut(flags.where("__gone or __many"))
     if flags.count() <= BROADCAST_ROWS:
         flags = F.broadcast(flags)
