@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import cut, mixed, read, shuffle_parts, slices, text_or_empty, word_hashes
+from draftlake.llm.common import cut, mixed, read, shuffle_parts, slices, text_or_empty, tidy, word_hashes
 
 SIMILARITY = 0.8
 #: Tokens are counted in so many buckets, a power of two; the counts, a table of fixed size, go to every task.
@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) ->
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    each = docs.select(text_or_empty(text).alias("t")).mapInArrow(run, "bucket int, n long")
+    each = docs.select(text_or_empty(text).alias("t")).mapInArrow(tidy(run), "bucket int, n long")
     rows = each.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(buckets, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
@@ -124,7 +124,7 @@ def line_sets(docs: DataFrame, rank, similarity: float) -> DataFrame:
                 arrays = [k[at], row[at], s.number.astype(np.int32), s.set, s.size.astype(np.int32), s.sketch, s.half]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), _split(values, keep)], ["k", "row", "line", "set", "size", "sketch", "half", "prefix"])
 
-    return docs.mapInArrow(run, "k long, row long, line int, set long, size int, sketch long, half long, prefix array<long>")
+    return docs.mapInArrow(tidy(run), "k long, row long, line int, set long, size int, sketch long, half long, prefix array<long>")
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -285,7 +285,7 @@ def block_counts(lines: DataFrame, buckets: int) -> np.ndarray:
         at = np.flatnonzero(total >= max(1, HOT // (4 * parts)))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = lines.select("prefix").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).toPandas()
+    rows = lines.select("prefix").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).toPandas()
     out = np.ones(buckets, np.int64)
     out[rows["bucket"].to_numpy()] = 1 + rows["n"].to_numpy() // HOT
     return out
@@ -301,7 +301,7 @@ def tokens_of(lines: DataFrame, only: np.ndarray) -> np.ndarray:
             keep = np.repeat(np.isin(batch.column(0).to_numpy(), sent.value), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[keep]).view(np.int64))], ["token"])
 
-    found = lines.select("set", "prefix").mapInArrow(run, "token long").distinct().toPandas()
+    found = lines.select("set", "prefix").mapInArrow(tidy(run), "token long").distinct().toPandas()
     return np.sort(found["token"].to_numpy().view(np.uint64))
 
 
@@ -318,8 +318,8 @@ def candidates(lines: DataFrame, blocks, similarity: float, only: np.ndarray | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pairs(batches, similarity, sent.value and sent.value[0], first)
 
-    each = lines.where(F.size("prefix") > 0).select("set", "k", "line", "size", "sketch", "half", "prefix").mapInArrow(deal, "part int, n int, data binary")
-    return each.repartition("part").mapInArrow(run, "later long, earlier long, later_k long, earlier_k long, later_line int, earlier_line int, more boolean")
+    each = lines.where(F.size("prefix") > 0).select("set", "k", "line", "size", "sketch", "half", "prefix").mapInArrow(tidy(deal), "part int, n int, data binary")
+    return each.repartition("part").mapInArrow(tidy(run), "later long, earlier long, later_k long, earlier_k long, later_line int, earlier_line int, more boolean")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> DataFrame:
@@ -339,7 +339,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), _split(s.token[np.repeat(keep, s.size)], s.size[keep])], ["set", "tokens"])
 
     lines = docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("line", "x")).join(wanted, ["k", "line"])
-    lines = lines.select("set", "x").mapInArrow(run, "set long, tokens array<long>")
+    lines = lines.select("set", "x").mapInArrow(tidy(run), "set long, tokens array<long>")
     lines = lines.groupBy("set").agg(F.first("tokens").alias("tokens"))
     joined = pairs.join(lines.withColumnsRenamed({"set": "later", "tokens": "a"}), "later").join(lines.withColumnsRenamed({"set": "earlier", "tokens": "b"}), "earlier")
     common = F.size(F.array_intersect("a", "b"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import cut, mixed, read, text_or_empty, word_hashes
+from draftlake.llm.common import cut, mixed, read, text_or_empty, tidy, word_hashes
 from draftlake.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, depth: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), _lists(bands)], ["k", "row", "set", "bands"])
 
     kind = dict(docs.dtypes)[key]
-    return keyed(docs, key, text).mapInArrow(run, f"k {kind}, row long, set long, bands array<long>")
+    return keyed(docs, key, text).mapInArrow(tidy(run), f"k {kind}, row long, set long, bands array<long>")
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -178,7 +178,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
             parts = [shingles(t, width) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists(parts)], ["group", "size", "set", "copies", "shingles"])
 
-    full = texts.mapInArrow(shingled, "group long, size long, set long, copies long, shingles array<long>")
+    full = texts.mapInArrow(tidy(shingled), "group long, size long, set long, copies long, shingles array<long>")
     # Rows alike in key and text give one set more than once.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
@@ -186,7 +186,7 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "copies", "shingles")
     dealt = dealt.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "set")
-    found = cut(dealt.mapInArrow(lambda b: _compare(_once(b), similarity), "set long, links long, least long"))
+    found = cut(dealt.mapInArrow(tidy(lambda b: _compare(_once(b), similarity)), "set long, links long, least long"))
 
     totals = found.groupBy("set").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("set").alias("u"), F.col("least").alias("v")))

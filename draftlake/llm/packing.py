@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import cut, read, shuffle_parts
+from draftlake.llm.common import cut, read, shuffle_parts, tidy
 
 LIMIT = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "text", k
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.selectExpr(f"`{key}` as k", f"coalesce(`{text}`, '') as t")
-    return slim.mapInPandas(run, f"k {kind}, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInPandas(tidy(run), f"k {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the plan --------------------------------------------------------------------------------
