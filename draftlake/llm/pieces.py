@@ -25,7 +25,7 @@ class Pieces:
     best last piece, found from the positions at most a piece's length before it.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 150_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -45,15 +45,16 @@ class Pieces:
         #: Lengths of the pieces that end with two characters, the longest first.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.block = 4 * self.longest
-        self.most, self.known, self.stable = most, {}, {}
+        self.most, self.known, self.stable, self.split = most, {}, {}, {}
 
     # -- which neighbours are stable
 
-    def merged(self, text: str) -> list[str]:
-        """Merge neighbours, highest score first and leftmost among equals, until none can be."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """Merge neighbours, highest score first and leftmost among equals, until none can be or
+        ``least`` are left."""
         parts = list(text)
         score = self.score_of
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -64,15 +65,48 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, piece: str) -> list[str] | None:
+        """The two pieces that a piece is merged from; None if merging never makes it."""
+        if piece not in self.split:
+            parts = self.merged(piece, 2)
+            self.split[piece] = parts if len(parts) == 2 else None
+        return self.split[piece]
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether merging the text of two pieces gives the two again.
+
+        Undo merges, the latest first: the pair fails if what then touches at the border would
+        have merged before the piece that was just undone (among equals, the leftmost first).
+        """
+        score = self.score_of
+        limit, equal_too = -np.inf, False
+        a, b = (score[x] if len(x) > 1 else np.inf for x in (left, right))
+        while True:
+            s = score.get(left + right)
+            if s is not None and (s > limit or (equal_too and s == limit)):
+                return False
+            undo_left = a < b
+            if not undo_left and b == np.inf:
+                return True
+            parts = self.halves(left if undo_left else right)
+            if parts is None:
+                return False
+            if undo_left:
+                limit, equal_too, left = a, False, parts[1]
+                a = score[left] if len(left) > 1 else np.inf
+            else:
+                limit, equal_too, right = b, True, parts[0]
+                b = score[right] if len(right) > 1 else np.inf
+
     def fits(self, left: str, right: str) -> bool:
         if not left:
             return True
         pair = (left, right)
         known = self.stable.get(pair)
         if known is None:
-            if len(self.stable) > 4 * self.most:
+            if len(self.stable) > 2 * self.most:
                 self.stable.clear()
-            known = self.stable[pair] = self.merged(left + right) == [left, right]
+            known = self.stable[pair] = self.apart(left, right)
         return known
 
     # -- streaming Viterbi
@@ -215,7 +249,7 @@ def decode(ids: Column, path: str | None = None) -> Column:
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
         pieces = loaded(path)
-        return pa.array([None if x is None else pieces.decode(x) for x in lists.to_pylist()], pa.string())
+        return pa.array([pieces.decode(x.values.to_pylist()) if x.is_valid else None for x in lists], pa.string())
 
     return run(ids)
 
