@@ -17,6 +17,19 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 
 
+#: Lengths of a segment's beginning for which the best last pieces are kept, the longest first.
+BEGINNINGS = (9, 7, 5)
+
+
+class Coded(dict):
+    """A piece's id as four bytes; the ids of its UTF-8 bytes for a character without a piece."""
+
+    bytes: list[bytes]
+
+    def __missing__(self, piece: str) -> bytes:
+        return b"".join(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
+
+
 class Pieces:
     """A vocabulary whose pieces merge by score, as a model over neighbouring pieces.
 
@@ -41,11 +54,19 @@ class Pieces:
         ends: dict[str, set[int]] = {}
         for piece in self.id_of:
             if len(piece) > 1:
-                ends.setdefault(piece[-2:], set()).add(len(piece))
-        #: Lengths of the pieces that end with two characters, the longest first.
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        for end, lengths in ends.items():
+            if len(end) == 3 and end[1:] in self.id_of:
+                lengths.add(2)
+        #: Lengths of the pieces that end with three characters, the longest first; those of two
+        #: characters also stand under these.
         self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.coded = Coded({piece: i.to_bytes(4, "little") for piece, i in self.id_of.items()})
+        self.coded.bytes = [self.byte_ids[b].to_bytes(4, "little") for b in range(256)]
         self.block = 4 * self.longest
-        self.most, self.known, self.stable, self.split = most, {}, {}, {}
+        self.most, self.known, self.begun, self.split = most, {}, {}, {}
+        #: For each piece, which pieces may stand before it, as far as was asked.
+        self.before, self.asked = {piece: {} for piece in self.id_of}, 0
 
     # -- which neighbours are stable
 
@@ -99,15 +120,14 @@ class Pieces:
                 b = score[right] if len(right) > 1 else np.inf
 
     def fits(self, left: str, right: str) -> bool:
-        if not left:
-            return True
-        pair = (left, right)
-        known = self.stable.get(pair)
-        if known is None:
-            if len(self.stable) > 2 * self.most:
-                self.stable.clear()
-            known = self.stable[pair] = self.apart(left, right)
-        return known
+        """Whether ``right`` may follow ``left``; the answer is kept."""
+        if self.asked > 2 * self.most:
+            for known in self.before.values():
+                known.clear()
+            self.asked = 0
+        self.asked += 1
+        found = self.before.setdefault(right, {})[left] = not left or self.apart(left, right)
+        return found
 
     # -- streaming Viterbi
 
@@ -132,21 +152,41 @@ class Pieces:
 
     def extend(self, window: str, back: list[str | None], start: int) -> None:
         """Find the best last piece of every position after ``start``, the longest tried first."""
-        vocabulary, stable, lengths = self.id_of, self.stable, self.lengths
+        before_of, lengths = self.before, self.lengths
         for end in range(start + 1, len(window) + 1):
             last = None
-            for n in lengths.get(window[max(0, end - 2) : end], ()):
+            for n in lengths.get(window[end - 3 : end]) or lengths.get(window[end - 2 : end], ()):
                 if n <= end and (before := back[end - n]) is not None:
                     piece = window[end - n : end]
-                    if piece in vocabulary:
-                        known = stable.get((before, piece))
-                        if known or (known is None and self.fits(before, piece)):
+                    known = before_of.get(piece)
+                    if known is not None:
+                        fit = known.get(before)
+                        if fit or (fit is None and self.fits(before, piece)):
                             last = piece
                             break
-            if last is None and (before := back[end - 1]) is not None and self.fits(before, window[end - 1]):
-                last = window[end - 1]
+            if last is None and (before := back[end - 1]) is not None:
+                piece = window[end - 1]
+                fit = before_of.get(piece, {}).get(before)
+                if fit or (fit is None and self.fits(before, piece)):
+                    last = piece
             back.append(last)
 
+    def started(self, text: str) -> list[str | None]:
+        """The best last pieces of all positions of a short text, which do not depend on what
+        follows them: those of a beginning that came before are not looked for again."""
+        begun, back, start = self.begun, [""], 0
+        for n in BEGINNINGS:
+            if n < len(text) and (kept := begun.get(text[:n])):
+                back, start = [*kept], n
+                break
+        self.extend(text, back, start)
+        for n in BEGINNINGS:
+            if start < n < len(text):
+                if len(begun) > self.most // 4:
+                    begun.clear()
+                begun[text[:n]] = back[: n + 1]
+        return back
+
     def converged(self, back: list[str | None]) -> int:
         """The last boundary on the paths of all positions that may still be built on."""
         end = len(back) - 1
@@ -168,15 +208,6 @@ class Pieces:
             end -= len(back[end])
         return out[::-1]
 
-    def ids_of(self, pieces: Iterable[str]) -> list[int]:
-        out = []
-        for p in pieces:
-            if p in self.id_of:
-                out.append(self.id_of[p])
-            else:
-                out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-        return out
-
     # -- whole texts
 
     def segment(self, text: str) -> bytes:
@@ -185,7 +216,11 @@ class Pieces:
         if found is None:
             if len(self.known) > self.most:
                 self.known.clear()
-            found = self.known[text] = np.array(self.ids_of(self.stream(text[i : i + self.block] for i in range(0, len(text), self.block))), "<u4").tobytes()
+            if len(text) > self.block:
+                pieces = self.stream(text[i : i + self.block] for i in range(0, len(text), self.block))
+            else:
+                pieces = self.path(self.started(text), len(text))
+            found = self.known[text] = b"".join(map(self.coded.__getitem__, pieces))
         return found
 
     def encode(self, text: str) -> bytes:
@@ -249,7 +284,7 @@ def decode(ids: Column, path: str | None = None) -> Column:
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
         pieces = loaded(path)
-        return pa.array([pieces.decode(x.values.to_pylist()) if x.is_valid else None for x in lists], pa.string())
+        return pa.array([pieces.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.string())
 
     return run(ids)
 
