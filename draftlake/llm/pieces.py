@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +11,44 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import read, text_or_empty
+from draftlake.llm.common import read, slices, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 
 
-#: Lengths of a segment's beginning for which the best last pieces are kept, the longest first.
-BEGINNINGS = (9, 7, 5)
+#: Segments of so many characters are looked at together, so many at a time.
+SHORT, TOGETHER = 24, 1 << 15
+#: An odd multiplier for hashes of characters and for places in tables of 2^BITS slots.
+ODD, BITS = np.uint64(0x9E3779B97F4A7C15), 20
+
+
+def slot_of(keys: np.ndarray) -> np.ndarray:
+    return (keys * ODD) >> np.uint64(64 - BITS)
+
+
+class Table:
+    """The number of each of some 64-bit keys. Few share a slot; the second has a table of its own."""
+
+    def __init__(self, keys: np.ndarray):
+        slots, self.parts, left = slot_of(keys), [], np.arange(len(keys))
+        while len(left):
+            _, first = np.unique(slots[left], return_index=True)
+            key, number = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, -1, np.int32)
+            key[slots[left[first]]], number[slots[left[first]]] = keys[left[first]], left[first]
+            self.parts.append((key, number))
+            left = np.delete(left, first)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of ``keys``, -1 for a key that is not there."""
+        out, left, slots = np.full(len(keys), -1, np.int32), np.arange(len(keys)), slot_of(keys)
+        for key, number in self.parts:
+            there, s = key[slots[left]] == keys[left], slots[left]
+            out[left[there]] = number[s[there]]
+            left = left[~there & (number[s] >= 0)]
+            if not len(left):
+                break
+        return out
 
 
 class Coded(dict):
@@ -64,9 +94,10 @@ class Pieces:
         self.coded = Coded({piece: i.to_bytes(4, "little") for piece, i in self.id_of.items()})
         self.coded.bytes = [self.byte_ids[b].to_bytes(4, "little") for b in range(256)]
         self.block = 4 * self.longest
-        self.most, self.known, self.begun, self.split = most, {}, {}, {}
+        self.most, self.known, self.split = most, {}, {}
         #: For each piece, which pieces may stand before it, as far as was asked.
         self.before, self.asked = {piece: {} for piece in self.id_of}, 0
+        self.tables = None
 
     # -- which neighbours are stable
 
@@ -125,9 +156,11 @@ class Pieces:
             for known in self.before.values():
                 known.clear()
             self.asked = 0
-        self.asked += 1
-        found = self.before.setdefault(right, {})[left] = not left or self.apart(left, right)
-        return found
+        known = self.before.setdefault(right, {})
+        if left not in known:
+            self.asked += 1
+            known[left] = not left or self.apart(left, right)
+        return known[left]
 
     # -- streaming Viterbi
 
@@ -171,22 +204,6 @@ class Pieces:
                     last = piece
             back.append(last)
 
-    def started(self, text: str) -> list[str | None]:
-        """The best last pieces of all positions of a short text, which do not depend on what
-        follows them: those of a beginning that came before are not looked for again."""
-        begun, back, start = self.begun, [""], 0
-        for n in BEGINNINGS:
-            if n < len(text) and (kept := begun.get(text[:n])):
-                back, start = [*kept], n
-                break
-        self.extend(text, back, start)
-        for n in BEGINNINGS:
-            if start < n < len(text):
-                if len(begun) > self.most // 4:
-                    begun.clear()
-                begun[text[:n]] = back[: n + 1]
-        return back
-
     def converged(self, back: list[str | None]) -> int:
         """The last boundary on the paths of all positions that may still be built on."""
         end = len(back) - 1
@@ -211,48 +228,145 @@ class Pieces:
     # -- whole texts
 
     def segment(self, text: str) -> bytes:
-        """Ids of a segment on both of whose ends all paths converge, kept for the next time."""
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) > self.most:
-                self.known.clear()
-            if len(text) > self.block:
-                pieces = self.stream(text[i : i + self.block] for i in range(0, len(text), self.block))
-            else:
-                pieces = self.path(self.started(text), len(text))
-            found = self.known[text] = b"".join(map(self.coded.__getitem__, pieces))
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit numbers; a space is put before the text.
+        """Ids of a segment on both of whose ends all paths converge."""
+        return b"".join(map(self.coded.__getitem__, self.stream(text[i : i + self.block] for i in range(0, len(text), self.block))))
+
+    def prepare(self) -> None:
+        """Tables of pieces by a hash of their characters, and of pairs that were asked for."""
+        self.names = [*self.id_of, ""]
+        self.ids = np.fromiter(self.id_of.values(), "<u4", len(self.id_of))
+        codes, sizes = characters(self.names[:-1])
+        self.sizes = sorted(set(sizes.tolist()), reverse=True)
+        keys = hashes(codes, sizes)[sizes, np.arange(len(sizes))]
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        self.tables = Table(keys), np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, bool)
+
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for numbers of pieces. Answers are kept by slot, the latest one in each."""
+        _, pairs, answers = self.tables
+        n = len(self.names)
+        pair = left.astype(np.int64) * n + right
+        slots = slot_of(pair.view(np.uint64))
+        out, miss = answers[slots], np.flatnonzero(pairs[slots] != pair)
+        if len(miss):
+            new, at = np.unique(pair[miss], return_inverse=True)
+            found = np.fromiter((self.fits(self.names[x // n], self.names[x % n]) for x in new.tolist()), bool, len(new))
+            out[miss] = found[at]
+            slots = slot_of(new.view(np.uint64))
+            # Where two share a slot the same one must win in both tables.
+            slots, last = np.unique(slots, return_index=True)
+            pairs[slots], answers[slots] = new[last], found[last]
+        return out
+
+    def together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of short segments, the same way as ``extend`` but for all segments at each position.
+
+        A segment with a character that no piece has is left out.
+        """
+        if not self.tables:
+            self.prepare()
+        words.sort(key=len, reverse=True)
+        codes, sizes = characters(words)
+        begun, n = hashes(codes, sizes), len(words)
+        last, size = np.full((len(begun), n), -1, np.int32), np.zeros((len(begun), n), np.int8)
+        last[0] = len(self.names) - 1
+        for end in range(1, len(begun)):
+            rest = np.arange(np.searchsorted(-sizes, -end, "right"))
+            for k in self.sizes:
+                if k <= end and len(rest):
+                    rows = rest[last[end - k, rest] >= 0]
+                    found = self.tables[0].find(begun[end, rows] - begun[end - k, rows] * ODD ** np.uint64(k))
+                    rows, found = rows[found >= 0], found[found >= 0]
+                    fit = self.fit(last[end - k, rows], found)
+                    rows, found = rows[fit], found[fit]
+                    last[end, rows], size[end, rows] = found, k
+                    if len(rows):
+                        rest = rest[last[end, rest] < 0]
+        whole = np.flatnonzero(last[sizes, np.arange(n)] >= 0)
+        at, live, rows, found = sizes.copy(), whole, [], []
+        while len(live):
+            rows.append(live)
+            found.append(last[at[live], live])
+            at[live] -= size[at[live], live]
+            live = live[at[live] > 0]
+        if not rows:
+            return {}
+        row, number = np.concatenate(rows[::-1]), np.concatenate(found[::-1])
+        order = np.argsort(row, kind="stable")
+        number, row = number[order], row[order]
+        data, ends = self.ids[number].tobytes(), 4 * np.searchsorted(row, whole, "right")
+        words = [words[i] for i in whole.tolist()]
+        if "".join(map(self.names.__getitem__, number.tolist())) != "".join(words):
+            return {}  # a hash that stands for something else
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends.tolist()], ends.tolist())}
+
+    def segments(self, text: str) -> list[str]:
+        """A text's segments; a space is put before the text.
 
         No piece holds a space mark after another character, or a line break, so paths converge
         before each run of spaces and around each line break.
         """
+        out = []
         if not text:
-            return b""
-        known, out = self.known, []
+            return out
         for i, line in enumerate((" " + text.replace(SPACE, " ")).split("\n")):
             if i:
-                out.append(self.segment("\n"))
+                out.append("\n")
             first, *rest = line.split(" ")
             if first:
-                out.append(self.segment(first))
+                out.append(first)
+            if "  " not in line:
+                out += [SPACE + word for word in rest]
+                continue
             spaces = SPACE
             for j, word in enumerate(rest):
                 if word or j == len(rest) - 1:
-                    text_of = spaces + word
-                    out.append(known.get(text_of) or self.segment(text_of))
+                    out.append(spaces + word)
                     spaces = SPACE
                 else:
                     spaces += SPACE
-        return b"".join(out)
+        return out
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit numbers. What segments give is kept."""
+        each = [self.segments(t) for t in texts]
+        used = set().union(*each)
+        new = used.difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known = {s: self.known[s] for s in used if s in self.known}
+        short = [s for s in new if len(s) <= SHORT]
+        for i in range(0, len(short), TOGETHER):
+            self.known |= self.together(short[i : i + TOGETHER])
+        for s in new.difference(self.known):
+            self.known[s] = self.segment(s)
+        return [b"".join([self.known[s] for s in x]) for x in each]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
 
+def characters(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, a column for each, and the words' lengths."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.arange(sizes.max())[:, None] + (np.cumsum(sizes) - sizes)[None, :]
+    return flat[np.minimum(at, len(flat) - 1)], sizes
+
+
+def hashes(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """At [n, word] a hash of the word's first n characters, from which those of all its parts
+    follow."""
+    out = np.zeros((len(codes) + 1, len(sizes)), np.uint64)
+    for i, c in enumerate(codes):
+        out[i + 1] = out[i] * ODD + c + np.uint64(1)
+    return out
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -270,7 +384,8 @@ def encode(text: Column, path: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         pieces = loaded(path)
-        parts = [pieces.encode(t) for t in texts.to_pylist()]
+        texts = texts.to_pylist()
+        parts = [x for part in slices(texts) for x in pieces.encode_all(texts[part])]
         offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
