@@ -96,3 +96,123 @@ def dot(a: str | Column, b: str | Column) -> Column:
 def normalised(v: str) -> Column:
     length = F.sqrt(dot(v, v)) + F.lit(1e-8)
     return F.transform(v, lambda x: x.cast("double") / length)
+
+
+# Words that greet, the fields each intent looks at, tasks and titles of agent intents.
+GREETINGS = (
+    "你好|您好|hi|hello|hey|嗨|哈喽|早上好|下午好|晚上好|早安|晚安|在吗|在不在|有人吗|请问|能帮我吗|你是谁|你叫什么|你能做什么|你有什么功能"
+    "|帮个忙|问个问题|请教一下|咨询一下|想问问|介绍一下你自己|你好啊|你好呀|您好啊|您好呀"
+)
+INTENT_FIELDS = {
+    "INTENT_PRICING": ("acceptor", "ticket_type", "due_date", "amount_numeric"),
+    "INTENT_ENDORSER_CHECK": ("endorsers", "drawer", "payee"),
+    "INTENT_EXPIRY": ("due_date", "ticket_type", "issue_date"),
+    "INTENT_AML": ("amount_numeric", "drawer", "drawer_bank", "ticket_type"),
+    "INTENT_ELEMENT_CHECK": ("ticket_type", "acceptor", "issue_date", "due_date", "amount_numeric", "amount_text"),
+    "INTENT_HISTORY": ("ticket_number",),
+    "INTENT_BATCH_RISK": ("acceptor", "drawer", "amount_numeric"),
+    "INTENT_PLEDGE": ("ticket_type", "acceptor", "due_date", "amount_numeric", "endorsers"),
+}
+AGENT_TASKS = {
+    "INTENT_AGENT_ISSUANCE": "issuance_check", "INTENT_AGENT_DISCOUNT": "discount_apply", "INTENT_AGENT_ENDORSEMENT": "endorsement",
+    "INTENT_AGENT_FRAUD": "full_audit", "INTENT_AGENT_COMPLIANCE": "issuance_check", "INTENT_AGENT_FULL_AUDIT": "full_audit",
+}
+PURPOSE_LABELS = ("贸易背景：", "贸易背景:", "用途：", "用途:", "资金用途：")
+CLAUSE_LABELS = ("承兑条款：", "承兑条款:", "承兑条件：", "特别承兑条款：")
+REMARK_LABELS = ("其他记载事项：", "特殊事项：", "备注：", "备注:")
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def is_greeting(c: Column) -> Column:
+    text = stripped(c)
+    return (F.length(text) <= 30) & F.regexp_like(text, F.lit(rf"(?i)^({GREETINGS})([？?！!。,，、\s]+({GREETINGS}))*[？?！!。,，、\s]*$"))
+
+
+def is_specialized(intent: Column, confidence: Column) -> Column:
+    return F.coalesce(intent.isNotNull() & (confidence >= 0.75), F.lit(False))
+
+
+def is_off_topic(intent: Column, text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text has neither an intent nor one of a domain's words."""
+    hits = [F.contains(text, F.lit(w)) for w in words]
+    return intent.isNull() & ~F.coalesce(F.exists(F.array(*hits), lambda x: x), F.lit(False))
+
+
+def agent_task(intent: Column) -> Column:
+    out = F.lit("full_audit")
+    for name, task in AGENT_TASKS.items():
+        out = F.when(intent == name, task).otherwise(out)
+    return out
+
+
+def plain(field: str) -> Column:
+    """A field as text; null if it is null, empty or 0. Amounts have two decimals."""
+    if field == "amount_numeric":
+        return F.when(present_number(field), F.col(field).cast("decimal(20,2)").cast("string"))
+    if field == "endorsers":
+        return F.when(F.size(field) > 0, F.array_join(field, ","))
+    return F.when(present(field), F.col(field).cast("string"))
+
+
+def search_query(query: Column, intent: Column) -> Column:
+    """A query with the fields of the bill that its intent looks at, as field:value."""
+    out = query
+    for name, fields in INTENT_FIELDS.items():
+        named = [F.when(plain(f) != "null", F.concat(F.lit(f"{f}:"), plain(f))) for f in fields]
+        out = F.when(intent == name, F.concat_ws(" ", query, *named)).otherwise(out)
+    return out
+
+
+def fingerprint(*fields: str) -> Column:
+    """24 hex digits of a row's fields; a null and an empty field are alike."""
+    return F.substring(F.sha2(F.concat_ws("|", *(F.concat(F.lit(f"{f}="), F.coalesce(plain(f), F.lit(""))) for f in sorted(fields))), 256), 1, 24)
+
+
+def query_fingerprint(query: Column, bill: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", stripped(query), bill), 256), 1, 24)
+
+
+def labelled(c: Column, labels: tuple[str, ...], most: int) -> Column:
+    """What follows the first of the labels, in their order, up to the line's end; in the last line
+    at most ``most`` characters. Null without a label."""
+    out = F.lit(None).cast("string")
+    for label in reversed(labels):
+        at = F.instr(c, label)
+        rest = F.substring(c, at + len(label), F.length(c))
+        end = F.instr(rest, "\n")
+        out = F.when(at > 0, stripped(F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(F.substring(rest, 1, most)))).otherwise(out)
+    return out
+
+
+def stated_amount(c: Column) -> Column:
+    """The first amount in yuan of a contract; times 10,000 if 万元 stands within ten characters of
+    where its digits first occur."""
+    digits = F.regexp_extract(c, r"([\d,]+(?:\.\d+)?)\s*(?:万元|元整|元)", 1)
+    near = F.substring(c, F.position(digits, c), F.lit(10))
+    value = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
+    return F.when(digits != "", F.when(F.contains(near, F.lit("万元")), value * 10_000).otherwise(value))
+
+
+def json_block(c: Column) -> Column:
+    """From the first { to the last }; null without one."""
+    found = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found)
+
+
+def masked(c: Column) -> Column:
+    return F.concat(F.substring(c, 1, 4), F.lit("****"))
+
+
+def bill_text() -> Column:
+    """A bill as a sentence for the index."""
+    say = lambda f, default="未知": F.coalesce(plain(f), F.lit(default))
+    amount = F.format_number(F.coalesce("amount_numeric", F.lit(0.0)), 2)
+    parts = (
+        "票据号码 ", say("ticket_number"), " 的", say("ticket_type", "票据"), "，出票人：", say("drawer"), "（账号：", say("drawer_account"), "，开户行：", say("drawer_bank"),
+        "），承兑人：", say("acceptor"), "，付款行：", say("drawee_bank"), "，出票日期：", say("issue_date"), "，到期日：", say("due_date"), "，票面金额：", say("currency", "人民币"),
+        say("amount_text"), "（¥", amount, "），收款人：", say("payee"), "，背书人：[", F.when(F.size("endorsers") > 0, F.array_join("endorsers", "、")).otherwise("无"), "]",
+    )
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,65 @@ def retrieval_quality(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def with_reranked(hits: DataFrame, n: int = 5) -> DataFrame:
     """Without a scorer the order stays and the scores are 1, 1/2, 1/3, ..."""
     return hits.where(F.col("rank") <= n).withColumn("rerank_score", F.round(1.0 / F.col("rank"), 6))
+
+
+def sparse_search(queries: DataFrame, weights: DataFrame, k: int, dropped: float = 0.2) -> DataFrame:
+    """Per query and tenant the k chunks with the highest inner product of token weights.
+
+    Queries (query_id, token, weight) leave out their lowest weights, a fifth of them rounded
+    down; chunks are (tenant_id, chunk_id, token, weight).
+    """
+    low = Window.partitionBy("query_id").orderBy("weight", "token")
+    q = queries.withColumns({"r": F.row_number().over(low), "n": F.count("*").over(Window.partitionBy("query_id"))})
+    q = q.where(F.col("r") > F.floor(F.col("n") * dropped)).select("query_id", "token", F.col("weight").alias("qw"))
+    s = weights.join(q, "token").groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    best = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc("score"), "chunk_id")
+    return s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def hybrid_search(legs: dict[str, DataFrame], weights: dict[str, float], k: int = 20) -> DataFrame:
+    """Legs (query_id, tenant_id, chunk_id, rank from 1) fused per query and tenant; the best k."""
+    both = None
+    for name, leg in legs.items():
+        rows = leg.select(F.struct("query_id", "tenant_id").alias("query_id"), F.lit(name).alias("leg"), (F.col("rank") - 1).alias("rank"), F.col("chunk_id").alias("id"))
+        both = rows if both is None else both.unionByName(rows)
+    fused = rrf_fuse(both, weights).where(F.col("rank") <= k)
+    return fused.select("query_id.query_id", "query_id.tenant_id", F.col("id").alias("chunk_id"), "score", "rank")
+
+
+def ivf_search(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 128, nprobe: int = 16, sample: int = 50_000) -> DataFrame:
+    """The k best unit vectors for each query among the nprobe nearest of nlist cells.
+
+    Centres are fitted on about ``sample`` vectors; every vector is put into the cell of its
+    nearest centre. Only the centres, nlist rows, are known to all tasks.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = lambda df, name: df.withColumn(name, E.normalised("embedding"))
+    v = unit(vectors, "v").withColumn("features", array_to_vector("v"))
+    share = min(1.0, sample / max(1, vectors.count()))
+    model = KMeans(k=nlist, seed=1, maxIter=10).fit(v.sample(share, seed=1) if share < 1 else v)
+    cells = model.transform(v).select("chunk_id", "v", F.col("prediction").alias("cell"))
+    centres = np.stack(model.clusterCenters())
+
+    @F.pandas_udf("array<int>")
+    def nearest(q: pd.Series) -> pd.Series:
+        near = np.stack(q.to_list()) @ centres.T - (centres**2).sum(1) / 2
+        return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :nprobe].astype("int32")))
+
+    probes = unit(queries, "q").select("query_id", "q", F.explode(nearest("q")).alias("cell"))
+    s = probes.join(cells, "cell").select("query_id", "chunk_id", F.round(E.dot("q", "v"), 6).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def triage(queries: DataFrame, grades: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """How each query (query_id, query) is answered, by its text and the grade of its hits."""
+    j = queries.join(grades.select("query_id", "grade"), "query_id", "left")
+    text, intent = F.coalesce("query", F.lit("")), E.keyword_intent(F.col("query"))
+    kind = (
+        F.when(E.stripped(text) == "", "guide").when(E.is_greeting(text), "greeting").when(E.is_off_topic(intent, text, words), "off_topic")
+        .when(F.coalesce("grade", F.lit("INSUFFICIENT")) == "INSUFFICIENT", "transfer_human").when(F.col("grade") == "PARTIAL", "answer_with_note").otherwise("answer")
+    )
+    return j.select("query_id", F.coalesce(intent, F.lit("INTENT_UNKNOWN")).alias("intent_id"), kind.alias("outcome"))

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
 from draftlake.operators import audit as A
+from draftlake.operators import extraction as X
 from draftlake.operators import lifecycle as L
 from draftlake.operators import retrieval as R
+from draftlake.operators import reuse as U
 from draftlake.operators import stats as S
+from draftlake.operators import tasks as T
 from draftlake.operators.chunking import chunk_documents
 from draftlake.sources import domain as D
 
@@ -494,3 +497,196 @@ def rank_fusion(spark, d):
 @query(f"WITH {DENSE} SELECT query_id, chunk_id, rank, round(1.0 / rank, 6) AS rerank_score FROM dr WHERE rank <= 5")
 def reranked(spark, d):
     return R.with_reranked(_dense(spark, d, 20)).select("query_id", "chunk_id", "rank", "rerank_score")
+
+
+@query(
+    f"""WITH {INDEX}, q0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS token FROM benchmark),
+q1 AS (SELECT query_id, token, count(*) AS weight FROM q0 GROUP BY ALL),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight, token) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM q1),
+s AS (SELECT query_id, tenant_id, chunk_id, round(sum(weight * (tf / dl::DOUBLE)), 6) AS score FROM po JOIN q2 USING (token) WHERE r > floor(n * 0.2::DOUBLE) GROUP BY ALL),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT * FROM k WHERE rank <= 20"""
+)
+def sparse_search(spark, d):
+    return _sparse(spark, d)
+
+
+def _sparse(spark, d):
+    postings = R.bm25_index(_chunk_table(spark, d))[0]
+    weights = postings.select("tenant_id", "chunk_id", "token", (F.col("tf") / F.col("dl")).alias("weight"))
+    queries = D.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.tokens(F.col("text"))).alias("token"))
+    return R.sparse_search(queries.groupBy("query_id", "token").agg(F.count("*").alias("weight")), weights, 20)
+
+
+@query()
+def hybrid_search(spark, d):
+    return R.hybrid_search({"sparse": _sparse(spark, d), "bm25": _bm25(spark, d)}, {"sparse": 0.4, "bm25": 0.32})
+
+
+@query()
+def ivf_search(spark, d):
+    v = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return R.ivf_search(v.where(F.col("chunk_id") % 50 == 0).withColumnRenamed("chunk_id", "query_id"), v, 20)
+
+
+@query(
+    f"""WITH {SEARCH}, g AS (SELECT query_id, max(score) AS top1, count(*) FILTER (score >= 0.4) AS n FROM bm GROUP BY 1)
+SELECT item_id AS query_id, 'INTENT_UNKNOWN' AS intent_id, CASE WHEN regexp_matches(coalesce(text, ''), '^\\s*$') THEN 'guide' WHEN NOT contains(text, 'th') AND NOT contains(text, 'en') THEN 'off_topic'
+  WHEN top1 >= 0.75 AND n >= 2 THEN 'answer' WHEN top1 >= 0.55 AND n >= 1 THEN 'answer_with_note' ELSE 'transfer_human' END AS outcome FROM benchmark LEFT JOIN g ON item_id = query_id"""
+)
+def query_triage(spark, d):
+    queries = D.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.triage(queries, R.retrieval_quality(queries, _bm25(spark, d)), ("th", "en"))
+
+
+# ---- tasks, reuse and extraction --------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id % 8 AS tenant_id, user_id AS fingerprint, event_type, ts, value FROM events),
+j AS (SELECT r.event_id AS id, r.tenant_id, any_value(r.ts) AS asked, max(CASE WHEN s.ts IS NOT NULL THEN struct_pack(t := s.ts, v := s.value) END) AS b
+  FROM e r LEFT JOIN e s ON s.event_type = 'purchase' AND s.tenant_id = r.tenant_id AND s.fingerprint = r.fingerprint AND s.ts <= r.ts WHERE r.event_type = 'view' GROUP BY ALL)
+SELECT id, tenant_id, CASE WHEN asked - b.t <= INTERVAL 24 HOURS THEN b.v END AS result, coalesce(asked - b.t <= INTERVAL 24 HOURS, FALSE) AS reused FROM j"""
+)
+def reused_results(spark, d):
+    e = D.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 8).alias("tenant_id"), F.col("user_id").alias("fingerprint"), F.col("ts").alias("at"), F.col("value").alias("result"), "event_type")
+    return U.reuse_results(e.where("event_type = 'view'").drop("event_type", "result"), e.where("event_type = 'purchase'").drop("event_type", "id"), "intent")
+
+
+@query(
+    """WITH l AS (SELECT event_id AS id, user_id % 8 AS tenant_id FROM events),
+f AS (SELECT event_id - event_id % 3 AS id, user_id % 8 AS tenant_id, max(struct_pack(t := ts, s := 1 + event_id % 5)).s AS s FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT l.id, l.tenant_id, f.s AS feedback_score FROM l LEFT JOIN f ON l.id = f.id AND l.tenant_id = f.tenant_id"""
+)
+def log_feedback(spark, d):
+    e = D.table(spark, d, "events")
+    given = e.where("event_type = 'click'").select((F.col("event_id") - F.col("event_id") % 3).alias("id"), (F.col("user_id") % 8).alias("tenant_id"), (1 + F.col("event_id") % 5).alias("score"), F.col("ts").alias("at"))
+    return U.apply_feedback(D.query_logs(spark, d).select("id", "tenant_id"), given)
+
+
+@query(
+    """SELECT event_id AS id, concat_ws(',', CASE WHEN event_id % 7 NOT BETWEEN 1 AND 5 THEN 'score' END, CASE WHEN length(event_type) NOT BETWEEN 2 AND 2000 THEN 'query' END,
+  CASE WHEN user_id % 60 NOT BETWEEN 1 AND 50 THEN 'top_k' END) AS broken FROM events"""
+)
+def request_checks(spark, d):
+    e = D.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("feedback_score"), F.col("event_type").alias("query"), (F.col("user_id") % 60).alias("top_k"))
+    return U.broken_rules(e, U.request_rules()).select("id", F.array_join("broken", ",").alias("broken"))
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey) AS page,
+  CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS payee, CASE WHEN l_linestatus = 'F' THEN l_partkey END AS drawer,
+  [CAST(l_partkey % 5 AS VARCHAR), '', CAST(l_suppkey % 3 AS VARCHAR)] AS es FROM lineitem WHERE l_discount > 0.02),
+e AS (SELECT l_orderkey, x, min(p) AS p FROM (SELECT l_orderkey, unnest(es) AS x, page * 3 + unnest([1, 2, 3]) AS p FROM m) WHERE x <> '' GROUP BY ALL),
+a AS (SELECT l_orderkey, string_agg(x, '|' ORDER BY p) AS endorsers FROM e GROUP BY 1)
+SELECT l_orderkey AS bill_id, min_by(payee, CASE WHEN payee IS NOT NULL THEN page END) AS payee, min_by(drawer, CASE WHEN drawer IS NOT NULL THEN page END) AS drawer, any_value(endorsers) AS endorsers
+FROM m JOIN a USING (l_orderkey) GROUP BY 1"""
+)
+def merged_pages(spark, d):
+    text = lambda c, n: (F.col(c) % n).cast("string")
+    pages = D.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("bill_id"), "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", (F.col("l_discount") > 0.02).alias("is_bill_found"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("payee"), F.when(F.col("l_linestatus") == "F", F.col("l_partkey")).alias("drawer"),
+        F.array(text("l_partkey", 5), F.lit(""), text("l_suppkey", 3)).alias("endorsers"),
+    )
+    merged = X.merge_pages(pages, "bill_id", F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"), ("payee", "drawer"))
+    return merged.withColumn("endorsers", F.array_join("endorsers", "|"))
+
+
+@query(
+    f"""WITH {BILLS}, c AS (SELECT bill_id, round((6 + (issue_date IS NOT NULL)::INT + (due_date IS NOT NULL)::INT + (coalesce(amount_numeric, 0) <> 0)::INT
+  + (coalesce(drawer, '') <> '')::INT + 2 * (coalesce(acceptor, '') <> '')::INT + (coalesce(payee, '') <> '')::INT) / 13.0::DOUBLE, 3) AS confidence FROM bills)
+SELECT bill_id, confidence, confidence < 0.70 AS is_low FROM c"""
+)
+def extraction_confidence(spark, d):
+    return X.extraction_confidence(D.bills(spark, d)).select("bill_id", "confidence", "is_low")
+
+
+@query(
+    """WITH e AS (SELECT doc_id, avg(length(x) % 100 / 100.0::DOUBLE) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '' GROUP BY 1)
+SELECT d.doc_id, round(coalesce(CASE WHEN n_chars % 3 = 0 THEN 0.9::DOUBLE END, m, 1.0), 6) AS confidence FROM documents d LEFT JOIN e USING (doc_id)"""
+)
+def document_confidence(spark, d):
+    docs = D.table(spark, d, "documents")
+    elements = text_elements(spark, d).select("doc_id", (F.length("content") % 100 / 100.0).alias("confidence"))
+    return X.doc_confidence(docs.select("doc_id", F.when(F.col("n_chars") % 3 == 0, 0.9).alias("stated_confidence")), elements)
+
+
+@query("SELECT o_custkey AS task_id, max_by(o_orderkey, struct_pack(f := o_orderstatus = 'F', t := o_orderdate, k := o_orderkey)) AS report_id FROM orders GROUP BY 1")
+def current_reports(spark, d):
+    o = D.table(spark, d, "orders")
+    return T.current_report(o.select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("report_id"), (F.col("o_orderstatus") == "F").alias("is_final"), F.col("o_orderdate").alias("created_at")))
+
+
+TASK_TYPES = tuple(T.PLANS)
+
+
+def _typed(key):
+    return F.element_at(F.array(*map(F.lit, TASK_TYPES)), (F.col(key) % len(TASK_TYPES) + 1).cast("int"))
+
+
+_SIZES = ", ".join(f"({i}, {len(p)})" for i, p in enumerate(T.PLANS.values()))
+
+
+@query(
+    f"""WITH n(k, size) AS (VALUES {_SIZES}), m AS (SELECT l_orderkey AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey) AS step FROM lineitem)
+SELECT task_id, CAST(step AS INTEGER) AS step_index, round(step / size::DOUBLE * 100, 1) AS progress_pct FROM m JOIN n ON k = task_id % 8 WHERE step <= 5"""
+)
+def task_progress(spark, d):
+    m = D.flow_messages(spark, d).where("step_index <= 5").select(F.col("flow_task_id").alias("task_id"), "step_index")
+    return T.progress(m.withColumn("task_type", _typed("task_id")))
+
+
+_NODES = ", ".join(
+    f"({i}, {s}, {j}, '{node}', {str(node in T.CRITICAL or (node == 'contract_review' and name == 'discount_apply')).upper()})"
+    for i, (name, plan) in enumerate(T.PLANS.items())
+    for s, step in enumerate(plan)
+    for j, node in enumerate(step)
+)
+_FAILING = ("document_parser", "fraud_detection", "contract_review", "compliance_retrieval", "endorsement_chain", "risk_assessment", "report_generation", "bill_issuance", "none", "none", "none")
+
+
+@query(
+    f"""WITH n(k, step, place, node, critical) AS (VALUES {_NODES}),
+t AS (SELECT o_orderkey AS task_id, o_orderkey % 8 AS k, ({list(_FAILING)!r})[o_orderkey % 11 + 1] AS bad FROM orders),
+s AS (SELECT task_id, t.k, bad, min(CASE WHEN critical AND node = bad THEN step END) AS stop FROM t JOIN n USING (k) GROUP BY ALL)
+SELECT task_id, ({list(TASK_TYPES)!r})[s.k + 1] AS task_type, coalesce(string_agg(node, ',' ORDER BY step, place) FILTER (node <> bad AND (stop IS NULL OR step <= stop)), '') AS produced, stop IS NOT NULL AS failed
+FROM s JOIN n USING (k) GROUP BY task_id, s.k, stop"""
+)
+def audit_plan(spark, d):
+    o = D.table(spark, d, "orders").withColumnRenamed("o_orderkey", "task_id")
+    bad = F.element_at(F.array(*map(F.lit, _FAILING)), (F.col("task_id") % len(_FAILING) + 1).cast("int"))
+    tasks = T.audit_plan(o.select("task_id", _typed("task_id").alias("task_type"), F.array(bad).alias("failed_nodes")))
+    return tasks.withColumn("produced", F.array_join("produced", ","))
+
+
+@query(
+    f"""WITH {AUDITED}, i AS (SELECT o_custkey AS batch_id, o_orderkey AS bill_id FROM orders UNION ALL SELECT o_custkey, -o_orderkey FROM orders WHERE o_orderkey % 50 = 0),
+w AS (SELECT batch_id, bill_id, risk_level, CASE WHEN l.ticket_number IS NULL THEN 'no bill' WHEN due_date IS NULL THEN 'no due date' WHEN coalesce(amount_numeric, 0) <= 0 THEN 'no amount' END AS error_msg FROM i LEFT JOIN levelled l USING (bill_id))
+SELECT batch_id, bill_id, CASE WHEN error_msg IS NULL THEN 'completed' ELSE 'failed' END AS status, error_msg, CASE WHEN error_msg IS NULL THEN risk_level END AS risk_level FROM w"""
+)
+def batch_audit(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("bill_id"))
+    lost = o.where(F.col("bill_id") % 50 == 0).withColumn("bill_id", -F.col("bill_id"))
+    return T.batch_audit(o.unionByName(lost), _audit(spark, d).select("bill_id", "due_date", "amount_numeric", "risk_level"))
+
+
+_SAY = "coalesce(nullif({}, ''), '未知')"
+
+
+@query(
+    f"""WITH {BILLS} SELECT bill_id, '票据号码 ' || ticket_number || ' 的' || ticket_type || '，出票人：' || {_SAY.format('drawer')} || '（账号：6222000000000000000，开户行：银行），承兑人：' || {_SAY.format('acceptor')}
+  || '，付款行：' || {_SAY.format('acceptor')} || '，出票日期：' || {_SAY.format('issue_date')} || '，到期日：' || {_SAY.format('due_date')} || '，票面金额：人民币壹百万元整（¥' || format('{{:,.2f}}', coalesce(amount_numeric, 0))
+  || '），收款人：' || {_SAY.format('payee')} || '，背书人：[' || CASE WHEN len(endorsers) > 0 THEN array_to_string(endorsers, '、') ELSE '无' END || ']' AS content FROM bills"""
+)
+def bill_texts(spark, d):
+    return D.bills(spark, d).select("bill_id", E.bill_text().alias("content"))
+
+
+@query(
+    f"""WITH {BILLS} SELECT bill_id, substr(sha256('acceptor=' || coalesce(acceptor, '') || '|amount_numeric=' || CASE WHEN coalesce(amount_numeric, 0) = 0 THEN '' ELSE CAST(CAST(amount_numeric AS DECIMAL(20, 2)) AS VARCHAR) END
+  || '|drawer=' || coalesce(drawer, '') || '|due_date=' || coalesce(due_date, '') || '|endorsers=' || array_to_string(endorsers, ',') || '|ticket_number=' || ticket_number), 1, 24) AS fingerprint,
+  concat_ws(' ', 'q', 'acceptor:' || nullif(acceptor, ''), 'ticket_type:' || ticket_type, 'due_date:' || due_date, 'amount_numeric:' || CASE WHEN amount_numeric <> 0 THEN CAST(CAST(amount_numeric AS DECIMAL(20, 2)) AS VARCHAR) END) AS search_query FROM bills"""
+)
+def bill_fingerprints(spark, d):
+    b = D.bills(spark, d)
+    return b.select("bill_id", E.fingerprint("ticket_number", "drawer", "acceptor", "due_date", "amount_numeric", "endorsers").alias("fingerprint"), E.search_query(F.lit("q"), F.lit("INTENT_PRICING")).alias("search_query"))

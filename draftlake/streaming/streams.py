@@ -68,3 +68,28 @@ def limited(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
 
     r = requests.select("id", "tenant_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"))
     return r.groupBy("tenant_id").applyInPandasWithState(admit, "id long, tenant_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def into_uploads(uploads: DataFrame, path: str, checkpoint: str):
+    """Keep a stream of bill uploads, each batch in a folder that a repeated batch overwrites;
+    versions and records are then read from the whole: ``lifecycle.records(read(path))``."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return uploads.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def into_chunks(elements: DataFrame, chunked, path: str, checkpoint: str):
+    """Chunk arriving elements (doc_id, ...) with ``chunked`` and keep them. Documents that other
+    batches hold are left out, so a document that is sent again changes nothing."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number:
+            schema = "doc_id long, batch long"
+            known = spark.read.schema(schema).option("basePath", path).option("ignoreMissingFiles", "true").parquet(path)
+            batch = batch.join(known.where(F.col("batch") < number).select("doc_id").distinct(), "doc_id", "left_anti")
+        chunked(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return elements.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)

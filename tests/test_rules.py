@@ -6,7 +6,10 @@ from draftlake.functions import exprs as E
 from draftlake.operators import audit as A
 from draftlake.operators import chunking as C
 from draftlake.operators import retrieval as R
+from draftlake.operators import reuse as U
 from draftlake.operators import stats as S
+from draftlake.operators import tasks as T
+from draftlake.sources import chunk_store as K
 from draftlake.streaming import streams as X
 
 BILL = "bill_id long, tenant_id int, ticket_number string, ticket_type string, drawer string, payee string, acceptor string, endorsers array<string>, confidence_score double"
@@ -96,3 +99,52 @@ def test_limiter_stream(spark, tmp_path):
     q = X.limited(stream, 2, 4).writeStream.format("memory").queryName("lim").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert [r.admitted for r in spark.sql("select * from lim order by id").collect()] == [True, True, False, False, True, True, False, False, True, True]
+
+
+def test_labels_amounts_and_greetings(spark):
+    rows = [("用途：货款\n备注： 无", "合同金额 1,200.5万元 整", "您好，请问"), ("x", "共 300元", "贴现利率"), (None, None, None), ("用途：" + "长" * 150, "无", "hi" * 20)]
+    df = spark.createDataFrame(rows, "t string, c string, q string")
+    got = df.select(E.labelled(F.col("t"), E.PURPOSE_LABELS, 100), E.labelled(F.col("t"), E.REMARK_LABELS, 200), E.stated_amount(F.col("c")), E.is_greeting(F.col("q"))).collect()
+    assert [tuple(r) for r in got] == [("货款", "无", 12_005_000.0, True), (None, None, 300.0, False), (None, None, None, None), ("长" * 100, None, None, False)]
+
+
+def test_json_and_masks(spark):
+    df = spark.createDataFrame([('say {"a": {"b": 1}} end', "6222000011112222"), ("none", None)], "t string, a string")
+    assert [tuple(r) for r in df.select(E.json_block(F.col("t")), E.masked(F.col("a"))).collect()] == [('{"a": {"b": 1}}', "6222****"), (None, None)]
+
+
+def test_reused_within_its_lifetime(spark):
+    r = spark.sql("select 1L id, 1 tenant_id, 'f' fingerprint, timestamp'2024-01-01 04:00:00' at union all select 2L, 1, 'f', timestamp'2024-01-01 04:00:01' union all select 3L, 2, 'f', timestamp'2024-01-01 01:00:00'")
+    s = spark.sql("select 1 tenant_id, 'f' fingerprint, timestamp'2024-01-01 00:00:00' at, 'kept' result")
+    got = {x.id: (x.result, x.reused) for x in U.reuse_results(r, s, "audit").collect()}
+    assert got == {1: ("kept", True), 2: (None, False), 3: (None, False)}
+
+
+def test_markdown_of_rows(spark):
+    rows = spark.createDataFrame([(1, 1, ["1", None]), (1, 0, ["a", "b"])], "doc_id long, row_idx int, cells array<string>")
+    assert K.rows_to_markdown(rows, "doc_id").first()["markdown"] == "| a | b |\n| --- | --- |\n| 1 |  |"
+
+
+def test_files_and_stored_chunks(spark, tmp_path):
+    for name in ("b.PDF", "a.docx", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    files = K.with_md5(K.scan_files(spark, str(tmp_path))).collect()
+    assert [f.path.rpartition("/")[2] for f in files] == ["a.docx", "b.PDF"]
+    assert files[0].md5_hash == "9dd4e461268c8034f5c8564e155c67a6"
+    new = spark.createDataFrame([(1, 0), (1, 1), (1, 1)], "doc_id long, chunk_index int")
+    assert K.missing(new, new.where("chunk_index = 0"), "doc_id", "chunk_index").count() == 1
+
+
+def test_critical_failure_ends_a_task(spark):
+    t = spark.createDataFrame([(1, "full_audit", ["compliance_retrieval"]), (2, "discount_apply", ["contract_review"]), (3, "other", None)], "task_id int, task_type string, failed_nodes array<string>")
+    got = {r.task_id: (len(r.produced), r.failed) for r in T.audit_plan(t).collect()}
+    assert got == {1: (4, True), 2: (5, True), 3: (8, False)}
+
+
+def test_streams_into_tables(spark, tmp_path):
+    rows = spark.sql("select id as doc_id, 0 as element_idx, repeat('word ', 60) as content, 'text' as element_type from range(3)")
+    for i in range(2):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    X.into_chunks(stream, C.chunk_documents, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
