@@ -68,7 +68,7 @@ class Pieces:
     best last piece, found from the positions at most a piece's length before it.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -152,7 +152,7 @@ class Pieces:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``right`` may follow ``left``; the answer is kept."""
-        if self.asked > 2 * self.most:
+        if self.asked > self.most:
             for known in self.before.values():
                 known.clear()
             self.asked = 0
@@ -251,7 +251,8 @@ class Pieces:
         out, miss = answers[slots], np.flatnonzero(pairs[slots] != pair)
         if len(miss):
             new, at = np.unique(pair[miss], return_inverse=True)
-            found = np.fromiter((self.fits(self.names[x // n], self.names[x % n]) for x in new.tolist()), bool, len(new))
+            names = self.names
+            found = np.fromiter((x // n == n - 1 or self.apart(names[x // n], names[x % n]) for x in new.tolist()), bool, len(new))
             out[miss] = found[at]
             slots = slot_of(new.view(np.uint64))
             # Where two share a slot the same one must win in both tables.
@@ -385,7 +386,7 @@ def encode(text: Column, path: str | None = None) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         pieces = loaded(path)
         texts = texts.to_pylist()
-        parts = [x for part in slices(texts) for x in pieces.encode_all(texts[part])]
+        parts = [x for part in slices(texts, 1 << 21) for x in pieces.encode_all(texts[part])]
         offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
