@@ -108,9 +108,22 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return both >= similarity * union - 1e-6
 
 
+def smallest(hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each set the smallest id among those it is linked with, directly or through others here.
+
+    ``hit`` is symmetric, with an empty diagonal."""
+    least = ids
+    while True:
+        near = np.where(hit, least[None, :], least[:, None]).min(axis=1)
+        if (near == least).all():
+            return least
+        least = near
+
+
 def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Groups of rows (group, low, high, block, set, copies, shingles), in order: one row for each
-    set that has a link: its linked copies here, and the smallest set it is linked with here."""
+    set that has a link: its linked copies here, and the smallest set of its component here. These
+    edges span the links of the block, so no component falls apart."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         low, high = rows[0][1], rows[0][2]
@@ -122,9 +135,9 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         if low != high:
             hit &= sides[:, None] != sides[None, :]
         links = hit @ weight
-        least = np.where(hit, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+        least = smallest(hit, ids)
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(np.minimum(least, ids)[some])], ["set", "links", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(least[some])], ["set", "links", "least"])
 
     now, rows = None, []
     for batch in batches:

@@ -95,6 +95,42 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert {r["class"] for r in got} == {5} and {r.links for r in got} == {19}
 
 
+def brute_classes(rows):
+    sets, root = [set(neighbours.shingles(t).tolist()) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                root = [root[j] if r == root[i] else r for r in root]
+    return {k: min(q for (q, _), s in zip(rows, root, strict=True) if s == r) for (k, _), r in zip(rows, root, strict=True)}
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_neighbours_classes_of_stars_and_chains(spark, monkeypatch, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    r, texts = random.Random(5), []
+    for g in range(3):
+        base = [f"g{g}v{r.randrange(900)}" for _ in range(100)]
+        star = [list(base) for _ in range(16)]
+        for i, x in enumerate(star):
+            x[4 + 5 * i], x[9 + 5 * i] = f"e{i}", f"f{i}"
+        chain = [[f"h{g}v{r.randrange(900)}" for _ in range(60)]]
+        for i in range(20):
+            chain.append(list(chain[-1]))
+            chain[-1][5 * i % 60 + 2] = f"c{i}"
+        texts += [" ".join(x) for x in [base, *star, *chain]]
+    r.shuffle(texts)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    want, links = brute_classes([x[:2] for x in rows]), brute_links([x[:2] for x in rows])
+    assert len(set(want.values())) == 6 and min(links) < 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = neighbours.near_copies(docs).collect()
+    assert {x.k: x["class"] for x in got} == want and {x.k: x.links for x in got} == dict(enumerate(links))
+    kept = corpus_pipeline.neighbours(spark, docs, DATA).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(want.values()))
+
+
 def test_neighbours_keep_one(docs, none):
     kept = neighbours.keep_one(docs)
     assert kept.columns == docs.columns
