@@ -18,8 +18,6 @@ from draftlake.llm.common import read
 
 #: Labelled rows that training may fetch, for each class.
 SAMPLE = 3_000
-#: Characters of each sampled text that training reads; scoring reads whole texts.
-SAMPLE_CHARS = 6_000
 WINDOW = 60  # bytes, cut at spaces
 GRAM = 5
 DICTIONARY = 8_192
@@ -163,7 +161,7 @@ def calibrated(gains: list[float], toxic: list[int]) -> tuple[tuple[float, ...],
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled texts of each class, those of smallest hash.
 
-    The dictionaries learn from two thirds of the sample, the thresholds from the rest. Rows whose
+    Texts are read whole, as scoring reads them. The dictionaries learn from two thirds of the sample, the thresholds from the rest. Rows whose
     crc32(doc_id) mod 4 is 2 are held out: neither learns from them. A document with several labels
     is toxic if one says so; null labels, ids and texts are left out. Without toxic labels the
     model scores everything near 0.
@@ -173,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     picked = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     # At most 2 * sample ids: small enough for every task.
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t")).where(F.col("t").isNotNull())
+    texts = docs.select("doc_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
     found = texts.join(ids, "doc_id").select("doc_id", "y", "t").orderBy(F.xxhash64("doc_id", "t")).limit(3 * sample).collect()
     return fit([(r["t"], int(r["y"])) for r in found])
 

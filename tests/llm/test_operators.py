@@ -272,6 +272,20 @@ def test_toxicity_held_out():
     assert sum(p and y for p, y in found) >= 0.5 * sum(y for _, y in found)
 
 
+def test_toxicity_learns_from_ends_of_long_texts(spark):
+    r = random.Random(6)
+    plain = lambda n: " ".join(r.choice(VOCABULARY) + r.choice("abcdefgh") for _ in range(n))
+    bad = lambda: " ".join(r.choice(["frobnicator", "grumblewort", "snarkelbast", "zwackelmann"]) for _ in range(12))
+    rows = [(i, f"{plain(1400)} {bad()}" if i % 3 == 0 else plain(1400)) for i in range(240)]
+    assert min(len(t) for _, t in rows) > 6_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    scorer = toxicity.Scorer(model)
+    held = [(scorer.score(t) >= toxicity.CUT, i % 3 == 0) for i, t in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(p and y for p, y in held) >= 0.9 * sum(y for _, y in held) > 0
+    assert not any(p and not y for p, y in held)
+
+
 def test_toxicity_awkward(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
