@@ -110,6 +110,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
 
 
 def op7_topk(spark, sf_dir):
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("double"))
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id", whole.alias("embedding"))
+    # floor gives a long, also of NaN and infinity: such rows go before it.
+    sound = usable(read(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    whole = F.transform("v", lambda x: F.floor(x * 1024).cast("double"))
+    vectors = sound.select(F.col("k").alias("vec_id"), whole.alias("embedding"))
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))

@@ -227,6 +227,17 @@ def test_top_k_as_brute_force(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_query_without_odd_vectors(spark, tmp_path):
+    r = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(r.normal(size=(120, 8)))]
+    odd = [(i, [x] + [0.5] * 7) for i, x in ((200, float("nan")), (201, float("inf")), (202, float("-inf")), (203, None))]
+    for name, some in (("odd", rows + odd), ("sound", rows)):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(some, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    got, want = ({tuple(x) for x in topk.op7_topk(spark, str(tmp_path / name)).collect()} for name in ("odd", "sound"))
+    assert len(want) == 20 and got == want
+
+
 def brute_repeats(words):
     w = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     n = Counter(w)
