@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from draftlake.llm.common import read
 
 #: (from so many UTF-8 bytes, least and greatest ratio of compressed to plain bytes). The ratio
-#: falls as a text grows, so each length has its own band; shorter texts have no verdict.
-BANDS = ((300, 0.34, 0.95), (1_000, 0.30, 0.85), (4_000, 0.27, 0.75), (16_000, 0.25, 0.70))
-#: The same for each fixed chunk; a text is rejected if half of its chunks or more lie outside.
-CHUNK, CHUNK_BAND = 4_096, (0.27, 0.75)
+#: falls as a text grows, so each length has its own band.
+BANDS = ((0, 0.35, 1.5), (150, 0.35, 0.90), (300, 0.34, 0.95), (1_000, 0.30, 0.85), (4_000, 0.27, 0.75), (16_000, 0.25, 0.70))
+#: The same for fixed chunks of these bytes; what is left over belongs to the last chunk. A text of
+#: one chunk or more is rejected if half of its chunks of one size, or more, lie outside.
+CHUNKS = ((1_024, 0.30, 0.75), (4_096, 0.27, 0.75))
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 
@@ -39,7 +40,13 @@ def repeat_words(words: list[bytes], width: int = 5) -> int:
     return int((np.cumsum(hit[:-1]) > 0).sum())
 
 
-def measures(text: str, squeeze, bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND) -> tuple:
+def parts(raw: bytes, size: int) -> list[bytes]:
+    """Chunks of ``size`` bytes, the last one with what is left over; none of a shorter text."""
+    starts = range(0, len(raw) - size + 1, size)
+    return [raw[i : i + size] if i + 2 * size <= len(raw) else raw[i:] for i in starts]
+
+
+def measures(text: str, squeeze, bands=BANDS, chunks=CHUNKS) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
@@ -47,11 +54,14 @@ def measures(text: str, squeeze, bands=BANDS, chunk: int = CHUNK, chunk_band=CHU
     repeated = repeat_words(words)
     failed = n < 10 or 100 * repeated > 20 * n
     whole = len(squeeze(raw)) / len(raw) if raw else 1.0
-    parts = [raw[i : i + chunk] for i in range(0, len(raw), chunk)] if len(raw) >= 2 * chunk else []
-    low, high = chunk_band
-    outside = sum(not low <= len(squeeze(x)) / len(x) <= high for x in parts if len(x) == chunk)
     band = _band(len(raw), bands)
-    good = (band is None or band[0] <= whole <= band[1]) and 2 * outside <= len(parts)
+    good = band is None or band[0] <= whole <= band[1]
+    outside = 0
+    for size, low, high in chunks:
+        pieces = parts(raw, size)
+        here = sum(not low <= len(squeeze(x)) / len(x) <= high for x in pieces)
+        good = good and not (pieces and 2 * here >= len(pieces))
+        outside += here
     return (
         n,
         len(text) - sum(map(text.count, SPACE.decode())),
@@ -71,6 +81,7 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def quality(docs: DataFrame, text: str = "text", key: str = "doc_id", level: int = 3, bands=BANDS) -> DataFrame:
     """Word, line and symbol counts and the verdict of the compression bands, a row for each row.
 
+    chunks_outside counts the chunks of all sizes that lie outside their bands.
     Null text counts as empty: no words, base_failed, not kept. Texts of any length are measured
     whole, one at a time. Rows are independent, so ties, repeated rows and empty tables need no
     rule; other columns are not looked at.

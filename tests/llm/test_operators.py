@@ -259,6 +259,21 @@ def test_quality_counts(spark, docs, none):
     assert quality.quality(none).count() == 0
 
 
+def test_quality_junk_in_part_of_a_text():
+    r = random.Random(4)
+    squeeze = quality.zstandard.ZstdCompressor(level=3, write_content_size=False).compress
+    kept = lambda t: quality.measures(t, squeeze)[6]
+    words = ["".join(r.choice("etaoinshrdlucm") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))[:n]
+    junk = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    assert all(kept(prose(n)) for n in (200, 700, 1500, 3000, 7000, 12_287, 30_000))
+    assert not kept(prose(3072) + junk(4096))
+    assert not kept(prose(8192) + junk(8192))
+    assert not kept(prose(8192) + junk(9192))
+    assert not kept(prose(60) + " " + junk(230))
+    assert [len(x) for x in quality.parts(b"x" * 3000, 1024)] == [1024, 1976] and quality.parts(b"x" * 9, 10) == []
+
+
 def test_shards(spark, docs, none):
     for df in (texts(spark), docs):
         got = sharding.shard_by_bytes(df, 4).collect()
