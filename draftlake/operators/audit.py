@@ -75,15 +75,16 @@ def endorsement_edges(bills: DataFrame) -> DataFrame:
     return chain.select("bill_id", "tenant_id", F.posexplode(pairs).alias("position", "e")).select("bill_id", "tenant_id", "position", "e.src", "e.dst")
 
 
-def has_cycle(edges: DataFrame, key: str = "graph_key", most: int = 64) -> DataFrame:
+def has_cycle(edges: DataFrame, key: str = "graph_key") -> DataFrame:
     """(key, has_cycle) for each graph of an edge table (key, src, dst).
 
-    Edges into nodes without edges out are taken away again and again; what is left has a cycle.
-    Every few rounds the edges go to the checkpoint folder, which the session must name.
+    Edges into nodes without edges out are taken away until no more go; what is left has a cycle.
+    That takes a round for each edge of the longest path that ends. In every round the edges go to
+    the checkpoint folder, which the session must name.
     """
     keys = edges.select(key).distinct()
     left, n = edges.select(key, "src", "dst").distinct(), None
-    for turn in range(most):
+    while True:
         ahead = left.select(key, F.col("src").alias("dst")).distinct()
         left = left.join(ahead, [key, "dst"], "left_semi").checkpoint()
         now = left.count()

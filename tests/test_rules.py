@@ -41,6 +41,12 @@ def test_cycles(spark, tmp_path):
     assert {r.graph_key: r.has_cycle for r in A.has_cycle(e).collect()} == {"c": True, "l": False}
 
 
+def test_long_chain_has_no_cycle(spark):
+    rows = [("l", f"n{i}", f"n{i + 1}") for i in range(70)] + [("c", f"n{i}", f"n{i + 1}") for i in range(5)] + [("c", "n5", "n2")]
+    e = spark.createDataFrame(rows, "graph_key string, src string, dst string")
+    assert {r.graph_key: r.has_cycle for r in A.has_cycle(e).collect()} == {"c": True, "l": False}
+
+
 def test_flow_levels(spark):
     times = [29_999, 30_000, 59_999, 60_000, 119_999, 120_000, 299_999, 300_000]
     m = spark.createDataFrame([(i, 1, t, False, "success") for i, t in enumerate(times)], "flow_task_id long, step_index int, processing_ms long, is_anomaly boolean, status string")
