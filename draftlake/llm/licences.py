@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from draftlake.llm.common import read, text_or_empty
@@ -23,6 +23,8 @@ SAMPLE = 2_000
 VARIANTS = 30
 MOST_GRAMS = 4_096
 SURE, ALIKE = 0.5, 0.6
+#: Words of a window, half of which it shares with the next: more than any template has.
+SPAN = 64
 OTHER = "other"
 
 # Usual notices of each licence family.
@@ -166,36 +168,69 @@ def train(spark: SparkSession, others: list[str], templates=TEMPLATES) -> Model:
 def scan(docs: DataFrame, model: Model, templates=TEMPLATES, text: str = "text", key: str = "doc_id", sure: float = SURE, alike: float = ALIKE) -> DataFrame:
     """Licence paragraphs: (key, paragraph, family, probability, similarity), one row for each.
 
-    A paragraph is a line, numbered from 0. Its n-grams that the model knows (at most
-    ``MOST_GRAMS``, sent to all tasks) are looked up and summed by paragraph; the likeliest family
-    counts if its probability is ``sure`` or more and a template of it shares ``alike`` or more of
-    the template's known n-grams. Null and empty texts have no paragraphs; the whole of a long text
-    is read; repeated rows each give their rows; null keys are kept; other columns are not looked at.
+    Lines are scored, numbered from 0, and windows of ``SPAN`` words over the whole text, for notices
+    wrapped over lines or within long ones. N-grams that the model knows (at most ``MOST_GRAMS``,
+    sent to all tasks) are looked up and summed by line and window. A family counts if a template of
+    it shares ``alike`` or more of the template's known n-grams, also of those that no closer
+    family's template explains, and if its probability is ``sure`` or more, families that count
+    besides it left aside. A window's family gives a row only where none of its lines has that
+    family; windows in a row are one, named by the line where the notice begins. Null and empty
+    texts have no paragraphs; the whole of a long text is read; repeated rows each give their rows;
+    null keys are kept; other columns are not looked at.
     """
     spark = docs.sparkSession
     n = len(model.families)
-    table = spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, w array<double>")
-    known = {f: [[g for g in grams(words(t)) if g in model.weights] for t in texts] for f, texts in templates.items()}
-    table_of = spark.createDataFrame([(f, [x for x in lists if x]) for f, lists in known.items()], "family string, templates array<array<string>>")
-
-    lines = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("paragraph", "x"))
-    w = F.regexp_extract_all(F.lower("x"), F.lit(WORD), 0)
-    lines = lines.select("k", "row", "paragraph", w.alias("w")).where(F.size("w") > 0)
-    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    each = lines.select("k", "row", "paragraph", F.explode(F.array_distinct(F.concat("w", pairs))).alias("gram"))
+    table = spark.createDataFrame([(g, list(w)) for g, w in model.weights.items()], "gram string, weights array<double>")
+    known = {f: [x for t in texts if (x := [g for g in grams(words(t)) if g in model.weights])] for f, texts in templates.items()}
+    table_of = spark.createDataFrame([(f, model.families.index(f), lists) for f, lists in known.items()], "family string, at int, templates array<array<string>>")
+    fewest = min((alike * len(x) for lists in known.values() for x in lists), default=0)
+
+    split = F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    each = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), split.alias("lines"))
+    line = F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.size(x))))
+    each = each.select("k", "row", F.flatten("lines").alias("w"), line.alias("line")).where(F.size("w") > 0)
+    each = each.withColumns({"next": F.slice("w", 2, F.size("w")), "next_line": F.slice("line", 2, F.size("w"))})
+    each = each.select("k", "row", F.posexplode(F.arrays_zip("w", "next", "line", "next_line")).alias("pos", "x")).select("k", "row", "pos", "x.*")
+    one = F.struct(F.col("w").alias("gram"), F.lit(True).alias("inside"))
+    two = F.struct(F.concat("w", F.lit(" "), "next").alias("gram"), (F.col("line") == F.col("next_line")).alias("inside"))
+    each = each.select("k", "row", "pos", "line", F.explode(F.array(one, two)).alias("x")).select("k", "row", "pos", "line", "x.*")
     hits = each.join(F.broadcast(table), "gram")
+
+    half = F.floor(F.col("pos") / (SPAN // 2)).cast("int")
+    unit = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("unit"))
+    units = F.array_compact(F.array(F.when(F.col("inside"), unit(0, F.col("line"))), unit(1, half), F.when(half > 0, unit(1, half - 1))))
+    hits = hits.select("k", "row", "gram", "weights", "line", F.explode(units).alias("u")).select("k", "row", "u.*", "gram", "weights", "line")
+    by = ["k", "row", "kind", "unit"]
+    once = hits.groupBy(*by, "gram").agg(F.first("weights").alias("w"), F.min("line").alias("low"), F.max("line").alias("high"))
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(n)]
-    found = hits.groupBy("k", "row", "paragraph").agg(*sums, F.collect_set("gram").alias("have"))
-
-    scores = F.array(*(F.col(f"z{i}") + F.lit(model.bias[i]) for i in range(n)))
-    found = found.withColumn("z", scores).withColumn("top", F.array_max("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    family: Column = F.get(F.array(*map(F.lit, model.families)), (F.array_position("z", F.col("top")) - 1).cast("int"))
-    found = found.select("k", "paragraph", "have", family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != OTHER) & (F.col("probability") >= sure))
-    found = found.join(F.broadcast(table_of), "family")
-    share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("have"))) / F.size(t))
-    found = found.withColumn("similarity", F.array_max(share)).where(F.col("similarity") >= alike)
-    return found.select(F.col("k").alias(key), "paragraph", "family", "probability", "similarity")
+    found = once.groupBy(*by).agg(*sums, F.collect_list(F.struct("gram", "low")).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
+    z = F.array(*(F.col(f"z{i}") + F.lit(model.bias[i]) for i in range(n)))
+    found = found.where(F.size("places") >= fewest - 1e-9).select(*by, "places", "low", "high", z.alias("z"), F.col("places.gram").alias("have"))
+
+    found = found.crossJoin(F.broadcast(table_of))
+    best = F.array_max(F.transform("templates", lambda t: F.struct((F.size(F.array_intersect(t, F.col("have"))) / F.size(t)).alias("share"), t.alias("t"))))
+    found = found.withColumn("best", best).where(F.col("best.share") >= alike).withColumn("own_z", F.get("z", F.col("at")))
+    closer = Window.partitionBy("row", "kind", "unit").orderBy(F.desc("best.share"), F.desc("own_z"), "family").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.array_except("best.t", F.flatten(F.collect_list("best.t").over(closer)))
+    found = found.withColumn("own", own).where((F.size("own") > 0) & (F.size(F.array_intersect("own", "have")) >= alike * F.size("own")))
+    found = found.withColumn("beside", F.collect_list("at").over(Window.partitionBy("row", "kind", "unit")))
+    rest = F.transform("z", lambda x, i: F.when(F.array_contains("beside", i), 0.0).otherwise(F.exp(x - F.col("own_z"))))
+    found = found.withColumn("probability", 1 / (1 + F.aggregate(rest, F.lit(0.0), lambda a, x: a + x))).where(F.col("probability") >= sure)
+    begins = F.array_min(F.transform(F.filter("places", lambda x: F.array_contains("best.t", x["gram"])), lambda x: x["low"]))
+    found = found.select(*by, "family", "low", "high", begins.alias("begins"), F.struct(F.col("best.share").alias("similarity"), "probability").alias("s"))
+
+    notices = Window.partitionBy("row", "family")
+    found = found.withColumn("named", F.collect_list(F.when(F.col("kind") == 0, F.col("unit"))).over(notices))
+    named = F.exists("named", lambda x: (x >= F.col("low")) & (x <= F.col("high")))
+    found = found.where((F.col("kind") == 0) | ~named)
+    turn = Window.partitionBy("row", "family", "kind").orderBy("unit")
+    fresh = F.coalesce(F.col("unit") - F.lag("unit").over(turn) > 1, F.lit(False)) | (F.col("kind") == 0)
+    found = found.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(turn))
+    paragraph = F.when(F.col("kind") == 0, F.col("unit")).otherwise(F.col("begins"))
+    found = found.groupBy("k", "row", "family", "kind", "run").agg(F.min(paragraph).alias("paragraph"), F.max("s").alias("s"))
+    # Two notices of a family that begin in one long line are one row.
+    found = found.groupBy("k", "row", "family", "paragraph").agg(F.max("s").alias("s"))
+    return found.select(F.col("k").alias(key), "paragraph", "family", "s.probability", "s.similarity")
 
 
 def op2_licences(spark, sf_dir):

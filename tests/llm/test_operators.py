@@ -332,6 +332,21 @@ def test_licences(spark, none):
     assert licences.scan(none, model).count() == 0
 
 
+def test_licences_wrapped_and_side_by_side(spark):
+    mit, gpl = licences.TEMPLATES["mit"][2], licences.TEMPLATES["gpl-3.0"][1]
+    r = random.Random(8)
+    filler = " ".join(r.choice(VOCABULARY) for _ in range(200))
+    wrapped = "import x\n\n" + "\n".join("# " + " ".join(mit.split()[i : i + 4]) for i in range(0, 20, 4))
+    rows = [
+        (1, wrapped), (2, f"{filler} {mit} {filler} {gpl} {filler}"), (3, "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."),
+        (4, "Licensed under CC BY-SA 4.0."), (5, filler), (6, "Released under the\nMIT License."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licences.train(spark, licences.sample_paragraphs(texts(spark)))
+    got = sorted((x.doc_id, x.paragraph, x.family) for x in licences.scan(docs, model).collect())
+    assert got == [(1, 2, "mit"), (2, 0, "gpl-3.0"), (2, 0, "mit"), (3, 0, "apache-2.0"), (3, 0, "mit"), (4, 0, "cc-by-sa"), (6, 0, "mit")]
+
+
 def test_pipeline_effects(spark):
     import corpus_pipeline
 
