@@ -108,7 +108,7 @@ def hybrid_search(legs: dict[str, DataFrame], weights: dict[str, float], k: int
     return fused.select("query_id.query_id", "query_id.tenant_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
-def ivf_search(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 128, nprobe: int = 16, sample: int = 50_000) -> DataFrame:
+def ivf_search(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 128, nprobe: int = 64, sample: int = 50_000) -> DataFrame:
     """The k best unit vectors for each query among the nprobe nearest of nlist cells.
 
     Centres are fitted on about ``sample`` vectors; every vector is put into the cell of its

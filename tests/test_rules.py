@@ -41,6 +41,21 @@ def test_cycles(spark, tmp_path):
     assert {r.graph_key: r.has_cycle for r in A.has_cycle(e).collect()} == {"c": True, "l": False}
 
 
+def test_cell_search_recall(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit(0).alias("tenant_id"))
+    q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    want, got = ({(r.query_id, r.chunk_id) for r in search(q, v, 20).collect()} for search in (R.dense_search, R.ivf_search))
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_hybrid_search_has_what_only_the_dense_leg_finds(spark, sf):
+    from draftlake.plans import queries as Q
+
+    fused = {(r.query_id, r.tenant_id, r.chunk_id) for r in Q.hybrid_search(spark, sf).collect()}
+    words = [{(r.query_id, r.tenant_id, r.chunk_id) for r in leg(spark, sf).collect()} for leg in (Q._sparse, Q._bm25)]
+    assert fused - words[0] - words[1]
+
+
 def test_long_chain_has_no_cycle(spark):
     rows = [("l", f"n{i}", f"n{i + 1}") for i in range(70)] + [("c", f"n{i}", f"n{i + 1}") for i in range(5)] + [("c", "n5", "n2")]
     e = spark.createDataFrame(rows, "graph_key string, src string, dst string")
