@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification (operator 3)."""
+"""N-gram Jaccard join by MinHash bands of one depth with exact verification (operator 3)."""
 
 from __future__ import annotations
 
