@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
-from functools import wraps
+from dataclasses import dataclass
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +90,81 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+# ---- words of many texts at once ---------------------------------------------------------------
+
+#: Bytes whose hashes are summed up at once; a word of more than LONG_WORD bytes is hashed alone.
+STRETCH, LONG_WORD = 1 << 18, 1 << 12
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of an odd number and of its inverse."""
+    odd = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(STRETCH + LONG_WORD, x, np.uint64))) for x in (odd, pow(odd, -1, 2**64)))
+    return np.random.default_rng(20240301).integers(1, 2**64, 256, np.uint64), up, down
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of strings without nulls, and where each string begins and ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, places, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def byte_slices(at: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``limit`` bytes; a longer text is a run of its own."""
+    first = 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+        yield first, last
+        first = last
+
+
+@dataclass
+class Words:
+    """The words (ASCII white space between them) of texts: first and last place, hash and text."""
+
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    text: np.ndarray
+
+
+def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
+    """A word's hash is a sum over its bytes, each weighted by its place: all words' sums are
+    differences of one running sum."""
+    blank = BLANK[raw]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    ends = ~blank
+    ends[:-1] &= blank[1:]
+    inner = at[(at > 0) & (at < len(raw))]
+    begins[inner] = ~blank[inner]
+    ends[inner - 1] = ~blank[inner - 1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    values, up, down = _powers()
+    out = np.zeros(len(start), np.uint64)
+    bounds = np.searchsorted(start, np.arange(0, len(raw) + STRETCH, STRETCH))
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        if i == j:
+            continue
+        last = j
+        while last > i and end[last - 1] - start[i] > STRETCH + LONG_WORD - 1:
+            last -= 1  # a long word at the end is hashed alone below
+        if last > i:
+            low = start[i]
+            sums = np.zeros(end[last - 1] - low + 1, np.uint64)
+            np.cumsum(values[raw[low : end[last - 1]]] * up[: len(sums) - 1], out=sums[1:])
+            out[i:last] = (sums[end[i:last] - low] - sums[start[i:last] - low]) * down[start[i:last] - low]
+    out = mixed(out)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return Words(start, end, out, np.searchsorted(at, start, "right") - 1)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import cut, mixed, read, shuffle_parts, slices, text_or_empty, tidy, word_hashes
+from draftlake.llm.common import byte_slices, cut, mixed, read, shuffle_parts, text_bytes, text_or_empty, tidy, words_of
 
 SIMILARITY = 0.8
 #: Tokens are counted in so many buckets, a power of two; the counts, a table of fixed size, go to every task.
@@ -21,36 +21,22 @@ LONG = 48
 FIRST = 4
 #: Rows of a token above which its group is split into blocks.
 HOT = 1 << 14
-BROADCAST_ROWS = 1_000_000
-BROADCAST_SETS = 100_000
+#: Bytes that are sent to every task at most; what is larger is joined by a shuffle.
+SENT = 32 << 20
 #: Pairs that a task gathers before it sorts them or gives them out.
 MOST_HELD = 200_000
 NO_KEY = -(2**63)
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, line number) of each line that has tokens, then (hash, line) of each token."""
-    docs, numbers, words, sizes = [], [], [], []
-    for d, text in enumerate(texts):
-        for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-            w = line.split()
-            if w:
-                docs.append(d)
-                numbers.append(n)
-                words += w
-                sizes.append(len(w))
-    return np.array(docs, np.int64), np.array(numbers, np.int64), word_hashes(words), np.repeat(np.arange(len(sizes)), sizes)
-
-
 def token_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """How often the tokens of each bucket occur in all lines: ``buckets`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in slices(texts):
-                h = word_hashes(" ".join(texts[part]).encode("utf-8", "surrogatepass").split())
+            raw, at = text_bytes(batch.column(0))
+            for i, j in byte_slices(at):
+                h = words_of(raw[at[i] : at[j]], at[i : j + 1] - at[i]).hash
                 total += np.bincount((h & np.uint64(buckets - 1)).view(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
@@ -63,16 +49,31 @@ def token_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) ->
 
 
 class Sets:
-    """The lines' token sets, each sorted from its rarest token on."""
-
-    def __init__(self, texts: list[str], rank: np.ndarray):
-        self.doc, self.number, h, line = _tokens(texts)
+    """The token sets of the lines of some texts, each sorted from its rarest token on."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, rank: np.ndarray, wanted: tuple[np.ndarray, np.ndarray] | None = None):
+        """Of ``wanted``, pairs of a text and a line number in order, only these lines are read."""
+        words = words_of(raw, at)
+        breaks = np.flatnonzero(raw == 10)
+        before = np.searchsorted(breaks, words.start)
+        new = np.ones(len(before), bool)
+        new[1:] = (before[1:] != before[:-1]) | (words.text[1:] != words.text[:-1])
+        line, h = np.cumsum(new) - 1, words.hash
+        self.doc = words.text[new]
+        self.number = before[new] - np.searchsorted(breaks, at[self.doc])
+        if wanted is not None:
+            width = max(self.number.max(initial=0), wanted[1].max(initial=0)) + 1
+            keep = np.isin(self.doc * width + self.number, wanted[0] * width + wanted[1])
+            h, line = h[keep[line]], (np.cumsum(keep) - 1)[line[keep[line]]]
+            self.doc, self.number = self.doc[keep], self.number[keep]
         bits = np.uint64((len(rank) - 1).bit_length())
         # The bucket's place by rarity in front, the rest of the hash behind.
         token = (rank[(h & np.uint64(len(rank) - 1)).view(np.int64)] << (np.uint64(64) - bits)) | (h >> bits)
         order = np.argsort(token)
+        if len(self.doc) < 1 << 16:
+            line = line.astype(np.uint16)  # sorted by counting
         order = order[np.argsort(line[order], kind="stable")]
-        token, line = token[order], line[order]
+        token, line = token[order], line[order].astype(np.int64)
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         self.token, line = token[first], line[first]
@@ -108,20 +109,20 @@ def line_sets(docs: DataFrame, rank, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            raw, at = text_bytes(batch.column(2))
             k, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for part in slices(texts):
-                s = Sets(texts[part], rank.value)
+            for i, j in byte_slices(at):
+                s = Sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], rank.value)
                 if not len(s.doc):
                     continue
-                at = s.doc + part.start
+                of = s.doc + i
                 # Within the batch the first line of a set, in the order of keys, stands for it.
-                order = np.lexsort((s.number, k[at], s.set))
+                order = np.lexsort((s.number, k[of], s.set))
                 head = np.zeros(len(order), bool)
                 head[order] = np.append(True, s.set[order][1:] != s.set[order][:-1])
                 keep = np.where(head, _prefix(s.size, similarity), 0)
                 values = s.token[s.place < np.repeat(keep, s.size)]
-                arrays = [k[at], row[at], s.number.astype(np.int32), s.set, s.size.astype(np.int32), s.sketch, s.half]
+                arrays = [k[of], row[of], s.number.astype(np.int32), s.set, s.size.astype(np.int32), s.sketch, s.half]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), _split(values, keep)], ["k", "row", "line", "set", "size", "sketch", "half", "prefix"])
 
     return docs.mapInArrow(tidy(run), "k long, row long, line int, set long, size int, sketch long, half long, prefix array<long>")
@@ -132,7 +133,7 @@ def _least_overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarra
 
 
 #: The columns of a row of a token, in the order in which they are packed.
-PACKED = {"token": "<u8", "low": "<i4", "high": "<i4", "side": "<i4", "set": "<i8", "k": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sketch": "<i8", "half": "<i8"}
+PACKED = {"token": "<u8", "low": "<i4", "high": "<i4", "side": "<i4", "set": "<i8", "k": "<i8", "line": "<i4", "size": "<i4", "place": "<i4", "sketch": "<i8", "half": "<i8", "asked": "<u1"}
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -168,7 +169,7 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, parts: int, tok
             token, at, place = token[keep], at[keep], place[keep]
         if not len(token):
             continue
-        k, line, sets, size, sketch, half = (batch.column(batch.schema.get_field_index(c)).to_numpy()[at] for c in ("k", "line", "set", "size", "sketch", "half"))
+        k, line, sets, size, sketch, half, asked = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[at] for c in ("k", "line", "set", "size", "sketch", "half", "asked"))
         n = blocks[(token >> (np.uint64(64) - bits)).view(np.int64)]
         side = (mixed(sets.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
         again = np.repeat(np.arange(len(token)), n)
@@ -176,7 +177,7 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, parts: int, tok
         low, high = np.minimum(side[again], other), np.maximum(side[again], other)
         part = (mixed(mixed(token[again] + low.astype(np.uint64)) + high.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((token[again], part))
-        columns = [x[again][order] for x in (token, side, sets, k, line, size, place, sketch, half)]
+        columns = [x[again][order] for x in (token, side, sets, k, line, size, place, sketch, half, asked)]
         columns = [columns[0], low[order], high[order], *columns[1:]]
         part = part[order]
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -185,28 +186,35 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, parts: int, tok
         yield pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(data, pa.binary())], ["part", "n", "data"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, only: np.ndarray | None, first: int | None) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, first: int | None) -> Iterator[pa.RecordBatch]:
     """Candidates (later, earlier, their keys and lines, more) among rows that share a token.
 
     Pairs pass the length filter, the positional filter, and the bound that the parity sketch sets
-    to the sets' difference. Of each later set at most ``first`` partners are given, with whether
-    there were more.
+    to the sets' difference; the later set must be one that is asked for. Of each later set at most
+    ``first`` partners are given, with whether there were more.
     """
     held = [_unpacked(d, n) for b in batches for n, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     if not held:
         return
-    token, low, high, side, sets, k, line, size, place, sketch, half = (np.concatenate(x) for x in zip(*held, strict=True))
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
     del held
-    size, place = size.astype(np.int64), place.astype(np.int64)
+    # Tokens that only one row has go first: most rows, as prefixes hold the rarest tokens.
+    order = np.argsort(columns[0])
+    token = columns[0][order]
+    same = token[1:] == token[:-1]
+    order = order[np.append(same, False) | np.append(False, same)]
+    token, low, high, side, sets, k, line, size, place, sketch, half, asked = (x[order] for x in columns)
+    del columns
+    size, place, asked = size.astype(np.int64), place.astype(np.int64), asked.astype(bool)
     order = np.lexsort((line, k, sets, size, high, low, token))
-    token, low, high, side, sets, k, line, size, place, sketch, half = (x[order] for x in (token, low, high, side, sets, k, line, size, place, sketch, half))
+    token, low, high, side, sets, k, line, size, place, sketch, half, asked = (x[order] for x in (token, low, high, side, sets, k, line, size, place, sketch, half, asked))
+    if not len(token):
+        return
     # One row for each set: its first line.
     new = np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (sets[1:] != sets[:-1]))
-    low, high, side, sets, k, line, size, place, sketch, half = (x[new] for x in (low, high, side, sets, k, line, size, place, sketch, half))
-    token = token[new]
+    token, low, high, side, sets, k, line, size, place, sketch, half, asked = (x[new] for x in (token, low, high, side, sets, k, line, size, place, sketch, half, asked))
     begins = np.append(True, (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
     group = np.cumsum(begins)
-    asked = None if only is None else np.isin(sets, only)
     found: list[tuple[np.ndarray, ...]] = []
     held_pairs = 0
     i, shift = np.arange(len(group)), 0
@@ -224,16 +232,14 @@ def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, only: np.ndarra
         good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
         good &= apart <= size[i] + size[j] - 2 * need
         good &= (low[i] == high[i]) | (side[i] != side[j])
-        if asked is not None:
-            good &= asked[i] | asked[j]
+        good &= asked[i] | asked[j]
         if good.any():
             a, b, d = i[good], j[good], apart[good]
             swap = (k[a] > k[b]) | ((k[a] == k[b]) & ((line[a] > line[b]) | ((line[a] == line[b]) & (sets[a] > sets[b]))))
             earlier, later = np.where(swap, b, a), np.where(swap, a, b)
             found.append((sets[later], sets[earlier], d, k[later], k[earlier], line[later], line[earlier]))
-            if asked is not None:
-                wanted = asked[later]
-                found[-1] = tuple(x[wanted] for x in found[-1])
+            wanted = asked[later]
+            found[-1] = tuple(x[wanted] for x in found[-1])
             held_pairs += len(found[-1][0])
             if held_pairs > MOST_HELD:
                 found = [_closest(found, first)]
@@ -291,55 +297,59 @@ def block_counts(lines: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def tokens_of(lines: DataFrame, only: np.ndarray) -> np.ndarray:
-    """The prefix tokens of the sets ``only``, a few for each."""
-    sent = lines.sparkSession.sparkContext.broadcast(only)
+def tokens_of(lines: DataFrame) -> np.ndarray | None:
+    """The prefix tokens of the sets that are asked for; None if they are too many to be sent."""
+    found = lines.where("asked").select(F.explode("prefix").alias("token")).distinct()
+    found = cut(found)
+    return np.sort(found.toPandas()["token"].to_numpy().view(np.uint64)) if 8 * found.count() <= SENT else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token, sizes = _lists(batch, "prefix")
-            keep = np.repeat(np.isin(batch.column(0).to_numpy(), sent.value), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[keep]).view(np.int64))], ["token"])
 
-    found = lines.select("set", "prefix").mapInArrow(tidy(run), "token long").distinct().toPandas()
-    return np.sort(found["token"].to_numpy().view(np.uint64))
-
-
-def candidates(lines: DataFrame, blocks, similarity: float, only: np.ndarray | None = None, first: int | None = None) -> DataFrame:
-    """Candidate pairs of sets; a token of very many rows is dealt out over pairs of blocks."""
+def candidates(lines: DataFrame, blocks, similarity: float, tokens: np.ndarray | None = None, first: int | None = None) -> DataFrame:
+    """Candidate pairs of sets, the later one ``asked`` for; a token of very many rows is dealt out
+    over pairs of blocks."""
     spark = lines.sparkSession
     parts = 4 * shuffle_parts(spark)
-    asked = None if only is None else (only, tokens_of(lines, only))
-    sent = spark.sparkContext.broadcast(asked)
+    sent = spark.sparkContext.broadcast(tokens)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _deal(batches, blocks.value, parts, sent.value and sent.value[1])
+        return _deal(batches, blocks.value, parts, sent.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(batches, similarity, sent.value and sent.value[0], first)
+        return _pairs(batches, similarity, first)
 
-    each = lines.where(F.size("prefix") > 0).select("set", "k", "line", "size", "sketch", "half", "prefix").mapInArrow(tidy(deal), "part int, n int, data binary")
+    each = lines.where(F.size("prefix") > 0).select("set", "k", "line", "size", "sketch", "half", "prefix", "asked").mapInArrow(tidy(deal), "part int, n int, data binary")
     return each.repartition("part").mapInArrow(tidy(run), "later long, earlier long, later_k long, earlier_k long, later_line int, earlier_line int, more boolean")
 
 
+def small_side(table: DataFrame, width: int) -> DataFrame:
+    """``table``, sent to every task if its rows of ``width`` bytes are few enough."""
+    return F.broadcast(table) if width * table.count() <= SENT else table
+
+
 def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> DataFrame:
     """The later sets of pairs whose Jaccard similarity is high enough, from the lines themselves."""
     sides = [pairs.select(*(F.col(f"{side}{x}").alias(y) for x, y in (("", "set"), ("_k", "k"), ("_line", "line")))) for side in ("later", "earlier")]
-    wanted = cut(sides[0].unionByName(sides[1]).distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    # A key's lines are those of the documents that have the key.
+    wanted = sides[0].unionByName(sides[1]).distinct().groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "set"))).alias("of"))
+    wanted = cut(wanted.select(F.col("k").alias("key"), F.col("of.line").alias("lines"), F.col("of.set").alias("sets")))
+    bytes_sent = wanted.agg(F.sum(12 * F.size("lines") + 16)).first()[0] or 0
+    named = docs.join(F.broadcast(wanted) if bytes_sent <= SENT else wanted, F.col("k") == F.col("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for part in slices(texts):
-                s = Sets(texts[part], rank.value)
+            raw, at = text_bytes(batch.column(0))
+            offsets = batch.column(1).offsets.to_numpy()
+            numbers, sets = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+            offsets = offsets - offsets[0]
+            for i, j in byte_slices(at):
+                part = slice(offsets[i], offsets[j])
+                of = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
+                s = Sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], rank.value, (of, numbers[part].astype(np.int64)))
                 # Documents that share a key can have other lines at that place.
-                keep = s.set == named[part][s.doc]
+                keep = np.isin(s.set, sets[part])
                 yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), _split(s.token[np.repeat(keep, s.size)], s.size[keep])], ["set", "tokens"])
 
-    lines = docs.select("k", F.posexplode(F.split("t", "\n", -1)).alias("line", "x")).join(wanted, ["k", "line"])
-    lines = lines.select("set", "x").mapInArrow(tidy(run), "set long, tokens array<long>")
+    lines = named.select("t", "lines", "sets").mapInArrow(tidy(run), "set long, tokens array<long>")
     lines = lines.groupBy("set").agg(F.first("tokens").alias("tokens"))
     joined = pairs.join(lines.withColumnsRenamed({"set": "later", "tokens": "a"}), "later").join(lines.withColumnsRenamed({"set": "earlier", "tokens": "b"}), "earlier")
     common = F.size(F.array_intersect("a", "b"))
@@ -367,32 +377,38 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     lines = cut(line_sets(slim, rank, similarity))
 
     blocks = spark.sparkContext.broadcast(block_counts(lines, len(counts)))
-    pairs = cut(candidates(lines, blocks, similarity, first=FIRST))
+    pairs = cut(candidates(lines.withColumn("asked", F.lit(True)), blocks, similarity, first=FIRST))
     gone = cut(verified(pairs, slim, rank, similarity))
     open_sets = cut(pairs.where("more").select("later").distinct().join(gone, "later", "left_anti"))
-    n = open_sets.count()
-    if n:
-        only = open_sets.toPandas()["later"].to_numpy() if n <= BROADCAST_SETS else None
-        gone = cut(gone.unionByName(verified(cut(candidates(lines, blocks, similarity, only)), slim, rank, similarity)).distinct())
-
+    if not open_sets.isEmpty():
+        marks = small_side(open_sets.select(F.col("later").alias("set"), F.lit(True).alias("asked")), 8)
+        asked = cut(lines.join(marks, "set", "left").withColumn("asked", F.coalesce("asked", F.lit(False))))
+        rest = cut(candidates(asked, blocks, similarity, tokens_of(asked)))
+        gone = cut(gone.unionByName(verified(rest, slim, rank, similarity)).distinct())
+
+    # Of each set that stays, its first line stays; a line is named by its place, so that copies of
+    # one line, however many, are dealt out.
     firsts = lines.groupBy("set").agg(F.min(F.struct("k", "line", "row")).alias("first"))
-    firsts = firsts.join(gone.withColumnRenamed("later", "set"), "set", "left_anti").select("set", "first")
-    state = lines.select("k", "row", "line", "set").join(firsts, "set", "left")
-    stays = F.col("first").isNotNull() & (F.col("first") == F.struct("k", "line", "row"))
+    firsts = firsts.join(gone.withColumnRenamed("later", "set"), "set", "left_anti").select("first.*", F.lit(True).alias("stays"))
+    state = lines.select("k", "row", "line").join(firsts, ["k", "row", "line"], "left")
     # Grouped by the text itself: no group is larger than a text's lines.
-    cuts = state.where(~stays | F.col("first").isNull()).groupBy("k", "row").agg(F.collect_set("line").alias("__gone"))
-    cuts = cut(cuts.select(F.col("k").alias("__k"), F.col("row").alias("__row"), "__gone"))
-    if (cuts.agg(F.sum(F.size("__gone") + 4)).first()[0] or 0) <= 4 * BROADCAST_ROWS:
+    cuts = state.where(F.col("stays").isNull()).groupBy("k", "row").agg(F.collect_set("line").alias("__gone"))
+    cuts = cut(cuts.select(F.col("k").alias("__k"), F.col("row").alias("__row"), F.array_sort("__gone").alias("__gone")))
+    if (cuts.agg(F.sum(4 * F.size("__gone") + 32)).first()[0] or 0) <= SENT:
         cuts = F.broadcast(cuts)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("d"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__k"), F.xxhash64(text_or_empty(text)).alias("__row"))
-    whole = whole.join(cuts, ["__k", "__row"], "left")
-    parts = F.split(F.col("d").getField(text), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # The array of lines is a column, so that no line is asked for by splitting the text again.
+    whole = whole.join(cuts, ["__k", "__row"], "left").select("d", "__gone", F.split(F.col("d").getField(text), "\n", -1).alias("__parts"))
+    parts = F.col("__parts")
+    # The lines between two that go are stretches of the array of lines.
+    ends = F.concat("__gone", F.array(F.size(parts)))
+    stretch = F.transform(ends, lambda x, i: F.slice(parts, F.coalesce(F.get("__gone", i - 1), F.lit(-1)) + 2, x - F.coalesce(F.get("__gone", i - 1), F.lit(-1)) - 1))
+    left = F.array_join(F.flatten(stretch), "\n")
     value = F.when(F.col("__gone").isNull(), F.col("d").getField(text)).otherwise(left)
     columns = [value.alias(c) if c == text else F.col("d").getField(c).alias(c) for c in kept]
-    n_lines = F.coalesce(F.size(F.split(F.col("d").getField(text), "\n", -1)), F.lit(0))
-    return whole.select(*columns, F.when(F.col("d").getField(text).isNull(), 0).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    n_lines = F.when(parts.isNull(), 0).otherwise(F.size(parts))
+    return whole.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir):
