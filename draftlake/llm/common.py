@@ -150,6 +150,11 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
     begins[inner] = ~blank[inner]
     ends[inner - 1] = ~blank[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return Words(start, end, hashes_of(raw, start, end), np.searchsorted(at, start, "right") - 1)
+
+
+def hashes_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes that come one after another and do not overlap."""
     values, up, down = _powers()
     out = np.zeros(len(start), np.uint64)
     bounds = np.searchsorted(start, np.arange(0, len(raw) + STRETCH, STRETCH))
@@ -167,4 +172,4 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
     out = mixed(out)
     for i in np.flatnonzero(end - start > LONG_WORD):
         out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
-    return Words(start, end, out, np.searchsorted(at, start, "right") - 1)
+    return out

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import read, slices, text_or_empty
+from draftlake.llm.common import byte_slices, hashes_of, read, text_bytes, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 
 
-#: Segments of so many characters are looked at together, so many at a time.
-SHORT, TOGETHER = 24, 1 << 15
-#: An odd multiplier for hashes of characters and for places in tables of 2^BITS slots.
-ODD, BITS = np.uint64(0x9E3779B97F4A7C15), 20
+#: Stretches that go through the window together, and the characters that it takes in at first.
+TOGETHER, WINDOW = 1 << 15, 32
+#: Odd multipliers for hashes of characters; the next is taken if two texts ever share a hash.
+MULTIPLIERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)))
+#: Tables of pieces have 2^BITS slots, the answers kept for pairs of pieces 2^PAIR_BITS.
+BITS, PAIR_BITS = 17, 19
+#: A second number for each byte: a stretch's sum of them is its second hash.
+SECOND = np.random.default_rng(20240302).integers(1, 2**64, 256, np.uint64)
 
 
-def slot_of(keys: np.ndarray) -> np.ndarray:
-    return (keys * ODD) >> np.uint64(64 - BITS)
+def slot_of(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (keys * MULTIPLIERS[0]) >> np.uint64(64 - bits)
 
 
 class Table:
@@ -51,24 +56,15 @@ class Table:
         return out
 
 
-class Coded(dict):
-    """A piece's id as four bytes; the ids of its UTF-8 bytes for a character without a piece."""
-
-    bytes: list[bytes]
-
-    def __missing__(self, piece: str) -> bytes:
-        return b"".join(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-
-
 class Pieces:
     """A vocabulary whose pieces merge by score, as a model over neighbouring pieces.
 
     In such a vocabulary a segmentation is the right one if, and only if, each pair of neighbours
-    is stable: merging the two pieces' text gives the two pieces again. So every position has one
-    best last piece, found from the positions at most a piece's length before it.
+    is stable: merging the two pieces' text gives the two pieces again. So every position has at
+    most one best last piece, found from the positions at most a piece's length before it.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1 << 20):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -80,275 +76,309 @@ class Pieces:
             self.content[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.byte_ids.items():
             self.content[i] = bytes([value])
+        self.sizes_of = np.fromiter(map(len, self.content), np.int64, size)
+        self.places_of, self.flat = np.cumsum(self.sizes_of) - self.sizes_of, np.frombuffer(b"".join(self.content), np.uint8)
         self.longest = max(map(len, self.id_of))
-        ends: dict[str, set[int]] = {}
-        for piece in self.id_of:
-            if len(piece) > 1:
-                ends.setdefault(piece[-3:], set()).add(len(piece))
-        for end, lengths in ends.items():
-            if len(end) == 3 and end[1:] in self.id_of:
-                lengths.add(2)
-        #: Lengths of the pieces that end with three characters, the longest first; those of two
-        #: characters also stand under these.
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        self.coded = Coded({piece: i.to_bytes(4, "little") for piece, i in self.id_of.items()})
-        self.coded.bytes = [self.byte_ids[b].to_bytes(4, "little") for b in range(256)]
-        self.block = 4 * self.longest
-        self.most, self.known, self.split = most, {}, {}
-        #: For each piece, which pieces may stand before it, as far as was asked.
-        self.before, self.asked = {piece: {} for piece in self.id_of}, 0
-        self.tables = None
+        self.cache = Cache(most)
+        # Numbers of pieces; then that of a character without a piece, and of a text's beginning.
+        self.names = [*self.id_of]
+        self.unknown, self.begin = len(self.names), len(self.names) + 1
+        self.ids = np.append(np.fromiter(self.id_of.values(), "<u4", len(self.id_of)), np.zeros(2, "<u4"))
+        self.codes, self.lengths = characters(self.names)
+        self.sizes = sorted(set(self.lengths.tolist()), reverse=True)
+        self.scores = np.array([self.score_of[x] for x in self.names])
+        self.ranks = np.where(self.lengths > 1, self.scores, np.inf)
+        number = {x: i for i, x in enumerate(self.names)}
+        halves = [self.halves(x) for x in self.names]
+        self.left_half, self.right_half = (np.array([number[h[i]] if h else -1 for h in halves]) for i in (0, 1))
+        self.ends = [np.zeros(1 << 16, np.uint32) for _ in range(2)]
+        for n, end in ((2, self.ends[0]), (3, self.ends[1])):
+            here = np.flatnonzero(self.lengths == 2) if n == 2 else np.flatnonzero(self.lengths >= 3)
+            at = ending([self.codes[self.lengths[here] - n + i, here] for i in range(n)])
+            np.bitwise_or.at(end, at, np.uint32(1) << self.lengths[here].astype(np.uint32))
+        self.prepare(0)
+
+    def prepare(self, turn: int) -> None:
+        """The table of pieces by a hash of their characters, and room for answers about pairs."""
+        self.turn, self.odd = turn, MULTIPLIERS[turn]
+        self.hash = hashes(self.codes, self.lengths, self.odd)[self.lengths, np.arange(len(self.lengths))]
+        if len(np.unique(self.hash)) < len(self.hash):
+            return self.prepare(turn + 1)
+        self.power = np.cumprod(np.append(np.uint64(1), np.full(self.longest, self.odd, np.uint64)))
+        self.table = Table(self.hash)
+        self.pairs, self.answers = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
     # -- which neighbours are stable
 
-    def merged(self, text: str, least: int = 1) -> list[str]:
-        """Merge neighbours, highest score first and leftmost among equals, until none can be or
-        ``least`` are left."""
-        parts = list(text)
-        score = self.score_of
-        while len(parts) > least:
+    def halves(self, piece: str) -> list[str] | None:
+        """The two pieces that a piece is merged from: neighbours merge, highest score first and
+        leftmost among equals. None if merging never makes it."""
+        parts, score = list(piece), self.score_of
+        while len(parts) > 2:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if at < 0:
-                break
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts if len(parts) == 2 and parts[0] in score and parts[1] in score else None
 
-    def halves(self, piece: str) -> list[str] | None:
-        """The two pieces that a piece is merged from; None if merging never makes it."""
-        if piece not in self.split:
-            parts = self.merged(piece, 2)
-            self.split[piece] = parts if len(parts) == 2 else None
-        return self.split[piece]
-
-    def apart(self, left: str, right: str) -> bool:
-        """Whether merging the text of two pieces gives the two again.
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For numbers of pieces: whether merging the text of two pieces gives the two again.
 
-        Undo merges, the latest first: the pair fails if what then touches at the border would
+        Merges are undone, the latest first: a pair fails if what then touches at the border would
         have merged before the piece that was just undone (among equals, the leftmost first).
         """
-        score = self.score_of
-        limit, equal_too = -np.inf, False
-        a, b = (score[x] if len(x) > 1 else np.inf for x in (left, right))
-        while True:
-            s = score.get(left + right)
-            if s is not None and (s > limit or (equal_too and s == limit)):
-                return False
+        out, live = np.ones(len(left), bool), np.arange(len(left))
+        limit, equal_too = np.full(len(left), -np.inf), np.zeros(len(left), bool)
+        while len(live):
+            joined = self.table.find(self.hash[left] * self.power[self.lengths[right]] + self.hash[right])
+            score = np.where(joined >= 0, self.scores[joined], -np.inf)
+            bad = (joined >= 0) & ((score > limit) | (equal_too & (score == limit)))
+            a, b = self.ranks[left], self.ranks[right]
             undo_left = a < b
-            if not undo_left and b == np.inf:
-                return True
-            parts = self.halves(left if undo_left else right)
-            if parts is None:
-                return False
-            if undo_left:
-                limit, equal_too, left = a, False, parts[1]
-                a = score[left] if len(left) > 1 else np.inf
-            else:
-                limit, equal_too, right = b, True, parts[0]
-                b = score[right] if len(right) > 1 else np.inf
-
-    def fits(self, left: str, right: str) -> bool:
-        """Whether ``right`` may follow ``left``; the answer is kept."""
-        if self.asked > self.most:
-            for known in self.before.values():
-                known.clear()
-            self.asked = 0
-        known = self.before.setdefault(right, {})
-        if left not in known:
-            self.asked += 1
-            known[left] = not left or self.apart(left, right)
-        return known[left]
+            half = np.where(undo_left, self.right_half[left], self.left_half[right])
+            whole = ~undo_left & (b == np.inf)
+            bad |= ~whole & (half < 0)
+            out[live[bad]] = False
+            go = ~bad & ~whole
+            live, undo_left, half = live[go], undo_left[go], half[go]
+            limit, equal_too = np.where(undo_left, a[go], b[go]), ~undo_left
+            left, right = np.where(undo_left, half, left[go]), np.where(undo_left, right[go], half)
+        return out
+
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pieces may follow others. Answers are kept by slot, the latest one in each; a
+        text's beginning and a character without a piece go with everything."""
+        pair = left.astype(np.int64) * len(self.names) + right
+        slots = slot_of(pair.view(np.uint64), PAIR_BITS)
+        free = left >= self.unknown
+        out = self.answers[slots] | free
+        miss = np.flatnonzero((self.pairs[slots] != pair) & ~free)
+        if len(miss):
+            new, at = np.unique(pair[miss], return_inverse=True)
+            found = self.apart(new // len(self.names), new % len(self.names))
+            out[miss] = found[at]
+            # Where two share a slot the same one must win in both tables.
+            slots, last = np.unique(slot_of(new.view(np.uint64), PAIR_BITS), return_index=True)
+            self.pairs[slots], self.answers[slots] = new[last], found[last]
+        return out
 
     # -- streaming Viterbi
 
-    def stream(self, blocks: Iterable[str]) -> Iterator[str]:
-        """The pieces of a text that comes in blocks, each as soon as it is certain.
+    def window(self, texts: list[str], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At [end, text] the number and the length of the best last piece of each text's first
+        ``end`` characters, -1 if there is none; texts come longest first.
 
-        ``back`` holds the best last piece of every position of the window. All surviving paths
-        end where a later piece can still begin, at most a piece's length back; the boundary on
-        which they converge is fixed: the pieces up to it are given out and the window then
-        begins there, after the piece given out last.
+        All texts take a step together; of the pieces that end there, the longest is tried first.
+        Only lengths of pieces with the same last characters are tried.
         """
-        window, back = "", [""]
-        for block in blocks:
-            if window:
-                boundary = self.converged(back)
-                yield from self.path(back, boundary)
-                window, back = window[boundary:], back[boundary:]
-            start = len(window)
-            window += block
-            self.extend(window, back, start)
-        yield from self.path(back, len(window))
-
-    def extend(self, window: str, back: list[str | None], start: int) -> None:
-        """Find the best last piece of every position after ``start``, the longest tried first."""
-        before_of, lengths = self.before, self.lengths
-        for end in range(start + 1, len(window) + 1):
-            last = None
-            for n in lengths.get(window[end - 3 : end]) or lengths.get(window[end - 2 : end], ()):
-                if n <= end and (before := back[end - n]) is not None:
-                    piece = window[end - n : end]
-                    known = before_of.get(piece)
-                    if known is not None:
-                        fit = known.get(before)
-                        if fit or (fit is None and self.fits(before, piece)):
-                            last = piece
-                            break
-            if last is None and (before := back[end - 1]) is not None:
-                piece = window[end - 1]
-                fit = before_of.get(piece, {}).get(before)
-                if fit or (fit is None and self.fits(before, piece)):
-                    last = piece
-            back.append(last)
-
-    def converged(self, back: list[str | None]) -> int:
-        """The last boundary on the paths of all positions that may still be built on."""
-        end = len(back) - 1
+        codes, sizes = characters(texts)
+        begun, n = hashes(codes, sizes, self.odd), len(texts)
+        last, size = np.full((len(begun), n), -1, np.int32), np.zeros((len(begun), n), np.int8)
+        last[0] = before
+        lengths = np.array(self.sizes, np.uint32)
+        for end in range(1, len(begun)):
+            rest = np.arange(np.searchsorted(-sizes, -end, "right"))
+            may = np.full(len(rest), 2, np.uint32)
+            for k in (2, 3):
+                if end >= k:
+                    may |= self.ends[k - 2][ending([codes[end - k + i, rest] for i in range(k)])]
+            # The lengths that may be, for each text from the longest on.
+            rows, at = np.nonzero((may[:, None] >> lengths) & np.uint32(1))
+            k = lengths[at].astype(np.int64)
+            open_ = (k <= end) & (last[np.maximum(end - k, 0), rows] >= 0)
+            rows, k = rows[open_], k[open_]
+            found = self.table.find(begun[end, rows] - begun[end - k, rows] * self.power[k])
+            found = np.where((found < 0) & (k == 1), self.unknown, found)
+            rows, k, found = (x[found >= 0] for x in (rows, k, found))
+            good = (found == self.unknown) | self.fit(last[end - k, rows], np.minimum(found, self.unknown - 1))
+            rows, k, found = (x[good] for x in (rows, k, found))
+            new = np.append(True, rows[1:] != rows[:-1])[: len(rows)]
+            last[end, rows[new]], size[end, rows[new]] = found[new], k[new]
+        return last, size
+
+    def converged(self, last: np.ndarray, size: np.ndarray) -> int:
+        """The last boundary on the paths of all positions that a later piece may begin at: those
+        at most a piece's length back. 0 if the paths do not converge in the window."""
+        end = len(last) - 1
         common = None
         for at in range(max(0, end - self.longest + 1), end + 1):
-            if back[at] is not None:
+            if last[at] >= 0:
                 on = {at}
                 while at > 0:
-                    at -= len(back[at])
+                    at -= int(size[at])
                     on.add(at)
                 common = on if common is None else common & on
         return max(common or {0})
 
-    @staticmethod
-    def path(back: list[str | None], end: int) -> list[str]:
-        out = []
-        while end > 0:
-            out.append(back[end])
-            end -= len(back[end])
-        return out[::-1]
-
-    # -- whole texts
-
-    def segment(self, text: str) -> bytes:
-        """Ids of a segment on both of whose ends all paths converge."""
-        return b"".join(map(self.coded.__getitem__, self.stream(text[i : i + self.block] for i in range(0, len(text), self.block))))
-
-    def prepare(self) -> None:
-        """Tables of pieces by a hash of their characters, and of pairs that were asked for."""
-        self.names = [*self.id_of, ""]
-        self.ids = np.fromiter(self.id_of.values(), "<u4", len(self.id_of))
-        codes, sizes = characters(self.names[:-1])
-        self.sizes = sorted(set(sizes.tolist()), reverse=True)
-        keys = hashes(codes, sizes)[sizes, np.arange(len(sizes))]
-        if len(np.unique(keys)) < len(keys):
-            raise ValueError("two pieces have one hash")
-        self.tables = Table(keys), np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, bool)
+    def streams(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each of which goes through a window of its own, side by side.
 
-    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """``fits`` for numbers of pieces. Answers are kept by slot, the latest one in each."""
-        _, pairs, answers = self.tables
-        n = len(self.names)
-        pair = left.astype(np.int64) * n + right
-        slots = slot_of(pair.view(np.uint64))
-        out, miss = answers[slots], np.flatnonzero(pairs[slots] != pair)
-        if len(miss):
-            new, at = np.unique(pair[miss], return_inverse=True)
-            names = self.names
-            found = np.fromiter((x // n == n - 1 or self.apart(names[x // n], names[x % n]) for x in new.tolist()), bool, len(new))
-            out[miss] = found[at]
-            slots = slot_of(new.view(np.uint64))
-            # Where two share a slot the same one must win in both tables.
-            slots, last = np.unique(slots, return_index=True)
-            pairs[slots], answers[slots] = new[last], found[last]
+        The window takes in ``WINDOW`` characters. Where all surviving paths converge on a boundary,
+        the ids up to it are given out, and the window goes on from there behind the piece given
+        out last; it grows only while no paths converge. At the text's end its last path is the one.
+        """
+        out, sizes = [b""] * len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        index, at, before = np.arange(len(texts)), np.zeros(len(texts), np.int64), np.full(len(texts), self.begin, np.int32)
+        first = wide = max(WINDOW, self.longest + 1)
+        while len(index):
+            order = np.argsort(at - sizes[index], kind="stable")
+            index, at, before = index[order], at[order], before[order]
+            left = sizes[index] - at
+            more, stop = np.flatnonzero(left > wide), np.minimum(left, wide)
+            shown = list(map(texts.__getitem__, index.tolist()))
+            for j in np.flatnonzero((left > wide) | (at > 0)).tolist():
+                shown[j] = shown[j][at[j] : at[j] + wide]
+            last, size = self.window(shown, before)
+            for j in more.tolist():
+                stop[j] = self.converged(last[: wide + 1, j], size[: wide + 1, j])
+                shown[j] = shown[j][: stop[j]]
+            given, good = self.given(shown, last, size, stop)
+            if not good:
+                # A hash stood for another text: begin anew with other hashes.
+                self.prepare(self.turn + 1)
+                return self.streams(texts)
+            for i, ids in zip(index.tolist(), given, strict=True):
+                out[i] = out[i] + ids if out[i] else ids
+            # Where nothing was given out the window grows.
+            wide = first if (stop[more] > 0).all() else 2 * wide
+            index, at, before = index[more], at[more] + stop[more], last[stop[more], more]
         return out
 
-    def together(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of short segments, the same way as ``extend`` but for all segments at each position.
-
-        A segment with a character that no piece has is left out.
-        """
-        if not self.tables:
-            self.prepare()
-        words.sort(key=len, reverse=True)
-        codes, sizes = characters(words)
-        begun, n = hashes(codes, sizes), len(words)
-        last, size = np.full((len(begun), n), -1, np.int32), np.zeros((len(begun), n), np.int8)
-        last[0] = len(self.names) - 1
-        for end in range(1, len(begun)):
-            rest = np.arange(np.searchsorted(-sizes, -end, "right"))
-            for k in self.sizes:
-                if k <= end and len(rest):
-                    rows = rest[last[end - k, rest] >= 0]
-                    found = self.tables[0].find(begun[end, rows] - begun[end - k, rows] * ODD ** np.uint64(k))
-                    rows, found = rows[found >= 0], found[found >= 0]
-                    fit = self.fit(last[end - k, rows], found)
-                    rows, found = rows[fit], found[fit]
-                    last[end, rows], size[end, rows] = found, k
-                    if len(rows):
-                        rest = rest[last[end, rest] < 0]
-        whole = np.flatnonzero(last[sizes, np.arange(n)] >= 0)
-        at, live, rows, found = sizes.copy(), whole, [], []
+    def given(self, texts: list[str], last: np.ndarray, size: np.ndarray, stop: np.ndarray) -> tuple[list[bytes], bool]:
+        """The ids on each text's path to ``stop``, and whether the pieces are the text indeed."""
+        at, live, rows, found = stop.copy(), np.flatnonzero(stop), [], []
         while len(live):
             rows.append(live)
             found.append(last[at[live], live])
             at[live] -= size[at[live], live]
             live = live[at[live] > 0]
         if not rows:
-            return {}
+            return [b""] * len(texts), True
         row, number = np.concatenate(rows[::-1]), np.concatenate(found[::-1])
         order = np.argsort(row, kind="stable")
         number, row = number[order], row[order]
-        data, ends = self.ids[number].tobytes(), 4 * np.searchsorted(row, whole, "right")
-        words = [words[i] for i in whole.tolist()]
-        if "".join(map(self.names.__getitem__, number.tolist())) != "".join(words):
-            return {}  # a hash that stands for something else
-        return {w: data[a:b] for w, a, b in zip(words, [0, *ends.tolist()], ends.tolist())}
+        ends = np.searchsorted(row, np.arange(len(texts)), "right")
+        odd = np.unique(row[number == self.unknown]).tolist()
+        data, out, low = self.ids[number].tobytes(), [], 0
+        for high in ends.tolist():
+            out.append(data[4 * low : 4 * high])
+            low = high
+        for i in odd:
+            parts, p = [], 0
+            for x in number[ends[i - 1] if i else 0 : ends[i]].tolist():
+                if x == self.unknown:
+                    parts += [self.byte_ids[b] for b in texts[i][p].encode("utf-8", "surrogatepass")]
+                    p += 1
+                else:
+                    parts.append(int(self.ids[x]))
+                    p += int(self.lengths[x])
+            out[i] = np.array(parts, "<u4").tobytes()
+        if odd:
+            skip = set(odd)
+            number, texts = number[~np.isin(row, odd)], [x for i, x in enumerate(texts) if i not in skip]
+        return out, "".join(map(self.names.__getitem__, number.tolist())) == "".join(texts)
 
-    def segments(self, text: str) -> list[str]:
-        """A text's segments; a space is put before the text.
+    # -- whole texts
 
-        No piece holds a space mark after another character, or a line break, so paths converge
-        before each run of spaces and around each line break.
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each text has."""
+        texts = pc.binary_join_element_wise(" ", pc.replace_substring(texts, SPACE, " "), "")
+        raw, at = text_bytes(texts)
+        out, counts = [], []
+        for i, j in byte_slices(at, 1 << 22):
+            ids, n = self.encode_bytes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+            out.append(ids)
+            counts.append(n)
+        return np.concatenate([*out, np.zeros(0, "<u4")]), np.concatenate([*counts, np.zeros(0, np.int64)])
+
+    def encode_bytes(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for UTF-8 bytes of texts that each begin with a space; a text of nothing else
+        is empty.
+
+        Texts are taken in as stretches between boundaries on which all paths converge whatever
+        stands there: no piece holds a space mark after another character, or a line break, so
+        they do before each run of spaces and around each line break. What stretches give is kept.
         """
-        out = []
-        if not text:
-            return out
-        for i, line in enumerate((" " + text.replace(SPACE, " ")).split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            if "  " not in line:
-                out += [SPACE + word for word in rest]
-                continue
-            spaces = SPACE
-            for j, word in enumerate(rest):
-                if word or j == len(rest) - 1:
-                    out.append(spaces + word)
-                    spaces = SPACE
-                else:
-                    spaces += SPACE
-        return out
-
-    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of texts as little-endian unsigned 32-bit numbers. What segments give is kept."""
-        each = [self.segments(t) for t in texts]
-        used = set().union(*each)
-        new = used.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = {s: self.known[s] for s in used if s in self.known}
-        short = [s for s in new if len(s) <= SHORT]
-        for i in range(0, len(short), TOGETHER):
-            self.known |= self.together(short[i : i + TOGETHER])
-        for s in new.difference(self.known):
-            self.known[s] = self.segment(s)
-        return [b"".join([self.known[s] for s in x]) for x in each]
+        begins = np.zeros(len(raw), bool)
+        space, line = raw == 32, raw == 10
+        begins[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        begins[at[:-1]] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))
+        empty = np.flatnonzero(np.diff(at) == 1)
+        if len(empty):
+            keep = ~np.isin(start, at[empty])
+            start, end = start[keep], end[keep]
+        keys = hashes_of(raw, start, end)
+        totals = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(SECOND[raw], out=totals[1:])
+        others = totals[end] - totals[start]
+        low, size, miss = self.cache.find(keys, others)
+        if len(miss):
+            _, first, turn = np.unique(keys[miss], return_index=True, return_inverse=True)
+            new = miss[first]
+            texts = [raw[a:b].tobytes().decode("utf-8", "surrogatepass").replace(" ", SPACE) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            ids = []
+            for i in range(0, len(texts), TOGETHER):
+                ids += self.streams(texts[i : i + TOGETHER])
+            places = self.cache.keep(keys[new], others[new], ids)
+            low[miss], size[miss] = places[0][turn], places[1][turn]
+        ids = self.cache.ids[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        sums = np.append(0, np.cumsum(size))
+        return ids, np.diff(sums[np.searchsorted(start, at)])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if raw.startswith(" ") else raw
+        return self.encode_column(pa.array([text]))[0].tobytes()
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids that stand one after another; what is no UTF-8 gives U+FFFD."""
+        sizes = self.sizes_of[ids]
+        ends = np.cumsum(sizes)
+        raw = self.flat[np.repeat(self.places_of[ids] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
+
+class Cache:
+    """Ids of stretches by two hashes. A later stretch takes an earlier one's slot; all begin anew
+    when the ids fill their room."""
+
+    def __init__(self, most: int):
+        self.bits = (most - 1).bit_length()
+        self.room = 8 * most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.others = (np.zeros(1 << self.bits, np.uint64) for _ in range(2))
+        self.low, self.size = (np.zeros(1 << self.bits, np.int64) for _ in range(2))
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of stretches begin, how many they are, and which stretches are not there."""
+        if self.used > self.room:
+            self.clear()
+        slots = slot_of(keys, self.bits)
+        there = (self.keys[slots] == keys) & (self.others[slots] == others) & (self.size[slots] > 0)
+        return self.low[slots], self.size[slots], np.flatnonzero(~there)
+
+    def keep(self, keys: np.ndarray, others: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Take in stretches; where their ids now begin, and how many they are."""
+        size = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        low = self.used + np.cumsum(size) - size
+        need = self.used + int(size.sum())
+        if need > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(need - len(self.ids), len(self.ids)), "<u4"))
+        self.ids[self.used : need] = np.frombuffer(b"".join(ids), "<u4")
+        self.used = need
+        slots = slot_of(keys, self.bits)
+        slots, last = np.unique(slots, return_index=True)
+        self.keys[slots], self.others[slots], self.low[slots], self.size[slots] = keys[last], others[last], low[last], size[last]
+        return low, size
 
 
 def characters(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -359,15 +389,23 @@ def characters(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[np.minimum(at, len(flat) - 1)], sizes
 
 
-def hashes(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def hashes(codes: np.ndarray, sizes: np.ndarray, odd: np.uint64) -> np.ndarray:
     """At [n, word] a hash of the word's first n characters, from which those of all its parts
     follow."""
     out = np.zeros((len(codes) + 1, len(sizes)), np.uint64)
     for i, c in enumerate(codes):
-        out[i + 1] = out[i] * ODD + c + np.uint64(1)
+        out[i + 1] = out[i] * odd + c + np.uint64(1)
     return out
 
 
+def ending(codes: list[np.ndarray]) -> np.ndarray:
+    """16-bit hashes of characters, the first ones of all words first."""
+    h = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        h = (h + c) * MULTIPLIERS[1]
+    return h >> np.uint64(48)
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -384,11 +422,9 @@ def encode(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        pieces = loaded(path)
-        texts = texts.to_pylist()
-        parts = [x for part in slices(texts, 1 << 21) for x in pieces.encode_all(texts[part])]
-        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype("int32")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        ids, counts = loaded(path).encode_column(texts)
+        offsets = np.append(0, np.cumsum(counts)).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
 
     return run(F.coalesce(text, F.lit("")))
 
@@ -399,14 +435,20 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        pieces = loaded(path)
-        return pa.array([pieces.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.string())
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = loaded(path).decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+        return pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
     return run(ids)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of ids; rows are independent and all other columns stay."""
+    """``docs`` with a column of ids; null and empty texts have none.
+
+    Texts of any length are read whole, through the window of their stretches. Rows are independent, so
+    ties, repeated rows and empty tables need no rule; all other columns stay, and one named as the
+    new column is replaced.
+    """
     return docs.withColumn(ids, encode(F.col(text), path))
 
 
