@@ -289,7 +289,7 @@ class Pieces:
         texts = pc.binary_join_element_wise(" ", pc.replace_substring(texts, SPACE, " "), "")
         raw, at = text_bytes(texts)
         out, counts = [], []
-        for i, j in byte_slices(at, 1 << 22):
+        for i, j in byte_slices(at, 1 << 21):
             ids, n = self.encode_bytes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             out.append(ids)
             counts.append(n)
@@ -336,12 +336,16 @@ class Pieces:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of ids that stand one after another; what is no UTF-8 gives U+FFFD."""
-        sizes = self.sizes_of[ids]
-        ends = np.cumsum(sizes)
-        raw = self.flat[np.repeat(self.places_of[ids] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes()
-        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
-        return [t[1:] if t.startswith(" ") else t for t in texts]
+        at, out = np.append(0, np.cumsum(counts)), []
+        for i, j in byte_slices(at, 1 << 18):
+            here = ids[at[i] : at[j]]
+            sizes = self.sizes_of[here]
+            ends = np.append(0, np.cumsum(sizes))
+            raw = self.flat[np.repeat(self.places_of[here] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+            bounds = ends[at[i : j + 1] - at[i]].tolist()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
+            out += [t[1:] if t.startswith(" ") else t for t in texts]
+        return out
 
 
 class Cache:
