@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlake.llm.common import read
 
-#: Labelled rows that training may fetch, for each class.
-SAMPLE = 3_000
-WINDOW = 60  # bytes, cut at spaces
-GRAM = 5
-DICTIONARY = 8_192
-CUT = 0.3
+#: Labelled rows that training may fetch, for each class, and texts of them all in all (a document
+#: number can have several texts).
+SAMPLE, TEXTS = 3_000, 9_000
+WINDOW = 40  # bytes, cut at spaces
+#: Sizes of the ordinary dictionary, and of the toxic one in each round of its training.
+ORDINARY, ROUNDS = 110_000, (16_384, 4_096, 4_096)
+#: Bytes that a window must save to count; how much commoner among toxic texts what is kept must be.
+SAVED, RATIO = 2, 8.0
+#: Scores from which a text is called toxic, and from which it is dropped: likelier toxic than not.
+CUT, DROP = 0.3, 0.5
 
 
 @dataclass(frozen=True)
@@ -35,64 +38,25 @@ class Model:
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the samples; the commonest ones where they are too few to train."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return _commonest(samples, size)
-
-
-def _commonest(samples: list[bytes], size: int) -> bytes:
-    """Plain dictionary content of distinct samples, the commonest last, where matches are nearest."""
+    """A zstandard dictionary of the samples; a smaller one, then the commonest samples, where they
+    are too few to train on."""
+    part = 64 if size == ORDINARY else 24
+    while size >= 512:
+        try:
+            return zstandard.train_dictionary(size, samples, k=part, d=6).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
     out = b""
     for x, _ in Counter(samples).most_common():
-        if len(out) + len(x) > size:
+        if len(out) + len(x) > 4 * size:
             break
         out = x + out
     return out
 
 
-def _words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "ignore").split()
-
-
-def _grams(words: list[bytes]) -> set[bytes]:
-    return {x[i : i + GRAM] for w in set(words) for x in [b" " + w + b" "] for i in range(len(x) - GRAM + 1)}
-
-
-def telling(toxic: list[str], ordinary: list[str], ratio: float = 30.0, least: int = 3) -> list[bytes]:
-    """What sets toxic texts apart: beginnings of words made of byte n-grams that far more toxic
-    texts hold than ordinary ones, once for every toxic text that holds them.
-
-    Near copies count once: texts with the same smallest word hash are one group. A beginning ends
-    where its n-grams are no more at least half as frequent as its most frequent one.
-    """
-    groups: dict[int, list[str]] = {}
-    for t in toxic:
-        groups.setdefault(min((xxhash.xxh3_64_intdigest(w) for w in set(_words(t))), default=0), []).append(t)
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts in groups.values():
-        in_toxic.update(set().union(*(_grams(_words(t)) for t in texts)))
-    for t in ordinary:
-        in_ordinary.update(g for g in _grams(_words(t)) if g in in_toxic)
-    floor = max(least, len(groups) // 100)
-    share = len(ordinary) / max(1, len(groups))
-    good = {g: n for g, n in in_toxic.items() if n >= floor and n * share >= ratio * (in_ordinary[g] + 1)}
-    out = []
-    for texts in groups.values():
-        for w in sorted({w for t in texts for w in _words(t)}):
-            x = b" " + w + b" "
-            each = [good.get(x[i : i + GRAM], 0) for i in range(len(x) - GRAM + 1)]
-            hits = [i for i, n in enumerate(each) if n and 2 * n >= max(each)]
-            if hits and not hits[0]:
-                out.append(x[: max(hits[-1] + GRAM, GRAM + 2)])
-    often = Counter(out)
-    return [x for x in out if often[x] >= least]
-
-
 def windows(text: str, size: int = WINDOW) -> list[bytes]:
     """The whole lower-cased text in stretches of about ``size`` bytes, cut at spaces."""
-    raw = b" " + b" ".join(_words(text)) + b" "
+    raw = b" " + b" ".join(text.lower().encode("utf-8", "ignore").split()) + b" "
     out, start = [], 0
     while start < len(raw) - 1:
         end = min(start + size, len(raw))
@@ -107,17 +71,16 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 class Scorer:
     """Compressed lengths of a text's windows under both dictionaries.
 
-    The toxic dictionary is the toxic training text's put before the ordinary one's, as plain
-    content: a window without toxic stretches then compresses alike under both, so the difference
-    is what the toxic text alone explains.
+    The toxic dictionary is put behind the ordinary one, as plain content: a window without toxic
+    stretches then compresses alike with both, so the difference is what the toxic text explains.
     """
 
     def __init__(self, model: Model):
         self.model = model
         self.squeeze = []
-        for content in (model.ordinary, model.toxic + model.ordinary):
+        for content in (model.ordinary, model.ordinary + model.toxic):
             params = zstandard.ZstdCompressionParameters(
-                window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=6, target_length=32,
+                window_log=17, hash_log=15, chain_log=16, search_log=5, min_match=5, target_length=32,
                 strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
                 write_content_size=0, write_checksum=0, write_dict_id=0,
             )
@@ -130,9 +93,9 @@ class Scorer:
         return len(self.squeeze[0](window)) - len(self.squeeze[1](window))
 
     def gain(self, text: str) -> float:
-        """Bytes saved over all windows, against what chance saves in a text of that length."""
+        """Bytes saved in windows that save some, against what chance saves in a text of that length."""
         parts = windows(text)
-        return max(0, sum(map(self.saved, parts))) / math.sqrt(len(parts) + 5)
+        return sum(max(0, self.saved(w) - SAVED) for w in parts) / math.sqrt(len(parts) + 5)
 
     def score(self, text: str) -> float:
         return probability(self.model, self.gain(text))
@@ -161,7 +124,8 @@ def calibrated(gains: list[float], toxic: list[int]) -> tuple[tuple[float, ...],
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled texts of each class, those of smallest hash.
 
-    Texts are read whole, as scoring reads them. The dictionaries learn from two thirds of the sample, the thresholds from the rest. Rows whose
+    Texts are read whole, as scoring reads them; of documents with several texts ``TEXTS`` at most.
+    The dictionaries learn from two thirds of the sample, the thresholds from the rest. Rows whose
     crc32(doc_id) mod 4 is 2 are held out: neither learns from them. A document with several labels
     is toxic if one says so; null labels, ids and texts are left out. Without toxic labels the
     model scores everything near 0.
@@ -172,25 +136,53 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     # At most 2 * sample ids: small enough for every task.
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select("doc_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
-    found = texts.join(ids, "doc_id").select("doc_id", "y", "t").orderBy(F.xxhash64("doc_id", "t")).limit(3 * sample).collect()
+    found = texts.join(ids, "doc_id").select("doc_id", "y", "t").orderBy(F.xxhash64("doc_id", "t")).limit(TEXTS).collect()
     return fit([(r["t"], int(r["y"])) for r in found])
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     build = [r for i, r in enumerate(rows) if i % 3]
     tune = [r for i, r in enumerate(rows) if not i % 3]
-    of = lambda y: [t for t, z in build if z == y]
-    ordinary = _trained([w for t in of(0) for w in windows(t)], DICTIONARY)
-    toxic = _commonest(telling(of(1), of(0)), DICTIONARY // 2)
-    # Ordinary windows that share stretches with toxic words by chance go into the ordinary
-    # dictionary too, so that only longer stretches tell.
-    first = Scorer(Model(ordinary, toxic, (), ()))
-    ordinary = _trained([w for t in of(0) for w in windows(t) if first.saved(w) > 0], DICTIONARY) + ordinary
-    scorer = Scorer(Model(ordinary, toxic, (), ()))
+    ordinary_texts, toxic_texts = ([windows(t) for t, z in build if z == y] for y in (0, 1))
+    ordinary = _trained([w for ws in ordinary_texts for w in ws], ORDINARY)
+    toxic, kept = b"", toxic_texts
+    for size in ROUNDS:
+        # Each round learns from the windows that the dictionary of the round before explains.
+        trained = _trained([w for ws in kept for w in ws], size)
+        toxic = pruned(trained, ordinary, ordinary_texts, toxic_texts) or toxic
+        scorer = Scorer(Model(ordinary, toxic, (), ()))
+        kept = [[w for w in ws if scorer.saved(w) >= SAVED] for ws in toxic_texts]
     gains, odds = calibrated([scorer.gain(t) for t, _ in tune], [y for _, y in tune])
     return Model(ordinary, toxic, gains, odds)
 
 
+def pruned(toxic: bytes, ordinary: bytes, ordinary_texts: list[list[bytes]], toxic_texts: list[list[bytes]]) -> bytes:
+    """The stretches of a toxic dictionary that save bytes in ``RATIO`` times the share of toxic
+    texts than of ordinary ones, the best last. Stretches are cut at spaces."""
+    both = Scorer(Model(ordinary, toxic, (), ()))
+    plain, places = {}, defaultdict(set)
+    for y, texts in enumerate((ordinary_texts, toxic_texts)):
+        for i, ws in enumerate(texts):
+            for w in ws:
+                if w not in plain:
+                    plain[w] = len(both.squeeze[0](w)), both.saved(w) >= SAVED
+                if plain[w][1]:
+                    for j in range(len(w) - 3):
+                        places[w[j : j + 4]].add((y, i, w))
+    good = []
+    for x in sorted({b" " + x + b" " for x in toxic.split(b" ")[1:-1] if 3 <= len(x) <= 24}):
+        near = places[x[1:5]] | places[x[2:6]]
+        if len({i for y, i, _ in near if y}) < 3:
+            continue
+        squeeze = Scorer(Model(ordinary, x, (), ())).squeeze[1]
+        hits = {(y, i) for y, i, w in near if plain[w][0] - len(squeeze(w)) >= SAVED}
+        n = sum(y for y, _ in hits)
+        share = n / len(toxic_texts) / ((len(hits) - n + 1) / max(1, len(ordinary_texts)))
+        if n >= 3 and share >= RATIO:
+            good.append((share, x))
+    return b"".join(x for _, x in sorted(good))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with a column of scores from 0 to 1, higher where label 1 is likelier.
 
@@ -209,8 +201,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
     return docs.withColumn(name, run(F.coalesce(F.col(text), F.lit(""))))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows that score under ``cut``, with their columns."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = DROP) -> DataFrame:
+    """The rows that score under ``cut``, with their columns.
+
+    The model learns from ``docs`` and ``labels`` as ``train`` says; nulls, empty and long texts,
+    repeated rows and empty tables are as in ``score``.
+    """
     name = "__toxicity"
     scored = score(docs, train(docs, labels), name=name)
     return scored.where(F.col(name) < cut).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -221,7 +217,7 @@ def op10_toxicity(spark, sf_dir):
     scored = score(docs, train(docs, read(spark, sf_dir, "labels")), name="score")
     return scored.select(
         "doc_id",
-        (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out"),
+        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"),
     )
