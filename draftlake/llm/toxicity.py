@@ -109,16 +109,17 @@ def probability(model: Model, gain: float) -> float:
 
 
 def calibrated(gains: list[float], toxic: list[int]) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """Isotonic steps: adjacent gains are pooled until the share of toxic texts never falls."""
-    blocks: list[list[float]] = []  # gain, toxic, texts
+    """Isotonic steps: adjacent gains are pooled until the share of toxic texts never falls. A step
+    begins halfway between the gains on both sides."""
+    blocks: list[list[float]] = []  # least gain, greatest gain, toxic, texts
     for g in sorted(set(gains)):
         hits = [y for x, y in zip(gains, toxic, strict=True) if x == g]
-        blocks.append([g, sum(hits), len(hits)])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, y, n = blocks.pop()
-            blocks[-1][1] += y
-            blocks[-1][2] += n
-    return tuple(b[0] for b in blocks), tuple((b[1] + 0.1) / (b[2] + 0.3) if b[1] else 0.0 for b in blocks)
+        blocks.append([g, g, sum(hits), len(hits)])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, top, y, n = blocks.pop()
+            blocks[-1][1:] = [top, blocks[-1][2] + y, blocks[-1][3] + n]
+    begins = [b[0] for b in blocks[:1]] + [(a[1] + b[0]) / 2 for a, b in zip(blocks, blocks[1:], strict=False)]
+    return tuple(begins), tuple((b[2] + 0.1) / (b[3] + 0.3) if b[2] else 0.0 for b in blocks)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
