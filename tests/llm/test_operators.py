@@ -227,6 +227,20 @@ def test_top_k_as_brute_force(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_in_one_task_and_rows_left_out():
+    r = np.random.default_rng(3)
+    v = np.concatenate([c + r.integers(-9, 9, (400, 8)) for c in r.integers(-900, 900, (10, 8))]).astype(float)
+    big = float(np.sqrt((v * v).sum(axis=1).max()))
+    table = topk.Table(np.arange(len(v)), v, topk.distances(v, list(v[::125]), big), big)
+    reach = topk.distances(v, list(v[::125]), big, asked=True)
+    for q in range(0, len(v), 40):
+        ids, scores = table.nearest(v[q], q, reach[q], 10)
+        best = sorted((-int(x @ v[q]), i) for i, x in enumerate(v) if i != q)[:10]
+        assert [(-s, i) for s, i in zip(scores, ids, strict=True)] == best
+    # Where vectors lie in clusters the bounds leave most rows out.
+    assert table.evaluated < 0.5 * len(v) * 100
+
+
 def test_top_k_query_without_odd_vectors(spark, tmp_path):
     r = np.random.default_rng(2)
     rows = [(i, x.tolist()) for i, x in enumerate(r.normal(size=(120, 8)))]
