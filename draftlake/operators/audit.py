@@ -126,11 +126,13 @@ def contract_review(bills: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def with_risk(b: DataFrame) -> DataFrame:
     """Weighted score of the four dimensions and its level; a dimension that is null has a default."""
-    compliance = F.coalesce(F.greatest(F.lit(0.0), F.col("compliance_rate") * 100 - F.col("severe_count") * 15), F.lit(60.0))
+    # greatest and least leave nulls out, so each dimension is asked for first.
+    given = lambda c, score, default: F.when(F.col(c).isNotNull(), score).otherwise(F.lit(default))
+    compliance = given("compliance_rate", F.greatest(F.lit(0.0), F.col("compliance_rate") * 100 - F.col("severe_count") * 15), 60.0)
     other = F.size(F.filter("violation_codes", lambda x: ~x.isin("EN01", "EN03")))
-    endorsement = F.coalesce(F.greatest(F.lit(0.0), F.lit(100.0) - F.when(F.col("has_cycle"), 50).otherwise(0) - other * 10), F.lit(70.0))
+    endorsement = given("violation_codes", F.greatest(F.lit(0.0), F.lit(100.0) - F.when(F.col("has_cycle"), 50).otherwise(0) - other * 10), 70.0)
     contract = F.coalesce(F.col("match_score"), F.lit(50.0))
-    fraud = F.coalesce(F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.lit(1.0) - F.col("fraud_score")) * 100)), F.lit(80.0))
+    fraud = given("fraud_score", F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.lit(1.0) - F.col("fraud_score")) * 100)), 80.0)
     b = b.withColumns({"s_compliance": compliance, "s_endorsement": endorsement, "s_contract": contract, "s_fraud": fraud})
     total = F.round(F.col("s_compliance") * 0.3 + F.col("s_endorsement") * 0.3 + F.col("s_contract") * 0.2 + F.col("s_fraud") * 0.2, 2)
     b = b.withColumn("risk_score", total)
@@ -189,10 +191,16 @@ def duplicate_bills(bills: DataFrame, fingerprint: Column) -> DataFrame:
     return seen.where(F.col("f") != F.col("first_f")).select("bill_id", "tenant_id", "ticket_number")
 
 
+#: Steps of a message flow.
+FLOW_STEPS = 7
+
+
 def flow_status(messages: DataFrame) -> DataFrame:
-    """The state of each flow: steps up to and with the first anomaly, its level by time spent."""
+    """The state of each flow: steps up to and with the first anomaly, its level by time spent.
+
+    A flow has ``FLOW_STEPS`` steps; messages of later ones are not its own."""
     w = Window.partitionBy("flow_task_id")
-    m = messages.withColumn("stop", F.min(F.when(F.col("is_anomaly"), F.col("step_index"))).over(w))
+    m = messages.where(F.col("step_index") <= FLOW_STEPS).withColumn("stop", F.min(F.when(F.col("is_anomaly"), F.col("step_index"))).over(w))
     m = m.where(F.col("stop").isNull() | (F.col("step_index") <= F.col("stop")))
     g = m.groupBy("flow_task_id").agg(F.max("step_index").alias("current_step"), F.sum("processing_ms").alias("elapsed_ms"), F.max(F.when(F.col("is_anomaly"), F.col("status"))).alias("bad"))
     t = F.col("elapsed_ms")

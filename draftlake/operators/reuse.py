@@ -39,6 +39,10 @@ def request_rules() -> dict[str, Column]:
     }
 
 
+def tenant_rules() -> dict[str, Column]:
+    return {"qps": F.col("qps_limit").between(1, 200), "quota": F.col("doc_quota") >= 100}
+
+
 def apply_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:
     """Logs with the last score given by their own tenant: feedback (id, tenant_id, score, at)."""
     last = feedback.groupBy("id", "tenant_id").agg(F.max(F.struct("at", "score"))["score"].alias("feedback_score"))

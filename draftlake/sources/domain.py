@@ -107,11 +107,11 @@ def query_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first seven lines of an order as the steps of a message flow."""
+    """The lines of an order as the steps of a message flow."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
-    m = table(spark, sf_dir, "lineitem").withColumn("step_index", F.row_number().over(order)).where("step_index <= 7")
+    m = table(spark, sf_dir, "lineitem").withColumn("step_index", F.row_number().over(order))
     anomaly = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)
     return m.select(
         F.col("l_orderkey").alias("flow_task_id"), "step_index", F.floor("l_extendedprice").cast("long").alias("processing_ms"), anomaly.alias("is_anomaly"),
