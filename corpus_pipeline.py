@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import shared_folder
 from draftlake.llm.lines import dedup_lines
 from draftlake.llm.neighbours import keep_one
 from draftlake.llm.packing import pack_documents
 from draftlake.llm.secrets import redact
 from draftlake.llm.toxicity import drop_toxic
+from draftlake.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

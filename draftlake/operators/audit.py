@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
+from draftlake.session import shared_folder
 
 COMMON = ("ticket_number", "ticket_type", "issue_date", "due_date", "amount_numeric", "drawer", "payee")
 FIELDS = (
@@ -80,8 +81,9 @@ def has_cycle(edges: DataFrame, key: str = "graph_key") -> DataFrame:
 
     Edges into nodes without edges out are taken away until no more go; what is left has a cycle.
     That takes a round for each edge of the longest path that ends. In every round the edges go to
-    the checkpoint folder, which the session must name.
+    the session's checkpoint folder.
     """
+    shared_folder(edges.sparkSession)
     keys = edges.select(key).distinct()
     left, n = edges.select(key, "src", "dst").distinct(), None
     while True:

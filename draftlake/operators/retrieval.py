@@ -20,12 +20,13 @@ def tokens(c: Column) -> Column:
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, terms, stats): tf and length; document frequency and idf; size and mean length.
 
-    A negative idf is replaced by a quarter of the tenant's mean idf.
+    A negative idf is replaced by a quarter of the tenant's mean idf. Document frequencies come
+    from the distinct tokens of each chunk, added up before the shuffle, not from the postings.
     """
     each = chunks.select("tenant_id", "chunk_id", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
     stats = each.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     postings = each.select("tenant_id", "chunk_id", "dl", F.explode("t").alias("token")).groupBy("tenant_id", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
+    df = each.select("tenant_id", F.explode(F.array_distinct("t")).alias("token")).groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
     raw = df.join(stats, "tenant_id").withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.groupBy("tenant_id").agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw"))
@@ -35,18 +36,36 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, tenant_id, chunk_id, score, rank): Okapi scores over the best of each query.
 
-    Queries (query_id, query) go to every tenant that holds one of their tokens; chunks without
-    any are left out.
+    Queries (query_id, query) go to every tenant, or to their own where they have a tenant_id.
+    Chunks without any of a query's tokens score 0 and fill the ranks that are left. Only the
+    queries' tokens are counted in chunks: Spark sends them to all tasks while they are few, and
+    joins by a shuffle beyond.
     """
-    postings, terms, stats = bm25_index(chunks)
-    q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    hit = postings.join(terms, ["tenant_id", "token"]).join(stats, "tenant_id").join(q, "token")
+    asked = ["tenant_id"] if "tenant_id" in queries.columns else []
+    q = queries.select("query_id", *asked, F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", *asked, "token").agg(F.count("*").alias("qf"))
+    _, terms, stats = bm25_index(chunks)
+    each = chunks.select("tenant_id", "chunk_id", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
+    wanted = each.select("tenant_id", "chunk_id", "dl", F.explode("t").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
+    postings = wanted.groupBy("tenant_id", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "tenant_id", "chunk_id").agg(F.sum(weight * F.col("qf")).alias("raw"))
+    weighed = postings.join(terms, ["tenant_id", "token"]).join(stats, "tenant_id").select("tenant_id", "chunk_id", "token", weight.alias("w"))
+    # A query's tokens as one row for each token: the join gives a row for each query and posting.
+    scored = weighed.join(q, ["token", *asked]).groupBy("query_id", "tenant_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qf")).alias("raw"))
+
     best = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # Where fewer than k hits score above 0, chunks without hits come next, the first ones first.
+    pairs = queries.select("query_id", *asked)
+    pairs = pairs.join(stats.select("tenant_id"), "tenant_id") if asked else pairs.join(F.broadcast(stats.select("tenant_id")))
+    enough = top.groupBy("query_id", "tenant_id").agg(F.count_if(F.round("raw", 9) > 0).alias("hits")).where(F.col("hits") >= k)
+    few = pairs.join(enough, ["query_id", "tenant_id"], "left_anti")
+    others = few.join(chunks.select("tenant_id", "chunk_id"), "tenant_id").join(scored, ["query_id", "tenant_id", "chunk_id"], "left_anti")
+    first = Window.partitionBy("query_id", "tenant_id").orderBy("chunk_id")
+    others = others.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    whole = top.select("query_id", "tenant_id", "chunk_id", "raw").unionByName(others.select("query_id", "tenant_id", "chunk_id", F.lit(0.0).alias("raw")))
+    ranked = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     most = F.max("raw").over(Window.partitionBy("query_id", "tenant_id"))
-    return top.select("query_id", "tenant_id", "chunk_id", F.round(F.col("raw") / F.when(most > 0, most).otherwise(1.0), 6).alias("score"), "rank")
+    return ranked.select("query_id", "tenant_id", "chunk_id", F.round(F.col("raw") / F.when(most > 0, most).otherwise(1.0), 6).alias("score"), "rank")
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -93,7 +112,7 @@ def sparse_search(queries: DataFrame, weights: DataFrame, k: int, dropped: float
     low = Window.partitionBy("query_id").orderBy("weight", "token")
     q = queries.withColumns({"r": F.row_number().over(low), "n": F.count("*").over(Window.partitionBy("query_id"))})
     q = q.where(F.col("r") > F.floor(F.col("n") * dropped)).select("query_id", "token", F.col("weight").alias("qw"))
-    s = weights.join(q, "token").groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    s = weights.join(q, "token").groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.round(F.sum(F.col("qw") * F.col("weight")), 9), 6).alias("score"))
     best = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

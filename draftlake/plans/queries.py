@@ -435,7 +435,8 @@ SEARCH = (
 qt AS (SELECT query_id, token, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS token FROM benchmark) GROUP BY ALL),
 sc AS (SELECT query_id, tenant_id, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qf) AS raw
   FROM po JOIN te USING (tenant_id, token) JOIN st USING (tenant_id) JOIN qt USING (token) GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM sc),
+al AS (SELECT b.item_id AS query_id, c.tenant_id, c.chunk_id, coalesce(raw, 0) AS raw FROM benchmark b CROSS JOIN chunk c LEFT JOIN sc ON sc.query_id = b.item_id AND sc.tenant_id = c.tenant_id AND sc.chunk_id = c.chunk_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM al),
 bm AS (SELECT query_id, tenant_id, chunk_id, round(raw / CASE WHEN m > 0 THEN m ELSE 1 END, 6) AS score, CAST(rank AS INTEGER) AS rank
   FROM (SELECT *, max(raw) OVER (PARTITION BY query_id, tenant_id) AS m FROM rk WHERE rank <= 20))"""
 )
@@ -504,7 +505,7 @@ def reranked(spark, d):
     f"""WITH {INDEX}, q0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS token FROM benchmark),
 q1 AS (SELECT query_id, token, count(*) AS weight FROM q0 GROUP BY ALL),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight, token) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM q1),
-s AS (SELECT query_id, tenant_id, chunk_id, round(sum(weight * (tf / dl::DOUBLE)), 6) AS score FROM po JOIN q2 USING (token) WHERE r > floor(n * 0.2::DOUBLE) GROUP BY ALL),
+s AS (SELECT query_id, tenant_id, chunk_id, round(round(sum(weight * (tf / dl::DOUBLE)), 9), 6) AS score FROM po JOIN q2 USING (token) WHERE r > floor(n * 0.2::DOUBLE) GROUP BY ALL),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT * FROM k WHERE rank <= 20"""
 )
 def sparse_search(spark, d):

@@ -179,7 +179,7 @@ def report_index(spark, d):
 
 @query(
     f"""WITH {AUDITED}, t AS (SELECT *, CASE WHEN bill_id % 7 <> 0 THEN compliance_rate END AS r1, CASE WHEN bill_id % 5 <> 0 THEN codes END AS c1, CASE WHEN bill_id % 3 <> 0 THEN match_score END AS m1, CASE WHEN bill_id % 4 <> 0 THEN fraud_score END AS f1 FROM levelled),
-s AS (SELECT *, round(coalesce(greatest(0.0::DOUBLE, r1 * 100 - severe_count * 15), 60.0::DOUBLE) * 0.3::DOUBLE
+s AS (SELECT *, round(CASE WHEN r1 IS NULL THEN 60.0::DOUBLE ELSE greatest(0.0::DOUBLE, r1 * 100 - severe_count * 15) END * 0.3::DOUBLE
   + coalesce(CASE WHEN c1 IS NOT NULL THEN greatest(0.0::DOUBLE, 100.0::DOUBLE - CASE WHEN has_cycle THEN 50 ELSE 0 END - len(list_filter(c1, lambda x: x <> 'EN03')) * 10) END, 70.0::DOUBLE) * 0.3::DOUBLE
   + coalesce(m1, 50.0::DOUBLE) * 0.2::DOUBLE + coalesce(CASE WHEN f1 IS NOT NULL THEN least(100.0::DOUBLE, greatest(0.0::DOUBLE, (1.0::DOUBLE - f1) * 100)) END, 80.0::DOUBLE) * 0.2::DOUBLE, 2) AS risk FROM t)
 SELECT bill_id, concat_ws(',', CASE WHEN r1 IS NULL THEN 'compliance' END, CASE WHEN c1 IS NULL THEN 'endorsement' END, CASE WHEN m1 IS NULL THEN 'contract' END, CASE WHEN f1 IS NULL THEN 'fraud' END) AS missing, risk AS risk_score FROM s"""
