@@ -106,3 +106,22 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+#: Shards by the middle of each row's bytes in the order of doc_id; CRC-32 byte by byte.
+ORACLES["op9_sharding"] = """
+WITH RECURSIVE steps(n, c, i) AS (
+  SELECT n, n, 0 FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8),
+lookup AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM steps WHERE i = 8),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+codes AS (SELECT doc_id, size, list_transform(regexp_extract_all(h, '..'), lambda x: CAST(('0x' || x) AS BIGINT)) AS b FROM d),
+sums AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS crc FROM codes, lookup),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total,
+         row_number() OVER (ORDER BY doc_id NULLS FIRST, crc) AS n FROM sums),
+dealt AS (SELECT *, least((16 * (2 * start + size)) // (2 * total), 15) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+"""

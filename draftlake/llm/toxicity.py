@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -161,22 +161,25 @@ def pruned(toxic: bytes, ordinary: bytes, ordinary_texts: list[list[bytes]], tox
     """The stretches of a toxic dictionary that save bytes in ``RATIO`` times the share of toxic
     texts than of ordinary ones, the best last. Stretches are cut at spaces."""
     both = Scorer(Model(ordinary, toxic, (), ()))
-    plain, places = {}, defaultdict(set)
+    stretches = sorted({b" " + x + b" " for x in toxic.split(b" ")[1:-1] if 3 <= len(x) <= 24})
+    # Windows that hold the beginning of a stretch, of those in which the dictionary saves anything.
+    places: dict[bytes, list[int]] = {x[i : i + 4]: [] for x in stretches for i in (1, 2)}
+    saving: list[tuple[bool, int, bytes, int]] = []  # toxic, text, window, its length with the ordinary one
     for y, texts in enumerate((ordinary_texts, toxic_texts)):
         for i, ws in enumerate(texts):
             for w in ws:
-                if w not in plain:
-                    plain[w] = len(both.squeeze[0](w)), both.saved(w) >= SAVED
-                if plain[w][1]:
-                    for j in range(len(w) - 3):
-                        places[w[j : j + 4]].add((y, i, w))
+                if both.saved(w) >= SAVED:
+                    for gram in {w[j : j + 4] for j in range(len(w) - 3)}:
+                        if gram in places:
+                            places[gram].append(len(saving))
+                    saving.append((bool(y), i, w, len(both.squeeze[0](w))))
     good = []
-    for x in sorted({b" " + x + b" " for x in toxic.split(b" ")[1:-1] if 3 <= len(x) <= 24}):
-        near = places[x[1:5]] | places[x[2:6]]
-        if len({i for y, i, _ in near if y}) < 3:
+    for x in stretches:
+        near = [saving[n] for n in {*places[x[1:5]], *places[x[2:6]]}]
+        if len({i for y, i, *_ in near if y}) < 3:
             continue
         squeeze = Scorer(Model(ordinary, x, (), ())).squeeze[1]
-        hits = {(y, i) for y, i, w in near if plain[w][0] - len(squeeze(w)) >= SAVED}
+        hits = {(y, i) for y, i, w, plain in near if plain - len(squeeze(w)) >= SAVED}
         n = sum(y for y, _ in hits)
         share = n / len(toxic_texts) / ((len(hits) - n + 1) / max(1, len(ordinary_texts)))
         if n >= 3 and share >= RATIO:
