@@ -51,11 +51,31 @@ def test_cell_search_recall(spark):
 def test_hybrid_search_has_what_only_the_dense_leg_finds(spark, sf):
     from draftlake.plans import queries as Q
 
+    # Tenants of more documents than a leg returns: the keyword leg fills its ranks in smaller ones.
+    sf = sf.replace("sf0.001", "sf0.01")
     fused = {(r.query_id, r.tenant_id, r.chunk_id) for r in Q.hybrid_search(spark, sf).collect()}
     words = [{(r.query_id, r.tenant_id, r.chunk_id) for r in leg(spark, sf).collect()} for leg in (Q._sparse, Q._bm25)]
     assert fused - words[0] - words[1]
 
 
+def test_limits_and_numbers_over_slices(spark):
+    from draftlake.operators import service as V
+
+    rows = [(i, 1, i % 3) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, tenant_id long, x int")
+    got = V.numbered(docs, "tenant_id", "doc_id", width=7).collect()
+    assert {r.doc_id: r.number for r in got} == {i: i + 1 for i in range(50)}
+
+
+def test_marked_table(spark):
+    from draftlake.operators import service as V
+
+    cells = [(1, 0, 0, "a/b", None), (1, 0, 1, "", None), (1, 1, 0, "a", 0.9), (1, 1, 1, "b", 0.9), (2, 0, 0, None, 0.2)]
+    t = V.table_confidence(spark.createDataFrame(cells, "doc_id long, table_id long, row int, value string, accuracy double"))
+    assert {(r.doc_id, r.table_id): r.confidence for r in t.collect()} == {(1, 0): 0.225, (1, 1): 0.9, (2, 0): 0.1}
+    assert {r.doc_id: (r.best_table, r.method, r.is_table) for r in V.table_choice(t).collect()} == {1: (1, "lattice", True), 2: (0, "fallback", False)}
+
+
 def test_long_chain_has_no_cycle(spark):
     rows = [("l", f"n{i}", f"n{i + 1}") for i in range(70)] + [("c", f"n{i}", f"n{i + 1}") for i in range(5)] + [("c", "n5", "n2")]
     e = spark.createDataFrame(rows, "graph_key string, src string, dst string")
