@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from draftlake.functions import exprs as E
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries and chunks (about) that meet in one task at a time.
+QUERY_BLOCK, CHUNK_PART = 512, 1024
 
 
 def tokens(c: Column) -> Column:
@@ -33,39 +39,74 @@ def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, raw.join(mean, "tenant_id").select("tenant_id", "token", "df", idf.alias("idf")), stats
 
 
+def _best_chunks(chunks: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k best chunks (chunk_id, t, dl_rate) for each of some queries (query_id, token, w)."""
+    chunks = chunks.combine_chunks().sort_by("chunk_id")
+    lists = chunks["t"].combine_chunks()
+    asked = queries["query_id"].combine_chunks().dictionary_encode()
+    token = queries["token"].combine_chunks()
+    words = token.unique().drop_null()
+    weights = np.zeros((len(words) + 1, len(asked.dictionary)))
+    # A query without words has one row without a token, and no weight.
+    at = pc.index_in(token, words).fill_null(len(words)).to_numpy()
+    np.add.at(weights, (at, asked.indices.to_numpy()), queries["w"].to_numpy())
+    flat = pc.index_in(lists.flatten(), words).fill_null(len(words)).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    rate = chunks["dl_rate"].to_numpy()[:, None]
+    width, scores = len(weights), []
+    for i in range(0, len(lists), 256):
+        n = min(256, len(lists) - i)
+        row = np.repeat(np.arange(n), np.diff(ends[i : i + n + 1]))
+        tf = np.bincount(row * width + flat[ends[i] : ends[i + n]], minlength=n * width).reshape(n, width)
+        scores.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * rate[i : i + n])) @ weights)
+    score = np.concatenate(scores)
+    # Chunks are in order, so a stable sort settles ties by chunk.
+    top = np.argsort(-np.round(score, 9), axis=0, kind="stable")[:k]
+    names = pa.array(np.tile(np.arange(score.shape[1]), len(top)))
+    raw = np.take_along_axis(score, top, axis=0).ravel()
+    return pa.table({"query_id": asked.dictionary.take(names), "chunk_id": chunks["chunk_id"].take(pa.array(top.ravel())), "raw": raw})
+
+
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, tenant_id, chunk_id, score, rank): Okapi scores over the best of each query.
 
     Queries (query_id, query) go to every tenant, or to their own where they have a tenant_id.
-    Chunks without any of a query's tokens score 0 and fill the ranks that are left. Only the
-    queries' tokens are counted in chunks: Spark sends them to all tasks while they are few, and
-    joins by a shuffle beyond.
+    Chunks without any of a query's tokens score 0 and fill the ranks that are left. A tenant's
+    chunks are dealt into parts and the queries into blocks; each part meets each block once, where
+    all scores are one product of matrices, and hands on its k best for each query.
     """
     asked = ["tenant_id"] if "tenant_id" in queries.columns else []
-    q = queries.select("query_id", *asked, F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", *asked, "token").agg(F.count("*").alias("qf"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     _, terms, stats = bm25_index(chunks)
-    each = chunks.select("tenant_id", "chunk_id", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
-    wanted = each.select("tenant_id", "chunk_id", "dl", F.explode("t").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
-    postings = wanted.groupBy("tenant_id", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = postings.join(terms, ["tenant_id", "token"]).join(stats, "tenant_id").select("tenant_id", "chunk_id", "token", weight.alias("w"))
-    # A query's tokens as one row for each token: the join gives a row for each query and posting.
-    scored = weighed.join(q, ["token", *asked]).groupBy("query_id", "tenant_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qf")).alias("raw"))
-
+    pairs = queries if asked else queries.crossJoin(F.broadcast(stats.select("tenant_id")))
+    q = pairs.select("query_id", "tenant_id", F.explode_outer(tokens(F.col("query"))).alias("token")).groupBy("query_id", "tenant_id", "token").agg(F.count("*").alias("qf"))
+    q = q.join(terms.select("tenant_id", "token", "idf"), ["tenant_id", "token"], "left").join(stats.select("tenant_id", "n_docs"), "tenant_id")
+    parts = F.ceil(F.col("n_docs") / CHUNK_PART).cast("int")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    q = q.select("query_id", F.col("tenant_id").alias("tenant"), "token", F.coalesce(F.col("qf") * F.col("idf"), F.lit(0.0)).alias("w"), block, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+    each = chunks.select("tenant_id", "chunk_id", tokens(F.coalesce("content", F.lit(""))).alias("t")).join(stats, "tenant_id")
+    rate = F.when(F.col("avgdl") > 0, F.size("t") / F.col("avgdl")).otherwise(0.0).alias("dl_rate")
+    part = F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part")
+    each = each.select(F.col("tenant_id").alias("tenant"), "chunk_id", "t", rate, part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    kinds = {**dict(queries.dtypes), **dict(chunks.dtypes)}
+    names = ("query_id", "tenant_id", "chunk_id")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", raw double"
+    empty = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty.empty_table()
+        best = _best_chunks(left, right, k)
+        return best.append_column("tenant_id", pa.repeat(key[0], len(best))).select(empty.names).cast(empty)
+
+    keys = ("tenant", "part", "block")
+    found = each.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, schema)
     best = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    # Where fewer than k hits score above 0, chunks without hits come next, the first ones first.
-    pairs = queries.select("query_id", *asked)
-    pairs = pairs.join(stats.select("tenant_id"), "tenant_id") if asked else pairs.join(F.broadcast(stats.select("tenant_id")))
-    enough = top.groupBy("query_id", "tenant_id").agg(F.count_if(F.round("raw", 9) > 0).alias("hits")).where(F.col("hits") >= k)
-    few = pairs.join(enough, ["query_id", "tenant_id"], "left_anti")
-    others = few.join(chunks.select("tenant_id", "chunk_id"), "tenant_id").join(scored, ["query_id", "tenant_id", "chunk_id"], "left_anti")
-    first = Window.partitionBy("query_id", "tenant_id").orderBy("chunk_id")
-    others = others.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    whole = top.select("query_id", "tenant_id", "chunk_id", "raw").unionByName(others.select("query_id", "tenant_id", "chunk_id", F.lit(0.0).alias("raw")))
-    ranked = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     most = F.max("raw").over(Window.partitionBy("query_id", "tenant_id"))
-    return ranked.select("query_id", "tenant_id", "chunk_id", F.round(F.col("raw") / F.when(most > 0, most).otherwise(1.0), 6).alias("score"), "rank")
+    return ranked.select(*names, F.round(F.col("raw") / F.when(most > 0, most).otherwise(1.0), 6).alias("score"), "rank")
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
