@@ -9,13 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from draftlake.functions import exprs as E
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries and chunks (about) that meet in one task at a time.
-QUERY_BLOCK, CHUNK_PART = 512, 1024
+#: Queries, and chunks or vectors (about), that meet in one task at a time.
+QUERY_BLOCK, CHUNK_PART, VECTOR_PART = 512, 1024, 4096
 
 
 def tokens(c: Column) -> Column:
@@ -109,11 +109,48 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return ranked.select(*names, F.round(F.col("raw") / F.when(most > 0, most).otherwise(1.0), 6).alias("score"), "rank")
 
 
+def _best_vectors(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k best of vectors (chunk_id, v) for each of queries (query_id, q), all of one length."""
+    vectors = vectors.combine_chunks().sort_by("chunk_id")
+    v, q = (t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1) for t, c in ((vectors, "v"), (queries, "q")))
+    score = v @ q.T
+    # Vectors are in order, so a stable sort settles ties by chunk.
+    top = np.argsort(-np.round(score, 6), axis=0, kind="stable")[:k]
+    names = pa.array(np.tile(np.arange(score.shape[1]), len(top)))
+    raw = np.take_along_axis(score, top, axis=0).ravel()
+    return pa.table({"query_id": queries["query_id"].take(names), "chunk_id": vectors["chunk_id"].take(pa.array(top.ravel())), "score": raw})
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Per query the k vectors of its tenant with the highest inner product of unit vectors."""
-    q = queries.select("query_id", "tenant_id", E.normalised("embedding").alias("q"))
-    v = vectors.select("chunk_id", "tenant_id", E.normalised("embedding").alias("v"))
-    s = q.join(v, "tenant_id").select("query_id", "tenant_id", "chunk_id", F.round(E.dot("q", "v"), 6).alias("score"))
+    """Per query the k vectors of its tenant with the highest inner product of unit vectors.
+
+    A tenant's vectors are dealt into parts and the queries into blocks; each part meets each block
+    once and hands on its k best for each query. Vectors that are null or hold a null take no part;
+    a query meets vectors of its own length.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    sizes = vectors.groupBy("tenant_id").agg(F.ceil(F.count("*") / VECTOR_PART).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    q = queries.where(whole).join(sizes, "tenant_id").select(
+        "query_id", F.col("tenant_id").alias("tenant"), E.normalised("embedding").alias("q"), F.size("embedding").alias("width"), block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    part = F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part")
+    v = vectors.where(whole).join(sizes, "tenant_id").select(
+        "chunk_id", F.col("tenant_id").alias("tenant"), E.normalised("embedding").alias("v"), F.size("embedding").alias("width"), part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    )
+    fields = queries.schema["query_id"], vectors.schema["tenant_id"], vectors.schema["chunk_id"]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields]).add("score", "double")
+    empty = to_arrow_schema(schema)
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty.empty_table()
+        best = _best_vectors(left, right, k)
+        return best.append_column("tenant_id", pa.repeat(key[0], len(best))).select(empty.names).cast(empty)
+
+    keys = ("tenant", "width", "part", "block")
+    s = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, schema).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
