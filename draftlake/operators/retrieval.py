@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,6 +17,8 @@ from pyspark.sql.types import StructField, StructType
 from draftlake.functions import exprs as E
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+# Tasks get this module's functions by value: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Queries, and chunks or vectors (about), that meet in one task at a time.
 QUERY_BLOCK, CHUNK_PART, VECTOR_PART = 512, 1024, 4096
 
