@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache, wraps
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -82,18 +82,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 # ---- words of many texts at once ---------------------------------------------------------------
 
-#: Bytes whose hashes are summed up at once; a word of more than LONG_WORD bytes is hashed alone.
-STRETCH, LONG_WORD = 1 << 18, 1 << 12
+#: A word of more bytes than this is hashed alone.
+LONG_WORD = 1 << 8
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
-
-
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte, and the powers of an odd number and of its inverse."""
-    odd = 0x9E3779B97F4A7C15
-    up, down = (np.cumprod(np.append(np.uint64(1), np.full(STRETCH + LONG_WORD, x, np.uint64))) for x in (odd, pow(odd, -1, 2**64)))
-    return np.random.default_rng(20240301).integers(1, 2**64, 256, np.uint64), up, down
+#: What a word's last, shorter piece of eight bytes keeps of the bytes that stand there.
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +121,6 @@ class Words:
 
 
 def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
-    """A word's hash is a sum over its bytes, each weighted by its place: all words' sums are
-    differences of one running sum."""
     blank = BLANK[raw]
     begins = ~blank
     begins[1:] &= blank[:-1]
@@ -141,23 +133,27 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
     return Words(start, end, hashes_of(raw, start, end), np.searchsorted(at, start, "right") - 1)
 
 
-def hashes_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of bytes that come one after another and do not overlap."""
-    values, up, down = _powers()
-    out = np.zeros(len(start), np.uint64)
-    bounds = np.searchsorted(start, np.arange(0, len(raw) + STRETCH, STRETCH))
-    for i, j in zip(bounds, bounds[1:], strict=False):
-        if i == j:
-            continue
-        last = j
-        while last > i and end[last - 1] - start[i] > STRETCH + LONG_WORD - 1:
-            last -= 1  # a long word at the end is hashed alone below
-        if last > i:
-            low = start[i]
-            sums = np.zeros(end[last - 1] - low + 1, np.uint64)
-            np.cumsum(values[raw[low : end[last - 1]]] * up[: len(sums) - 1], out=sums[1:])
-            out[i:last] = (sums[end[i:last] - low] - sums[start[i:last] - low]) * down[start[i:last] - low]
-    out = mixed(out)
-    for i in np.flatnonzero(end - start > LONG_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded.data, strides=(1,))
+
+
+def hashes_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of bytes; another seed gives independent ones.
+
+    Eight bytes of all stretches are taken in at a time, and the hash is mixed before the next:
+    stretches of up to eight bytes and one length never share a hash, and the order of the pieces
+    counts. A long stretch is hashed alone.
+    """
+    size, window = end - start, eights(raw)
+    out = mixed(size.astype(np.uint64) + np.uint64(seed << 32))
+    live, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        piece = window[start[live] + done] & KEPT[np.minimum(size[live] - done, 8)]
+        out[live] = mixed(out[live] ^ piece)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes(), seed)
     return out

@@ -58,13 +58,14 @@ class Sets:
         before = np.searchsorted(breaks, words.start)
         new = np.ones(len(before), bool)
         new[1:] = (before[1:] != before[:-1]) | (words.text[1:] != words.text[:-1])
-        line, h = np.cumsum(new) - 1, words.hash
+        line, h, at_word = np.cumsum(new) - 1, words.hash, np.arange(len(words.hash))
         self.doc = words.text[new]
         self.number = before[new] - np.searchsorted(breaks, at[self.doc])
         if wanted is not None:
             width = max(self.number.max(initial=0), wanted[1].max(initial=0)) + 1
             keep = np.isin(self.doc * width + self.number, wanted[0] * width + wanted[1])
-            h, line = h[keep[line]], (np.cumsum(keep) - 1)[line[keep[line]]]
+            at_word = at_word[keep[line]]
+            h, line = h[at_word], (np.cumsum(keep) - 1)[line[at_word]]
             self.doc, self.number = self.doc[keep], self.number[keep]
         bits = np.uint64((len(rank) - 1).bit_length())
         # The bucket's place by rarity in front, the rest of the hash behind.
@@ -77,6 +78,8 @@ class Sets:
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         self.token, line = token[first], line[first]
+        at_word = at_word[order[first]]
+        self.word = words.start[at_word], words.end[at_word]
         self.start = np.searchsorted(line, np.arange(len(self.doc)))
         self.size = np.diff(np.append(self.start, len(line)))
         self.place = np.arange(len(line)) - np.repeat(self.start, self.size)
@@ -327,7 +330,7 @@ def small_side(table: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> DataFrame:
-    """The later sets of pairs whose Jaccard similarity is high enough, from the lines themselves."""
+    """The later sets of pairs whose Jaccard similarity is high enough, by the lines' words themselves."""
     sides = [pairs.select(*(F.col(f"{side}{x}").alias(y) for x, y in (("", "set"), ("_k", "k"), ("_line", "line")))) for side in ("later", "earlier")]
     # A key's lines are those of the documents that have the key.
     wanted = sides[0].unionByName(sides[1]).distinct().groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "set"))).alias("of"))
@@ -344,12 +347,17 @@ def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> Data
             for i, j in byte_slices(at):
                 part = slice(offsets[i], offsets[j])
                 of = np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
-                s = Sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], rank.value, (of, numbers[part].astype(np.int64)))
+                here = raw[at[i] : at[j]]
+                s = Sets(here, at[i : j + 1] - at[i], rank.value, (of, numbers[part].astype(np.int64)))
                 # Documents that share a key can have other lines at that place.
                 keep = np.isin(s.set, sets[part])
-                yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), _split(s.token[np.repeat(keep, s.size)], s.size[keep])], ["set", "tokens"])
+                inside, whole = np.repeat(keep, s.size), here.tobytes()
+                words = [whole[a:b] for a, b in zip(s.word[0][inside].tolist(), s.word[1][inside].tolist(), strict=True)]
+                offsets_out = np.concatenate([[0], np.cumsum(s.size[keep])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets_out), pa.array(words, pa.binary()).view(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), lists], ["set", "tokens"])
 
-    lines = named.select("t", "lines", "sets").mapInArrow(tidy(run), "set long, tokens array<long>")
+    lines = named.select("t", "lines", "sets").mapInArrow(tidy(run), "set long, tokens array<string>")
     lines = lines.groupBy("set").agg(F.first("tokens").alias("tokens"))
     joined = pairs.join(lines.withColumnsRenamed({"set": "later", "tokens": "a"}), "later").join(lines.withColumnsRenamed({"set": "earlier", "tokens": "b"}), "earlier")
     common = F.size(F.array_intersect("a", "b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -149,20 +150,20 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), text_or_empty(text)).alias("row"), text_or_empty(text).alias("t"))
 
 
-def similarities(sets: list[np.ndarray]) -> np.ndarray:
-    """The Jaccard similarities of all pairs of sets, exactly."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.int64)
     for low in range(0, int(column[-1]) + 1, 4096):
         at = slice(*np.searchsorted(column, [low, low + 4096]))
         m = np.zeros((len(sets), 4096), np.float32)
         m[owner[at], column[at] - low] = 1
-        both += m @ m.T
-    return both / (sizes[:, None] + sizes[None, :] - both)
+        both += (m @ m.T).astype(np.int64)  # a product's numbers are 4,096 at most
+    return both
 
 
 def smallest(hit: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -183,28 +184,31 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float, depth: int) -
     its links tell of links not seen. The edges to the smallest set span the links of the block, so
     no component falls apart. Links tell for each depth how many links would not meet there: a link
     that meets at this depth with chance p stands for 1 / p of them."""
-    depths = np.arange(1, LEVELS + 1)
+    depths, least = np.arange(1, LEVELS + 1), Fraction(str(similarity))
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         low, high = rows[0][1], rows[0][2]
         sides = np.array([r[3] for r in rows])
         ids = np.array([r[4] for r in rows], np.int64)
         weight = np.array([r[5] for r in rows], np.int64)
-        alike = similarities([r[6].view(np.uint64) for r in rows])
-        hit = alike >= similarity - 1e-6
+        sets = [r[6].view(np.uint64) for r in rows]
+        both, sizes = overlaps(sets), np.array([len(x) for x in sets])
+        union = sizes[:, None] + sizes[None, :] - both
+        # In whole numbers, so a pair just below the similarity is never linked.
+        hit = least.denominator * both >= least.numerator * union
         np.fill_diagonal(hit, False)
         if low != high:
             hit &= sides[:, None] != sides[None, :]
         links = hit @ weight
-        least = smallest(hit, ids)
+        lowest = smallest(hit, ids)
         some = links > 0
-        near = np.clip(alike[hit], similarity, 1.0)
+        near = np.clip(both[hit] / union[hit], similarity, 1.0)
         stands = 1 / meet_chance(near, depth)
         unseen = [float((stands * (1 - meet_chance(near, d))).sum()) for d in depths] + [float(stands.sum())]
         told = [np.append(x, np.zeros(max(0, some.sum() - 1)))[: some.sum()] for x in unseen]
         flat = np.stack(told, axis=1).ravel() if some.any() else np.zeros(0)
         lists = pa.FixedSizeListArray.from_arrays(pa.array(flat), LEVELS + 1).cast(pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(least[some]), lists], ["set", "links", "least", "unseen"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(lowest[some]), lists], ["set", "links", "least", "unseen"])
 
     now, rows = None, []
     for batch in batches:
@@ -274,7 +278,8 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     1 - ``recall``. Null,
     empty and blank texts have no shingles: no links, and a class of their own. Rows alike in key
     and text count as copies; a class of null keys alone is named by a hash; other columns are not
-    looked at; an empty table gives no rows. Documents of one key and different texts can have one
+    looked at; an empty table gives no rows. Keys may be of any type; class is a string where they are
+    no whole numbers. Documents of one key and different texts can have one
     class's name without being linked; root tells classes apart.
     """
     signed = cut(signatures(docs, key, text, width))
@@ -297,9 +302,12 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     classed = sets.select("set", "k", "copies").join(totals, "set", "left").join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     classed = classed.withColumn("root", F.coalesce("root", "set")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     names = classed.groupBy("root").agg(F.min("k").alias("class"))
-    classed = classed.join(names, "root").select("set", "root", F.coalesce("class", "root").alias("class"), "links")
+    # Whole numbers name classes as they are; other keys as strings.
+    kind = "bigint" if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else "string"
+    named = lambda *names: F.coalesce(*(F.col(x).cast(kind) for x in names)).alias("class")
+    classed = classed.join(names, "root").select("set", "root", named("class", "root"), "links")
     return signed.select("k", "row", "set").join(classed, "set", "left").select(
-        "k", "row", F.coalesce("root", "row").alias("root"), F.coalesce("class", "k", "row").alias("class"), F.coalesce("links", F.lit(0)).alias("links")
+        "k", "row", F.coalesce("root", "row").alias("root"), named("class", "k", "row"), F.coalesce("links", F.lit(0)).alias("links")
     )
 
 

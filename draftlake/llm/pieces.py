@@ -24,8 +24,6 @@ TOGETHER, WINDOW = 1 << 15, 32
 MULTIPLIERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)))
 #: Tables of pieces have 2^BITS slots, the answers kept for pairs of pieces 2^PAIR_BITS.
 BITS, PAIR_BITS = 17, 19
-#: A second number for each byte: a stretch's sum of them is its second hash.
-SECOND = np.random.default_rng(20240302).integers(1, 2**64, 256, np.uint64)
 
 
 def slot_of(keys: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -313,13 +311,11 @@ class Pieces:
         if len(empty):
             keep = ~np.isin(start, at[empty])
             start, end = start[keep], end[keep]
-        keys = hashes_of(raw, start, end)
-        totals = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(SECOND[raw], out=totals[1:])
-        others = totals[end] - totals[start]
+        keys, others = (hashes_of(raw, start, end, seed) for seed in (0, 1))
         low, size, miss = self.cache.find(keys, others)
         if len(miss):
-            _, first, turn = np.unique(keys[miss], return_index=True, return_inverse=True)
+            both = np.stack([keys[miss], others[miss]], axis=1)
+            _, first, turn = np.unique(both, axis=0, return_index=True, return_inverse=True)
             new = miss[first]
             texts = [raw[a:b].tobytes().decode("utf-8", "surrogatepass").replace(" ", SPACE) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
             ids = []
@@ -349,7 +345,7 @@ class Pieces:
 
 
 class Cache:
-    """Ids of stretches by two hashes. A later stretch takes an earlier one's slot; all begin anew
+    """Ids of stretches by two hashes, 128 bits together. A later stretch takes an earlier one's slot; all begin anew
     when the ids fill their room."""
 
     def __init__(self, most: int):
