@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from draftlake.llm.counting import op12_token_counts
 from draftlake.llm.licences import op2_licences
 from draftlake.llm.lines import op1_line_dedup
+from draftlake.llm.manifest import op13_manifest
+from draftlake.llm.middle import op11_fill_in_middle
 from draftlake.llm.neighbours import op3_ngram_join
 from draftlake.llm.packing import op4_packing
 from draftlake.llm.pieces import op6_pieces
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_manifest": op13_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -125,3 +131,65 @@ dealt AS (SELECT *, least((16 * (2 * start + size)) // (2 * total), 15) AS shard
 SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
 """
+
+#: The cuts by the hash of 1: and the number; the text that comes back is the text.
+ORACLES["op11_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+w AS (SELECT *, CAST(('0x' || h[1:8]) AS BIGINT) % (n + 1) AS x, CAST(('0x' || h[9:16]) AS BIGINT) % (n + 1) AS y, CAST(('0x' || h[17:24]) AS BIGINT) AS h3, CAST(('0x' || h[25:32]) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE WHEN form = 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256 FROM p
+"""
+
+#: Levels of a source's tree, and of the tree of sources, that the SQL has room for: 16^6 nodes each.
+_LEVELS = 6
+
+
+def _tree_sql(name: str) -> str:
+    """From {name}0 (g, pos, n, h): a level's runs {name}_r1, the next level {name}1, and so on."""
+    return "".join(
+        f"""{name}_r{i + 1} AS MATERIALIZED (SELECT g, pos // 16 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {name}{i} GROUP BY ALL),
+{name}{i + 1} AS (SELECT g, run AS pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}_r{i + 1}),
+"""
+        for i in range(_LEVELS)
+    )
+
+
+def _climb_sql(name: str, out: str, start: str) -> str:
+    """From {out}0 = start (with g, pos, siblings, f): siblings and folded hashes up to the top."""
+    sql = f"{out}0 AS ({start}),\n"
+    for i in range(_LEVELS):
+        before, after = (f"array_to_string(hs[{a}], '')" for a in ("1:pos % 16", "pos % 16 + 2:"))
+        sql += f"""{out}{i + 1} AS (SELECT t.* REPLACE (t.pos // 16 AS pos, CASE WHEN r.n > 1 THEN siblings || {before} || {after} ELSE siblings END AS siblings,
+  CASE WHEN r.n > 1 THEN sha256({before} || f || {after}) ELSE f END AS f) FROM {out}{i} t JOIN {name}_r{i + 1} r ON r.g = t.g AND r.run = t.pos // 16),
+"""
+    return sql
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+#: CRC-32 of the number's digits byte by byte; then both trees level by level.
+ORACLES["op13_manifest"] = f"""
+WITH RECURSIVE steps(n, c, i) AS (
+  SELECT n, n, 0 FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 8),
+lookup AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM steps WHERE i = 8),
+d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS crc FROM documents, lookup),
+l AS MATERIALIZED (SELECT doc_id, {_leaf_sql('text')} AS leaf, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+  CASE WHEN crc % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql('text')} END AS other FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+a0 AS (SELECT g, pos, n, leaf AS h FROM p),
+{_tree_sql('a')}s AS MATERIALIZED (SELECT g, h AS subroot FROM a{_LEVELS}),
+b0 AS (SELECT 0 AS g, g AS pos, count(*) OVER () AS n, subroot AS h FROM s),
+{_tree_sql('b')}{_climb_sql('a', 'x', "SELECT doc_id, leaf, g, pos, '' AS siblings, other AS f FROM p")}
+{_climb_sql('b', 'y', f"SELECT x.* REPLACE (0 AS g, x.g AS pos), subroot FROM x{_LEVELS} x JOIN s USING (g)")}
+root AS (SELECT h AS root FROM b{_LEVELS})
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, f AS folded_root, f = root AS verified FROM y{_LEVELS}, root
+"""
