@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from draftlake.functions import exprs as E
+from draftlake.operators import keywords
+from draftlake.operators.keywords import asked_tokens, postings_of, ranked_chunks, with_idf
+from draftlake.session import shared_folder
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-# Tasks get this module's functions by value: executors need not have the package.
+# Tasks get these modules' functions by value: executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-#: Queries, and chunks or vectors (about), that meet in one task at a time.
-QUERY_BLOCK, CHUNK_PART, VECTOR_PART = 512, 1024, 4096
+cloudpickle.register_pickle_by_value(keywords)
+#: Queries, and vectors (about), that meet in one task at a time.
+QUERY_BLOCK, VECTOR_PART = 512, 4096
 
 
 def tokens(c: Column) -> Column:
@@ -28,90 +31,30 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+|[\\x{4e00}-\\x{9fff}]"), 0)
 
 
-def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bm25_index(chunks: DataFrame, words: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, terms, stats): tf and length; document frequency and idf; size and mean length.
 
     A negative idf is replaced by a quarter of the tenant's mean idf. Document frequencies come
     from the distinct tokens of each chunk, added up before the shuffle, not from the postings.
     """
-    each = chunks.select("tenant_id", "chunk_id", tokens(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
+    each = chunks.select("tenant_id", "chunk_id", words(F.col("content")).alias("t")).withColumn("dl", F.size("t"))
     stats = each.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = each.select("tenant_id", "chunk_id", "dl", F.explode("t").alias("token")).groupBy("tenant_id", "chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     df = each.select("tenant_id", F.explode(F.array_distinct("t")).alias("token")).groupBy("tenant_id", "token").agg(F.count("*").alias("df"))
-    raw = df.join(stats, "tenant_id").withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.groupBy("tenant_id").agg(F.avg("raw").alias("mean_idf"))
-    idf = F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw"))
-    return postings, raw.join(mean, "tenant_id").select("tenant_id", "token", "df", idf.alias("idf")), stats
-
-
-def _best_chunks(chunks: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The k best chunks (chunk_id, t, dl_rate) for each of some queries (query_id, token, w)."""
-    chunks = chunks.combine_chunks().sort_by("chunk_id")
-    lists = chunks["t"].combine_chunks()
-    asked = queries["query_id"].combine_chunks().dictionary_encode()
-    token = queries["token"].combine_chunks()
-    words = token.unique().drop_null()
-    weights = np.zeros((len(words) + 1, len(asked.dictionary)))
-    # A query without words has one row without a token, and no weight.
-    at = pc.index_in(token, words).fill_null(len(words)).to_numpy()
-    np.add.at(weights, (at, asked.indices.to_numpy()), queries["w"].to_numpy())
-    flat = pc.index_in(lists.flatten(), words).fill_null(len(words)).to_numpy().astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-    rate = chunks["dl_rate"].to_numpy()[:, None]
-    width, scores = len(weights), []
-    for i in range(0, len(lists), 256):
-        n = min(256, len(lists) - i)
-        row = np.repeat(np.arange(n), np.diff(ends[i : i + n + 1]))
-        tf = np.bincount(row * width + flat[ends[i] : ends[i + n]], minlength=n * width).reshape(n, width)
-        scores.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * rate[i : i + n])) @ weights)
-    score = np.concatenate(scores)
-    # Chunks are in order, so a stable sort settles ties by chunk.
-    top = np.argsort(-np.round(score, 9), axis=0, kind="stable")[:k]
-    names = pa.array(np.tile(np.arange(score.shape[1]), len(top)))
-    raw = np.take_along_axis(score, top, axis=0).ravel()
-    return pa.table({"query_id": asked.dictionary.take(names), "chunk_id": chunks["chunk_id"].take(pa.array(top.ravel())), "raw": raw})
+    return postings_of(chunks, words), with_idf(df, stats), stats
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, words: Callable[[Column], Column] = tokens, told: bool = False) -> DataFrame:
     """(query_id, tenant_id, chunk_id, score, rank): Okapi scores over the best of each query.
 
     Queries (query_id, query) go to every tenant, or to their own where they have a tenant_id.
-    Chunks without any of a query's tokens score 0 and fill the ranks that are left. A tenant's
-    chunks are dealt into parts and the queries into blocks; each part meets each block once, where
-    all scores are one product of matrices, and hands on its k best for each query.
+    Chunks without any of a query's tokens score 0 and fill the ranks that are left. Postings are
+    searched as ``keywords.ranked_chunks`` says; with ``told`` it tells how many were read.
     """
-    asked = ["tenant_id"] if "tenant_id" in queries.columns else []
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    _, terms, stats = bm25_index(chunks)
-    pairs = queries if asked else queries.crossJoin(F.broadcast(stats.select("tenant_id")))
-    q = pairs.select("query_id", "tenant_id", F.explode_outer(tokens(F.col("query"))).alias("token")).groupBy("query_id", "tenant_id", "token").agg(F.count("*").alias("qf"))
-    q = q.join(terms.select("tenant_id", "token", "idf"), ["tenant_id", "token"], "left").join(stats.select("tenant_id", "n_docs"), "tenant_id")
-    parts = F.ceil(F.col("n_docs") / CHUNK_PART).cast("int")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    q = q.select("query_id", F.col("tenant_id").alias("tenant"), "token", F.coalesce(F.col("qf") * F.col("idf"), F.lit(0.0)).alias("w"), block, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-
-    each = chunks.select("tenant_id", "chunk_id", tokens(F.coalesce("content", F.lit(""))).alias("t")).join(stats, "tenant_id")
-    rate = F.when(F.col("avgdl") > 0, F.size("t") / F.col("avgdl")).otherwise(0.0).alias("dl_rate")
-    part = F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part")
-    each = each.select(F.col("tenant_id").alias("tenant"), "chunk_id", "t", rate, part, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    kinds = {**dict(queries.dtypes), **dict(chunks.dtypes)}
-    names = ("query_id", "tenant_id", "chunk_id")
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", raw double"
-    empty = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return empty.empty_table()
-        best = _best_chunks(left, right, k)
-        return best.append_column("tenant_id", pa.repeat(key[0], len(best))).select(empty.names).cast(empty)
-
-    keys = ("tenant", "part", "block")
-    found = each.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, schema)
-    best = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc(F.round("raw", 9)), "chunk_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    most = F.max("raw").over(Window.partitionBy("query_id", "tenant_id"))
-    return ranked.select(*names, F.round(F.col("raw") / F.when(most > 0, most).otherwise(1.0), 6).alias("score"), "rank")
+    chunks = chunks.withColumn("content", F.coalesce("content", F.lit("")))
+    postings, terms, stats = bm25_index(chunks, words)
+    shared_folder(chunks.sparkSession)
+    stats = stats.checkpoint()
+    return ranked_chunks(asked_tokens(queries, stats, words), postings, terms, stats, chunks, k, told)
 
 
 def _best_vectors(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:

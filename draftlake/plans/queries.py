@@ -702,5 +702,6 @@ def bill_fingerprints(spark, d):
     return b.select("bill_id", E.fingerprint("ticket_number", "drawer", "acceptor", "due_date", "amount_numeric", "endorsers").alias("fingerprint"), E.search_query(F.lit("q"), F.lit("INTENT_PRICING")).alias("search_query"))
 
 
-# The queries of the service's pages register themselves here.
+# The queries of other modules register themselves here.
+import draftlake.plans.index  # noqa: E402
 import draftlake.plans.service  # noqa: E402, F401
