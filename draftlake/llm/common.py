@@ -147,8 +147,10 @@ def hashes_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0
     counts. A long stretch is hashed alone.
     """
     size, window = end - start, eights(raw)
-    out = mixed(size.astype(np.uint64) + np.uint64(seed << 32))
-    live, done = np.flatnonzero(size <= LONG_WORD), 0
+    # What a hash begins with is looked up by the length.
+    begin = mixed(np.arange(LONG_WORD + 2, dtype=np.uint64) + np.uint64(seed << 32))
+    out = mixed(begin[np.minimum(size, LONG_WORD + 1)] ^ (window[start] & KEPT[np.minimum(size, 8)]))
+    live, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
     while len(live):
         piece = window[start[live] + done] & KEPT[np.minimum(size[live] - done, 8)]
         out[live] = mixed(out[live] ^ piece)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlake.llm.common import byte_slices, cut, mixed, read, shuffle_parts, text_bytes, text_or_empty, tidy, words_of
+from draftlake.llm.common import byte_slices, cut, hashes_of, mixed, read, shuffle_parts, text_bytes, text_or_empty, tidy, words_of
 
 SIMILARITY = 0.8
 #: Tokens are counted in so many buckets, a power of two; the counts, a table of fixed size, go to every task.
@@ -330,7 +330,10 @@ def small_side(table: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> DataFrame:
-    """The later sets of pairs whose Jaccard similarity is high enough, by the lines' words themselves."""
+    """The later sets of pairs whose Jaccard similarity is high enough, from the lines themselves.
+
+    Words are compared by hashes of their own, independent of those that proposed the pair: two
+    words that differ must share 128 bits to count as one."""
     sides = [pairs.select(*(F.col(f"{side}{x}").alias(y) for x, y in (("", "set"), ("_k", "k"), ("_line", "line")))) for side in ("later", "earlier")]
     # A key's lines are those of the documents that have the key.
     wanted = sides[0].unionByName(sides[1]).distinct().groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "set"))).alias("of"))
@@ -351,13 +354,11 @@ def verified(pairs: DataFrame, docs: DataFrame, rank, similarity: float) -> Data
                 s = Sets(here, at[i : j + 1] - at[i], rank.value, (of, numbers[part].astype(np.int64)))
                 # Documents that share a key can have other lines at that place.
                 keep = np.isin(s.set, sets[part])
-                inside, whole = np.repeat(keep, s.size), here.tobytes()
-                words = [whole[a:b] for a, b in zip(s.word[0][inside].tolist(), s.word[1][inside].tolist(), strict=True)]
-                offsets_out = np.concatenate([[0], np.cumsum(s.size[keep])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets_out), pa.array(words, pa.binary()).view(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), lists], ["set", "tokens"])
+                inside = np.repeat(keep, s.size)
+                words = hashes_of(here, s.word[0][inside], s.word[1][inside], seed=1)
+                yield pa.RecordBatch.from_arrays([pa.array(s.set[keep]), _split(words, s.size[keep])], ["set", "tokens"])
 
-    lines = named.select("t", "lines", "sets").mapInArrow(tidy(run), "set long, tokens array<string>")
+    lines = named.select("t", "lines", "sets").mapInArrow(tidy(run), "set long, tokens array<long>")
     lines = lines.groupBy("set").agg(F.first("tokens").alias("tokens"))
     joined = pairs.join(lines.withColumnsRenamed({"set": "later", "tokens": "a"}), "later").join(lines.withColumnsRenamed({"set": "earlier", "tokens": "b"}), "earlier")
     common = F.size(F.array_intersect("a", "b"))
