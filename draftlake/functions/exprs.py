@@ -216,3 +216,16 @@ def bill_text() -> Column:
         say("amount_text"), "（¥", amount, "），收款人：", say("payee"), "，背书人：[", F.when(F.size("endorsers") > 0, F.array_join("endorsers", "、")).otherwise("无"), "]",
     )
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+# Fixed value: the standard namespace of object identifiers.
+OID_NAMESPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
+
+
+def uuid5(namespace: Column, name: Column) -> Column:
+    """The version 5 UUID of a name (its UTF-8 bytes) in a namespace, itself a UUID as text."""
+    h = F.sha1(F.concat(F.unhex(F.replace(namespace, F.lit("-"), F.lit(""))), F.encode(name.cast("string"), "UTF-8")))
+    part = lambda start, n: F.substring(h, start, n)
+    # The version stands in the seventh byte; the two highest bits of the ninth are 1 and 0.
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))

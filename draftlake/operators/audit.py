@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
-from draftlake.session import shared_folder
 
 COMMON = ("ticket_number", "ticket_type", "issue_date", "due_date", "amount_numeric", "drawer", "payee")
 FIELDS = (
@@ -58,7 +57,7 @@ def with_endorsement(bills: DataFrame) -> DataFrame:
     twice = F.size(F.array_distinct("chain")) < F.size("chain")
     own = F.coalesce(F.exists("endorsers", lambda x: F.coalesce(x == F.col("drawer"), F.lit(False))), F.lit(False))
     # Beyond the end the second operand is null.
-    same = F.zip_with("endorsers", F.slice("endorsers", 2, 1_000_000), lambda x, y: F.coalesce((x == y) & ~blank(x), F.lit(False)))
+    same = F.zip_with("endorsers", F.slice("endorsers", F.lit(2), F.size("endorsers")), lambda x, y: F.coalesce((x == y) & ~blank(x), F.lit(False)))
     codes = F.array_compact(F.array(
         F.when(twice, "EN02"), F.when(twice, "EN03"), F.when(F.exists("endorsers", blank), "EN04"),
         F.when(F.size("endorsers") > 10, "EN06"), F.when(own, "EN07"), F.when(F.exists(same, lambda x: x), "EN09"),
@@ -72,30 +71,10 @@ def with_endorsement(bills: DataFrame) -> DataFrame:
 def endorsement_edges(bills: DataFrame) -> DataFrame:
     """(bill_id, tenant_id, position, src, dst) between consecutive parties that are not blank."""
     chain = with_endorsement(bills).select("bill_id", "tenant_id", "chain")
-    pairs = F.zip_with(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))), F.slice("chain", 2, 1_000_000), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+    pairs = F.zip_with(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))), F.slice("chain", F.lit(2), F.size("chain")), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
     return chain.select("bill_id", "tenant_id", F.posexplode(pairs).alias("position", "e")).select("bill_id", "tenant_id", "position", "e.src", "e.dst")
 
 
-def has_cycle(edges: DataFrame, key: str = "graph_key") -> DataFrame:
-    """(key, has_cycle) for each graph of an edge table (key, src, dst).
-
-    Edges into nodes without edges out are taken away until no more go; what is left has a cycle.
-    That takes a round for each edge of the longest path that ends. In every round the edges go to
-    the session's checkpoint folder.
-    """
-    shared_folder(edges.sparkSession)
-    keys = edges.select(key).distinct()
-    left, n = edges.select(key, "src", "dst").distinct(), None
-    while True:
-        ahead = left.select(key, F.col("src").alias("dst")).distinct()
-        left = left.join(ahead, [key, "dst"], "left_semi").checkpoint()
-        now = left.count()
-        if now == n or not now:
-            break
-        n = now
-    return keys.join(left.select(key, F.lit(True).alias("c")).distinct(), key, "left").select(key, F.coalesce("c", F.lit(False)).alias("has_cycle"))
-
-
 def with_fraud(endorsed: DataFrame) -> DataFrame:
     c = F.coalesce(F.col("confidence_score"), F.lit(0.95))
     seal = F.when(c >= 0.90, 0.02).when(c >= 0.75, 0.10).otherwise(0.30)

@@ -75,9 +75,11 @@ class Postings:
         block's bounds of all tokens to come reach the k-th best score already certain.
         """
         here = [(self.words[w], x) for w, x in zip(words, weights.tolist(), strict=True) if w in self.words]
+        if not here:
+            return np.zeros(0, np.int64), np.zeros(0), {"postings": 0, "postings_read": 0, "matched": 0}
         here.sort(key=lambda x: -abs(x[1]) * self.greatest[x[0]].max())
-        bounds = np.array([np.maximum(0.0, x * self.greatest[i]) for i, x in here]).reshape(len(here), -1)
-        ahead = np.vstack([np.cumsum(bounds[::-1], axis=0)[::-1], np.zeros((1, bounds.shape[1] if len(here) else 1))])
+        bounds = np.array([np.maximum(0.0, x * self.greatest[i]) for i, x in here])
+        ahead = np.vstack([np.cumsum(bounds[::-1], axis=0)[::-1], np.zeros((1, bounds.shape[1]))])
         losses = np.append(np.cumsum([min(0.0, x * self.greatest[i].max()) for i, x in here][::-1])[::-1], 0.0)
         n = len(self.chunks)
         score, seen, alive, least = np.zeros(n), np.zeros(n, bool), np.ones(n, bool), -np.inf

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from draftlake.functions import exprs as E
 from draftlake.functions import segment
 from draftlake.operators import retrieval as R
+from draftlake.operators import service as V
+from draftlake.operators.admission import admissions
 from draftlake.operators.keywords import KeptIndex
-from draftlake.plans.queries import BILLS, ORACLES, SEARCH, _chunk_table, query
+from draftlake.plans.queries import BILLS, LOGS, ORACLES, QUERIES, SEARCH, _chunk_table, query
 from draftlake.session import shared_folder
 from draftlake.sources import domain as D
+from draftlake.sources.chunk_store import chunk_uuid
+from draftlake.sources.html import html_elements, markdown, parse_stats, table_cells
 
 # ---- bills' texts by the words of the trade -----------------------------------------------------
 
@@ -104,3 +108,69 @@ def search_effort(spark, d):
     queries = D.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     told = R.bm25_search(queries, _chunk_table(spark, d), 20, told=True)
     return told.groupBy("tenant_id").agg(F.sum("postings").alias("postings"), F.sum("postings_read").alias("postings_read"))
+
+
+# ---- elements of web pages ----------------------------------------------------------------------
+
+#: The blocks of a page by patterns alone (the pages have no tables): scripts, styles and comments go,
+#: block tags part the text, other tags vanish, and the entities that occur are read.
+ELEMENTS_SQL = """
+cleaned AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?si)<script\\b.*?(</script>|$)|<style\\b.*?(</style>|$)|<!--.*?(-->|$)|<![^>]*(>|$)', '', 'g'), '(?i)<br[^>]*(>|$)', ' ', 'g') AS h FROM pages),
+parted AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '(?i)</?(html|head|body|title|nav|ul|ol|li|div|article|section|h[1-6]|p|footer|header|main|table|tr|td|th|thead|tbody|blockquote|pre)\\b[^>]*(>|$)', chr(1), 'g'), '<[^>]*(>|$)', '', 'g') AS h FROM cleaned),
+blocks AS (SELECT page_id, url, unnest(string_split(h, chr(1))) AS x, generate_subscripts(string_split(h, chr(1)), 1) AS place FROM parted),
+pieces AS (SELECT page_id, url, place, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '[\\s\\x{a0}]+', ' ', 'g')) AS content FROM blocks),
+elements AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS element_idx, content FROM pieces WHERE content <> '')"""
+
+
+@query(f"WITH {ELEMENTS_SQL} SELECT page_id, CAST(element_idx AS INTEGER) AS element_idx, 'text' AS element_type, content FROM elements")
+def page_elements(spark, d):
+    found = html_elements(D.table(spark, d, "pages"))
+    return found.select("page_id", "element_idx", "element_type", F.coalesce("content", markdown(F.col("cells"))).alias("content"))
+
+
+@query(
+    f"""WITH {ELEMENTS_SQL}, sized AS (SELECT p.page_id, regexp_extract(p.url, '^https?://([^/]+)', 1) AS host, sum(length(content)) AS size, count(content) AS texts FROM pages p JOIN elements e USING (page_id) GROUP BY ALL)
+SELECT host, count(*) FILTER (size >= 50) AS text_pages, count(*) FILTER (size < 50) AS ocr_pages, CAST(sum(texts) AS BIGINT) AS text_elements,
+  CAST(0 AS BIGINT) AS tables_lattice, CAST(0 AS BIGINT) AS tables_stream, CAST(0 AS BIGINT) AS tables_fallback FROM sized GROUP BY 1"""
+)
+def page_parse_stats(spark, d):
+    pages = D.table(spark, d, "pages")
+    found = html_elements(pages).join(pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")), "page_id")
+    return parse_stats(found, V.table_confidence(table_cells(found)), "host")
+
+
+# ---- keys and admission -------------------------------------------------------------------------
+
+
+def _uuid_sql(namespace: str, name: str) -> str:
+    h = f"sha1(unhex(replace({namespace}, '-', '')) || encode(CAST({name} AS VARCHAR)))"
+    return f"list_transform([{h}], lambda h: h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32])[1]"
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, i - 1 AS element_idx FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE trim(parts[i]) <> ''),
+n AS (SELECT *, {_uuid_sql(f"'{E.OID_NAMESPACE}'", 'doc_id')} AS own FROM e)
+SELECT doc_id, CAST(element_idx AS INTEGER) AS element_idx, {_uuid_sql('own', 'element_idx')} AS chunk_key FROM n"""
+)
+def chunk_keys(spark, d):
+    return QUERIES["text_elements"](spark, d).select("doc_id", "element_idx", chunk_uuid("doc_id", "element_idx").alias("chunk_key"))
+
+
+#: A limit that the events of a day go beyond for most tenants.
+_DAY, _LIMIT = 86_400, 25
+
+
+@query(
+    f"""WITH RECURSIVE {LOGS}, r AS (SELECT id, tenant_id, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, id) AS n FROM logs),
+go(id, tenant_id, t, n, held, admitted, remaining, reset_in_us) AS (
+  SELECT id, tenant_id, t, n, [t], TRUE, CAST({_LIMIT} + tenant_id - 1 AS BIGINT), CAST({_DAY}000000 AS BIGINT) FROM r WHERE n = 1
+  UNION ALL
+  SELECT id, tenant_id, t, n, CASE WHEN len(kept) < most THEN list_append(kept, t) ELSE kept END, len(kept) < most,
+    CAST(greatest(0, most - len(kept) - 1) AS BIGINT), CASE WHEN len(kept) < most THEN {_DAY}000000 ELSE {_DAY}000000 - (t - kept[1]) END
+  FROM (SELECT r.id, r.tenant_id, r.t, r.n, {_LIMIT} + r.tenant_id AS most, list_filter(g.held, lambda x: x > r.t - {_DAY}000000) AS kept FROM go g JOIN r ON r.tenant_id = g.tenant_id AND r.n = g.n + 1))
+SELECT id, tenant_id, admitted, remaining, reset_in_us FROM go"""
+)
+def admitted_requests(spark, d):
+    logs = D.query_logs(spark, d).select("id", "tenant_id", "created_at")
+    limits = D.tenants(spark, d).select("tenant_id", (F.lit(_LIMIT) + F.col("tenant_id")).alias("request_limit"))
+    return admissions(logs, limits, _DAY)

@@ -8,6 +8,7 @@ from draftlake.functions import exprs as E
 from draftlake.operators import audit as A
 from draftlake.operators import extraction as X
 from draftlake.operators import lifecycle as L
+from draftlake.operators import network as N
 from draftlake.operators import retrieval as R
 from draftlake.operators import reuse as U
 from draftlake.operators import stats as S
@@ -226,8 +227,23 @@ SELECT tenant_id AS graph_key, bool_or(src = dst) AS has_cycle FROM reach GROUP
 )
 def endorsement_network(spark, d):
     """Whether each tenant's endorsements, over all its bills, hold a cycle of parties."""
-    edges = A.endorsement_edges(D.bills(spark, d)).select(F.col("tenant_id").alias("graph_key"), "src", "dst")
-    return A.has_cycle(edges)
+    return N.has_cycle(_party_edges(spark, d))
+
+
+def _party_edges(spark, d):
+    return A.endorsement_edges(D.bills(spark, d)).select(F.col("tenant_id").alias("graph_key"), "src", "dst")
+
+
+@query(
+    f"""WITH RECURSIVE {AUDITED}, pr AS (SELECT tenant_id, chain, unnest(range(1, len(chain))) AS i FROM endorsed),
+ed AS (SELECT DISTINCT tenant_id, chain[i] AS src, chain[i + 1] AS dst FROM pr WHERE tenant_id IS NOT NULL),
+reach(tenant_id, src, dst) AS (SELECT * FROM ed UNION SELECT r.tenant_id, r.src, e.dst FROM reach r JOIN ed e ON e.tenant_id = r.tenant_id AND e.src = r.dst),
+both_ways AS (SELECT a.tenant_id, a.src AS party, min(a.dst) AS component, count(*) AS size FROM reach a JOIN reach b ON a.tenant_id = b.tenant_id AND a.src = b.dst AND a.dst = b.src GROUP BY ALL)
+SELECT tenant_id, party, component, size FROM both_ways"""
+)
+def endorsement_parties(spark, d):
+    """The parties of each tenant that stand on a cycle over all its bills, and with how many others."""
+    return N.strong_components(_party_edges(spark, d)).withColumnRenamed("graph_key", "tenant_id")
 
 
 UPLOADS = (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftlake.functions import exprs as E
+
 # The file types that are taken in.
 SUFFIXES = ("pdf", "doc", "docx", "xlsx", "xls", "png", "jpg", "jpeg", "tiff")
 
@@ -26,7 +28,7 @@ def rows_to_markdown(rows: DataFrame, *by: str) -> DataFrame:
     each = F.struct("row_idx", line.alias("line"), rule.alias("rule"))
     g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("r"))
     lines = F.transform("r", lambda x: x["line"])
-    return g.select(*by, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.col("r")[0]["rule"]), F.slice(lines, 2, 1_000_000)), "\n").alias("markdown"))
+    return g.select(*by, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.col("r")[0]["rule"]), F.slice(lines, F.lit(2), F.size(lines))), "\n").alias("markdown"))
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -38,6 +40,14 @@ def chunk_key(document: str = "doc_id", index: str = "chunk_index") -> Column:
     return F.concat_ws("_", document, index)
 
 
+def chunk_uuid(document: str = "doc_id", index: str = "chunk_index") -> Column:
+    """A chunk's key: the UUID of its number in the namespace of its document. A document whose id is
+    no UUID has the UUID of its id in the namespace of object identifiers."""
+    own = F.col(document).cast("string")
+    is_uuid = own.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+    return E.uuid5(F.when(is_uuid, own).otherwise(E.uuid5(F.lit(E.OID_NAMESPACE), own)), F.col(index))
+
+
 def missing(new: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``new`` whose key is not stored, each key once: appending them again changes nothing."""
     return new.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")

@@ -47,7 +47,7 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
         last.alias("acceptor"),
         first.alias("payee"),
         last.alias("drawee_bank"),
-        F.slice("parties", 2, 1_000_000).alias("endorsers"),
+        F.slice("parties", F.lit(2), F.size("parties")).alias("endorsers"),
         F.coalesce(F.datediff("due", "o_orderdate"), F.lit(0)).alias("maturity_days"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("trade_purpose"),
         F.lit("到期无条件支付").alias("acceptance_clause"),

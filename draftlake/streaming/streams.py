@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from draftlake.operators.stats import BUCKETS
+
 LATE = "10 minutes"
 
 
@@ -23,6 +25,24 @@ def windowed_counts(logs: DataFrame, length: str = "5 minutes", slide: str = "1
     return g.agg(F.count("*").alias("n"), F.avg("total_ms").alias("mean_ms")).select("w.start", "w.end", "tenant_id", "n", "mean_ms")
 
 
+def windowed_quantiles(logs: DataFrame, value: str = "total_ms", q: float = 0.95, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """(start, end, tenant_id, n, quantile) in sliding windows, from counts of buckets alone.
+
+    The state of a window is one count for each bucket, which adds up whatever order rows come in;
+    the quantile is read from it as ``stats.histogram_quantile`` reads it from a table. Rows later
+    than the watermark count in no window; the query's progress tells how many
+    (numRowsDroppedByWatermark).
+    """
+    counts = [F.count_if(F.col(value) <= b).alias(f"b{b}") for b in BUCKETS]
+    g = timed(logs).groupBy(F.window("created_at", length, slide).alias("w"), "tenant_id").agg(F.count(value).alias("n"), *counts)
+    at = lambda name, i: F.struct(F.lit(float(BUCKETS[i])).alias("le"), F.lit(float(BUCKETS[i - 1]) if i else 0.0).alias("low"), F.col(name).alias("c"), (F.col(f"b{BUCKETS[i - 1]}") if i else F.lit(0).cast("long")).alias("under"))
+    rows = F.array(*(at(f"b{b}", i) for i, b in enumerate(BUCKETS)))
+    rank = F.col("n") * q
+    first = F.get(F.filter(rows, lambda r: r["c"] >= rank), F.lit(0))
+    inside = first["low"] + (first["le"] - first["low"]) * F.try_divide(rank - first["under"], first["c"] - first["under"])
+    return g.select("w.start", "w.end", "tenant_id", "n", F.when(first.isNull(), F.lit(float(BUCKETS[-1]))).otherwise(F.coalesce(F.round(inside, 6), F.lit(float(BUCKETS[-1])))).alias("quantile"))
+
+
 def log_tail(logs: DataFrame, key: str = "id") -> DataFrame:
     """Each log row once, however often it arrives within the watermark."""
     return timed(logs).dropDuplicatesWithinWatermark([key])
