@@ -154,6 +154,8 @@ def plain(field: str) -> Column:
         return F.when(present_number(field), F.col(field).cast("decimal(20,2)").cast("string"))
     if field == "endorsers":
         return F.when(F.size(field) > 0, F.array_join(field, ","))
+    if field == "maturity_days":
+        return F.when(F.col(field) != 0, F.col(field).cast("string"))
     return F.when(present(field), F.col(field).cast("string"))
 
 

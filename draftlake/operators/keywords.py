@@ -21,8 +21,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK, CHUNK_PART, IMPACT_BLOCK = 512, 4096, 16
 #: Bytes of the queries' tokens that are sent to every task at most; beyond, a shuffle joins them.
 SENT = 32 << 20
-#: Scores are ranked by nine digits, so bounds leave room for what lies beyond.
-SLACK = 1e-6
+#: Scores are ranked by six digits at least, so bounds leave room for what lies beyond.
+SLACK = 1e-5
 
 
 def postings_of(chunks: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
@@ -45,10 +45,11 @@ class Postings:
     """The postings of some chunks, chunks of like length side by side, each token's with the
     greatest impact in every block of chunks."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, digits: int = 9):
+        self.digits = digits
         token, chunk = (rows[c].combine_chunks().dictionary_encode() for c in ("token", "chunk_id"))
         self.words = {w: i for i, w in enumerate(token.dictionary.to_pylist())}
-        tf, rate = rows["tf"].to_numpy().astype(float), rows["rate"].to_numpy()
+        impact, rate = (rows[c].to_numpy().astype(float) for c in ("impact", "rate"))
         at, number = chunk.indices.to_numpy(), len(chunk.dictionary)
         length = np.zeros(number)
         length[at] = rate
@@ -62,7 +63,7 @@ class Postings:
         word = token.indices.to_numpy()
         order = np.lexsort((at, word))
         self.start = np.searchsorted(word[order], np.arange(len(self.words) + 1))
-        self.at, self.impact = at[order], (tf * (K1 + 1) / (tf + K1 * (1 - B + B * rate)))[order]
+        self.at, self.impact = at[order], impact[order]
         self.block = np.arange(number) // IMPACT_BLOCK
         self.greatest = np.zeros((len(self.words), -(-number // IMPACT_BLOCK)))
         np.maximum.at(self.greatest, (word[order], self.block[self.at]), self.impact)
@@ -100,7 +101,7 @@ class Postings:
             if len(sure) >= k:
                 least = max(least, float(np.partition(sure, len(sure) - k)[len(sure) - k]))
         found = np.flatnonzero(seen & alive)
-        found = found[np.lexsort((self.name_order[found], -np.round(score[found], 9)))][:k]
+        found = found[np.lexsort((self.name_order[found], -np.round(score[found], self.digits)))][:k]
         matched = np.zeros(n, bool)
         for word, _ in here if len(found) < k or score[found[-1]] <= 0 else []:
             matched[self.at[self.start[word] : self.start[word + 1]]] = True
@@ -109,39 +110,31 @@ class Postings:
         return found, score[found], told
 
 
-def ranked_chunks(asked: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, chunks: DataFrame, k: int, told: bool = False) -> DataFrame:
-    """(query_id, tenant_id, chunk_id, score, rank) of queries' tokens (query_id, tenant_id, token, qf).
+def best_in_parts(q: DataFrame, postings: DataFrame, sizes: DataFrame, k: int, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(found, wanted postings) for weighted tokens of queries (query_id, tenant, token, w), of which
+    no query has one twice, and postings (tenant, chunk_id, token, impact, rate), impacts above 0.
 
-    Postings of tokens that are asked for are dealt into parts of a tenant's chunks and meet blocks
-    of queries there; each part hands on its k best chunks for each query. Chunks without any of a
-    query's tokens score 0; only queries with fewer than k chunks above 0 in a tenant look for them.
-    With ``told`` the rows are (query_id, tenant_id, postings, postings_read).
+    Postings of tokens that are asked for are dealt into parts of a tenant's chunks (sizes: tenant,
+    parts) and meet blocks of queries there; each part hands on its k best chunks for each query,
+    found (query_id, tenant_id, chunk_id, raw, postings, postings_read, matched).
     """
-    shared_folder(asked.sparkSession)
-    blocks = max(1, -(-asked.select("query_id").distinct().count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    parts = F.ceil(F.col("n_docs") / CHUNK_PART).cast("int")
-    q = asked.where("token is not null").join(terms.select("tenant_id", "token", "idf"), ["tenant_id", "token"])
-    q = q.select("query_id", F.col("tenant_id").alias("tenant"), "token", (F.col("qf") * F.col("idf")).alias("w"), block).checkpoint()
+    blocks = max(1, -(-q.select("query_id").distinct().count() // QUERY_BLOCK))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     # Names anew, since both come from one table.
     wanted = q.select(*(F.col(c).alias(c) for c in ("tenant", "token", "block"))).distinct()
     few = (wanted.agg(F.sum(F.octet_length("token") + 32)).first()[0] or 0) <= SENT
-    part = F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part")
-    rate = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(0.0).alias("rate")
-    each = postings.join(stats, "tenant_id").select(F.col("tenant_id").alias("tenant"), "chunk_id", "token", "tf", rate, part)
-    each = each.join(F.broadcast(wanted), ["tenant", "token"]) if few else each.join(
-        wanted.join(stats.select(F.col("tenant_id").alias("tenant"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), "tenant"), ["tenant", "token", "part"]
-    )
-    sides = q.join(stats.select(F.col("tenant_id").alias("tenant"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), "tenant")
-
-    kinds = {**dict(asked.dtypes), **dict(chunks.dtypes)}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "tenant_id", "chunk_id")) + ", raw double, postings long, postings_read long, matched long"
+    all_parts = sizes.select(F.col("tenant").alias("tenant"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    each = postings.join(sizes, "tenant").select("tenant", "chunk_id", "token", "impact", "rate", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part"))
+    each = each.join(F.broadcast(wanted), ["tenant", "token"]) if few else each.join(wanted.join(all_parts, "tenant"), ["tenant", "token", "part"])
+
+    kinds = {**dict(q.dtypes), **dict(postings.dtypes)}
+    schema = f"query_id {kinds['query_id']}, tenant_id {kinds['tenant']}, chunk_id {kinds['chunk_id']}, raw double, postings long, postings_read long, matched long"
     empty = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return empty.empty_table()
-        held, out = Postings(left), []
+        held, out = Postings(left, digits), []
         right = right.sort_by("query_id")
         names = right["query_id"].combine_chunks().dictionary_encode()
         ends = np.append(np.flatnonzero(np.diff(names.indices.to_numpy(), prepend=-1)), right.num_rows).tolist()
@@ -156,7 +149,25 @@ def ranked_chunks(asked: DataFrame, postings: DataFrame, terms: DataFrame, stats
         return pa.concat_tables(out) if out else empty.empty_table()
 
     keys = ("tenant", "part", "block")
-    found = each.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(run, schema).checkpoint()
+    return each.groupBy(*keys).cogroup(q.join(all_parts, "tenant").groupBy(*keys)).applyInArrow(run, schema), each
+
+
+def ranked_chunks(asked: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, chunks: DataFrame, k: int, told: bool = False) -> DataFrame:
+    """(query_id, tenant_id, chunk_id, score, rank) of queries' tokens (query_id, tenant_id, token, qf).
+
+    The best chunks come from ``best_in_parts``. Chunks without any of a query's tokens score 0; only
+    queries with fewer than k chunks above 0 in a tenant look for them. With ``told`` the rows are
+    (query_id, tenant_id, postings, postings_read).
+    """
+    shared_folder(asked.sparkSession)
+    q = asked.where("token is not null").join(terms.select("tenant_id", "token", "idf"), ["tenant_id", "token"])
+    q = q.select("query_id", F.col("tenant_id").alias("tenant"), "token", (F.col("qf") * F.col("idf")).alias("w")).checkpoint()
+    rate = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(0.0)
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * rate))
+    each = postings.join(stats, "tenant_id").select(F.col("tenant_id").alias("tenant"), "chunk_id", "token", impact.alias("impact"), rate.alias("rate"))
+    sizes = stats.select(F.col("tenant_id").alias("tenant"), F.ceil(F.col("n_docs") / CHUNK_PART).cast("int").alias("parts"))
+    found, each = best_in_parts(q, each, sizes, k)
+    found = found.checkpoint()
     if told:
         return found.groupBy("query_id", "tenant_id").agg(F.sum("postings").alias("postings"), F.sum("postings_read").alias("postings_read"))
     found = found.select("query_id", "tenant_id", "chunk_id", "raw", "matched").unionByName(fills(asked, found, q, each, stats, chunks, k))

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 
 from draftlake.functions import exprs as E
 from draftlake.operators import keywords
-from draftlake.operators.keywords import asked_tokens, postings_of, ranked_chunks, with_idf
+from draftlake.operators.keywords import asked_tokens, best_in_parts, postings_of, ranked_chunks, with_idf
 from draftlake.session import shared_folder
 
 # Tasks get these modules' functions by value: executors need not have the package.
@@ -124,21 +124,32 @@ def retrieval_quality(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return j.select("query_id", F.round(top, 6).alias("top1"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean_score"), n.alias("hit_count"), grade.alias("grade"))
 
 
-def with_reranked(hits: DataFrame, n: int = 5) -> DataFrame:
-    """Without a scorer the order stays and the scores are 1, 1/2, 1/3, ..."""
-    return hits.where(F.col("rank") <= n).withColumn("rerank_score", F.round(1.0 / F.col("rank"), 6))
+def with_reranked(hits: DataFrame, n: int = 5, scorer: Column | None = None, *by: str) -> DataFrame:
+    """The n best hits of each query (and ``by``) with rerank_score. Without a scorer the order stays
+    and the scores are 1, 1/2, 1/3, ...; a scorer orders them anew, ties by the rank before."""
+    if scorer is None:
+        return hits.where(F.col("rank") <= n).withColumn("rerank_score", F.round(1.0 / F.col("rank"), 6))
+    best = Window.partitionBy("query_id", *by).orderBy(F.desc("rerank_score"), "rank")
+    scored = hits.withColumn("rerank_score", F.round(scorer, 6))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
 def sparse_search(queries: DataFrame, weights: DataFrame, k: int, dropped: float = 0.2) -> DataFrame:
     """Per query and tenant the k chunks with the highest inner product of token weights.
 
     Queries (query_id, token, weight) leave out their lowest weights, a fifth of them rounded
-    down; chunks are (tenant_id, chunk_id, token, weight).
+    down; chunks are (tenant_id, chunk_id, token, weight), of which weights of 0 or less are left
+    out. A token that all chunks have is dealt out with the chunks (``keywords.best_in_parts``).
     """
     low = Window.partitionBy("query_id").orderBy("weight", "token")
     q = queries.withColumns({"r": F.row_number().over(low), "n": F.count("*").over(Window.partitionBy("query_id"))})
     q = q.where(F.col("r") > F.floor(F.col("n") * dropped)).select("query_id", "token", F.col("weight").alias("qw"))
-    s = weights.join(q, "token").groupBy("query_id", "tenant_id", "chunk_id").agg(F.round(F.round(F.sum(F.col("qw") * F.col("weight")), 9), 6).alias("score"))
+    weights = weights.where("weight > 0")
+    sizes = weights.groupBy(F.col("tenant_id").alias("tenant")).agg(F.ceil(F.approx_count_distinct("chunk_id") / keywords.CHUNK_PART).cast("int").alias("parts"))
+    q = q.groupBy("query_id", "token").agg(F.sum("qw").alias("w")).crossJoin(F.broadcast(sizes.select("tenant")))
+    postings = weights.select(F.col("tenant_id").alias("tenant"), "chunk_id", "token", F.col("weight").alias("impact"), F.lit(0.0).alias("rate"))
+    found = best_in_parts(q, postings, sizes, k, digits=6)[0]
+    s = found.select("query_id", "tenant_id", "chunk_id", F.round(F.round("raw", 9), 6).alias("score"))
     best = Window.partitionBy("query_id", "tenant_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -189,3 +200,30 @@ def triage(queries: DataFrame, grades: DataFrame, words: tuple[str, ...]) -> Dat
         .when(F.coalesce("grade", F.lit("INSUFFICIENT")) == "INSUFFICIENT", "transfer_human").when(F.col("grade") == "PARTIAL", "answer_with_note").otherwise("answer")
     )
     return j.select("query_id", F.coalesce(intent, F.lit("INTENT_UNKNOWN")).alias("intent_id"), kind.alias("outcome"))
+
+
+def hybrid_answers(fused: DataFrame, chunks: DataFrame, *columns: str, n: int = 5, scorer: Column | None = None) -> DataFrame:
+    """The n best fused hits of each query and tenant, with their chunks' columns, a rerank score and
+    the grade of the tenant's hits for the query. Hits whose chunk is gone keep nulls."""
+    told = fused.join(chunks.select("tenant_id", "chunk_id", *columns), ["tenant_id", "chunk_id"], "left")
+    best = with_reranked(told, n, scorer, "tenant_id").withColumn("pair", F.struct("query_id", "tenant_id"))
+    graded = best.select(F.col("pair").alias("query_id"), F.col("rerank_score").alias("score"))
+    grades = retrieval_quality(graded, graded).select(F.col("query_id").alias("pair"), "grade")
+    return best.join(grades, "pair").drop("pair")
+
+
+def miss_rows(triaged: DataFrame, queries: DataFrame, grades: DataFrame) -> DataFrame:
+    """(query_id, query, intent_id, top1, hit_count) of queries that are handed over for want of hits."""
+    handed = triaged.where("outcome = 'transfer_human'").select("query_id", "intent_id")
+    return handed.join(queries.select("query_id", "query"), "query_id").join(grades.select("query_id", "top1", "hit_count"), "query_id", "left").select(
+        "query_id", "query", "intent_id", F.coalesce("top1", F.lit(0.0)).alias("top1"), F.coalesce("hit_count", F.lit(0).cast("long")).alias("hit_count")
+    )
+
+
+def log_rows(triaged: DataFrame, grades: DataFrame) -> DataFrame:
+    """(query_id, route_type, top_k_hit, top1): how each query went. A query that was not searched has
+    no hit either way; of the others those handed over have missed."""
+    j = triaged.join(grades.select("query_id", "top1"), "query_id", "left")
+    searched = F.col("outcome").isin("answer", "answer_with_note", "transfer_human")
+    route = F.when(F.col("outcome") == "off_topic", "off_topic").when(~searched, F.col("outcome")).when(F.col("intent_id") == "INTENT_UNKNOWN", "fuzzy").otherwise("specialized")
+    return j.select("query_id", route.alias("route_type"), F.when(searched, F.col("outcome") != "transfer_human").alias("top_k_hit"), F.when(searched, F.coalesce("top1", F.lit(0.0))).alias("top1"))

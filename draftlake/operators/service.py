@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.operators import audit as A
+from draftlake.operators.stats import numbered
 
 
 def visible(df: DataFrame, tenant: Column | None, status: str | None = None) -> DataFrame:
@@ -19,20 +20,6 @@ def on_day(day: str, at: str = "created_at") -> Column:
     return F.coalesce(F.to_date(at) == F.lit(day).cast("date"), F.lit(False))
 
 
-def numbered(df: DataFrame, group: str, order: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with ``number``: the row's place (from 1) in its group by a numeric column ``order``.
-
-    Rows are numbered inside slices of ``order``, ``width`` values wide, and the totals of the slices
-    before are added, so that a group of any size is many tasks' work. Ties are numbered in any order.
-    """
-    dealt = df.withColumn("slice", F.floor(F.col(order) / width))
-    totals = dealt.groupBy(group, "slice").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy(group, "slice").orderBy(order))
-    return dealt.withColumn("inside", inside).join(totals, [group, "slice"]).withColumn("number", F.col("inside") + F.col("before")).drop("slice", "inside", "before")
-
-
 def quota_use(docs: DataFrame, tenants: DataFrame) -> DataFrame:
     """Each document's number within its tenant, and whether the tenant's quota takes it."""
     n = numbered(docs, "tenant_id", "doc_id").join(tenants.select("tenant_id", "doc_quota"), "tenant_id", "left")

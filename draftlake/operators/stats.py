@@ -85,14 +85,30 @@ def concentration(bills: DataFrame, by: str, tier: Column) -> DataFrame:
 
 
 def offered_load(requests: DataFrame, seconds: int) -> DataFrame:
-    """Requests of each tenant in the window that ends with each request."""
-    w = Window.partitionBy("tenant_id").orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return requests.select("id", "tenant_id", F.count("*").over(w).alias("in_window"))
+    """Requests of each tenant in the window that ends with each request. A request visits its own
+    hour of ``seconds`` and the next one, over which a window reaches, so no tenant is one task."""
+    span = seconds * 1_000_000
+    each = requests.select("id", "tenant_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    w = Window.partitionBy("tenant_id", F.floor(F.col("t") / span) + F.col("turn")).orderBy("t").rangeBetween(-span, 0)
+    return each.withColumn("in_window", F.count("*").over(w)).where("turn = 0").select("id", "tenant_id", "in_window")
+
+
+def numbered(df: DataFrame, group: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``number``: the row's place (from 1) in its group by a numeric column ``order``.
+
+    Rows are numbered inside slices of ``order``, ``width`` values wide, and the totals of the slices
+    before are added, so that a group of any size is many tasks' work. Ties are numbered in any order.
+    """
+    dealt = df.withColumn("slice", F.floor(F.col(order) / width))
+    totals = dealt.groupBy(group, "slice").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(group, "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(group, "slice").orderBy(order))
+    return dealt.withColumn("inside", inside).join(totals, [group, "slice"]).withColumn("number", F.col("inside") + F.col("before")).drop("slice", "inside", "before")
 
 
 def quota_check(docs: DataFrame, quota: int) -> DataFrame:
-    w = Window.partitionBy("tenant_id").orderBy("doc_id")
-    return docs.select("doc_id", "tenant_id", (F.row_number().over(w) <= quota).alias("accepted"))
+    return numbered(docs, "tenant_id", "doc_id").select("doc_id", "tenant_id", (F.col("number") <= quota).alias("accepted"))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

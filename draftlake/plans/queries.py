@@ -517,13 +517,14 @@ def reranked(spark, d):
     return R.with_reranked(_dense(spark, d, 20)).select("query_id", "chunk_id", "rank", "rerank_score")
 
 
-@query(
-    f"""WITH {INDEX}, q0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS token FROM benchmark),
+SPARSE = """q0 AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS token FROM benchmark),
 q1 AS (SELECT query_id, token, count(*) AS weight FROM q0 GROUP BY ALL),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight, token) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM q1),
 s AS (SELECT query_id, tenant_id, chunk_id, round(round(sum(weight * (tf / dl::DOUBLE)), 9), 6) AS score FROM po JOIN q2 USING (token) WHERE r > floor(n * 0.2::DOUBLE) GROUP BY ALL),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT * FROM k WHERE rank <= 20"""
-)
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s)"""
+
+
+@query(f"WITH {INDEX}, {SPARSE} SELECT * FROM k WHERE rank <= 20")
 def sparse_search(spark, d):
     return _sparse(spark, d)
 
@@ -535,7 +536,19 @@ def _sparse(spark, d):
     return R.sparse_search(queries.groupBy("query_id", "token").agg(F.count("*").alias("weight")), weights, 20)
 
 
-@query()
+#: A document and a question have the vector of the same number; all three legs meet in one table.
+HYBRID = f"""{SEARCH}, {SPARSE},
+hv AS (SELECT vec_id, list_transform(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x: x) AS v FROM embeddings),
+hu AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) AS v FROM hv),
+hd AS (SELECT item_id AS query_id, source AS tenant_id, doc_id AS chunk_id, round(list_inner_product(a.v, b.v), 6) AS score FROM benchmark JOIN hu a ON item_id = a.vec_id, documents JOIN hu b ON doc_id = b.vec_id),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY score DESC, chunk_id) AS rank FROM hd),
+legs AS (SELECT query_id, tenant_id, 1 AS o, rank - 1 AS r, chunk_id, 0.6 AS w FROM hr WHERE rank <= 20 UNION ALL SELECT query_id, tenant_id, 2, rank - 1, chunk_id, 0.4 FROM k WHERE rank <= 20
+  UNION ALL SELECT query_id, tenant_id, 3, rank - 1, chunk_id, 0.32 FROM bm),
+hf AS (SELECT query_id, tenant_id, chunk_id, sum(w / (60 + r + 1)) AS raw, min(struct_pack(o := o, r := r)) AS first FROM legs GROUP BY ALL),
+hy AS (SELECT query_id, tenant_id, chunk_id, round(raw, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, tenant_id ORDER BY round(raw, 9) DESC, first, chunk_id) AS INTEGER) AS rank FROM hf)"""
+
+
+@query(f"WITH {HYBRID} SELECT * FROM hy WHERE rank <= 20")
 def hybrid_search(spark, d):
     # Vectors of documents and queries are those of the same number; others have no dense leg.
     e = D.table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -720,4 +733,5 @@ def bill_fingerprints(spark, d):
 
 # The queries of other modules register themselves here.
 import draftlake.plans.index  # noqa: E402
+import draftlake.plans.rows  # noqa: E402
 import draftlake.plans.service  # noqa: E402, F401

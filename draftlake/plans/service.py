@@ -325,11 +325,11 @@ def hit_metadata(spark, d):
 
 @query(
     f"""WITH {SEARCH}, one AS (SELECT query_id || '-' || tenant_id AS query_id, chunk_id, b.rank, text, lang, n_chars FROM bm b JOIN documents ON doc_id = chunk_id AND source = tenant_id WHERE b.rank <= 3)
-SELECT query_id, string_agg('**参考文档 ' || rank || '** ' || CASE WHEN lang <> '' THEN '[' || lang || '] ' ELSE '' END || '(第' || n_chars || '页)' || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context,
+SELECT query_id, string_agg('**参考文档 ' || rank || '** ' || CASE WHEN lang <> '' THEN '[' || lang || '] ' ELSE '' END || '(第' || n_chars || '页)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
   string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS sources FROM one GROUP BY 1"""
 )
 def context_blocks(spark, d):
-    chunks = D.table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section_path"), F.col("n_chars").alias("page_num"), F.substring("text", 1, 200).alias("content"))
+    chunks = D.table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section_path"), F.col("n_chars").alias("page_num"), F.col("text").alias("content"))
     hits = V.with_metadata(_bm25(spark, d).where("rank <= 3"), chunks, "section_path", "page_num", "content")
     return V.context_blocks(hits.withColumn("query_id", F.concat_ws("-", "query_id", "tenant_id")))
 

@@ -61,3 +61,10 @@ def resume_parse(docs: DataFrame, parsed: DataFrame, key: str = "doc_id") -> tup
 def without_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     """Chunks without those of the named documents (tenant_id, doc_id); postings are built from what is left."""
     return chunks.join(gone.select("tenant_id", "doc_id"), ["tenant_id", "doc_id"], "left_anti")
+
+
+def unfinished(parsed: DataFrame, chunks: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What is kept of an earlier parse: rows of documents whose chunks (key, chunk_index) are not all
+    stored. A document that has succeeded, or that has no chunks, needs its parse no more."""
+    left = chunks.select(key, "chunk_index").join(stored.select(key, "chunk_index"), [key, "chunk_index"], "left_anti")
+    return parsed.join(left.select(key).distinct(), key, "left_semi")
