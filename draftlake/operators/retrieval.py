@@ -50,10 +50,13 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, words: Callable[[
     Chunks without any of a query's tokens score 0 and fill the ranks that are left. Postings are
     searched as ``keywords.ranked_chunks`` says; with ``told`` it tells how many were read.
     """
-    chunks = chunks.withColumn("content", F.coalesce("content", F.lit("")))
-    postings, terms, stats = bm25_index(chunks, words)
     shared_folder(chunks.sparkSession)
-    stats = stats.checkpoint()
+    # Texts are read into words once; all statistics come from the postings.
+    postings = postings_of(chunks, words).checkpoint()
+    totals = postings.groupBy("tenant_id").agg(F.sum("tf").alias("total"))
+    sizes = chunks.groupBy("tenant_id").agg(F.count("*").alias("n_docs"))
+    stats = sizes.join(totals, "tenant_id", "left").select("tenant_id", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avgdl")).checkpoint()
+    terms = with_idf(postings.groupBy("tenant_id", "token").agg(F.count("*").alias("df")), stats)
     return ranked_chunks(asked_tokens(queries, stats, words), postings, terms, stats, chunks, k, told)
 
 
