@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
+from draftlake.operators.network import has_cycle as has_cycle
 
 COMMON = ("ticket_number", "ticket_type", "issue_date", "due_date", "amount_numeric", "drawer", "payee")
 FIELDS = (

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
 from draftlake.operators import audit as A
+from draftlake.operators import lifecycle as L
 from draftlake.operators import retrieval as R
 from draftlake.operators import reuse as U
+from draftlake.operators import service as V
 from draftlake.operators import tasks as T
-from draftlake.plans.queries import BILLS, CORPUS, DENSE, HYBRID, QUERIES, SEARCH, _bm25, _chunk_table, _dense, query
+from draftlake.plans.queries import BILLS, CORPUS, DENSE, HYBRID, QUERIES, SEARCH, UPLOADS, _bm25, _chunk_table, _dense, query
 from draftlake.session import shared_folder
 from draftlake.sources import chunk_store as C
 from draftlake.sources import domain as D
@@ -101,6 +103,26 @@ def flow_timeline(spark, d):
     return T.timeline(m).select("flow_task_id", "place", F.col("arrived_at").alias("step_index"))
 
 
+@query(
+    f"""WITH {UPLOADS}, u AS (SELECT *, CASE WHEN bill_id % 11 = 0 THEN 'UNKNOWN-' || bill_id ELSE ticket_number END AS ticket FROM uploads),
+f AS (SELECT tenant_id, ticket, upload_time, bill_id, unnest(list_filter([CASE WHEN due_date <= issue_date THEN 'DATE_LOGIC_ERROR' END,
+    CASE WHEN ticket_type LIKE '%银行承兑%' AND acceptor <> '' THEN 'ACCEPTOR_NOT_BANK' END,
+    CASE WHEN amount_numeric <> 0 AND amount_numeric < 1000000 THEN 'AMOUNT_MISMATCH' END,
+    CASE WHEN date_diff('day', CAST(issue_date AS DATE), CAST(due_date AS DATE)) > 366 THEN 'TENOR_TOO_LONG' END], lambda x: x IS NOT NULL)) AS code FROM u),
+o(code, place) AS (VALUES ('DATE_LOGIC_ERROR', 0), ('ACCEPTOR_NOT_BANK', 1), ('AMOUNT_MISMATCH', 2), ('TENOR_TOO_LONG', 3)),
+m AS (SELECT tenant_id, ticket, code, min(struct_pack(t := upload_time, b := bill_id, p := place)) AS seen FROM f JOIN o USING (code) GROUP BY ALL),
+g AS (SELECT tenant_id, ticket, string_agg(code, ',' ORDER BY seen) AS codes FROM m GROUP BY ALL)
+SELECT u.tenant_id, u.ticket AS ticket_number, CAST(count(*) AS INTEGER) AS latest_version, min_by(drawer, struct_pack(t := upload_time, b := bill_id)) AS drawer, min_by(amount_numeric, struct_pack(t := upload_time, b := bill_id)) AS amount_numeric,
+  array_to_string(max_by(endorsers, struct_pack(t := upload_time, b := bill_id)), '|') AS endorsers, coalesce(any_value(codes), '') AS codes FROM u LEFT JOIN g ON g.tenant_id IS NOT DISTINCT FROM u.tenant_id AND g.ticket = u.ticket GROUP BY 1, 2"""
+)
+def whole_records(spark, d):
+    """One record of each bill: first fields, versions and the flags of all uploads; blank numbers get one of their own."""
+    u = D.uploads(spark, d)
+    u = V.named_tickets(u.withColumn("ticket_number", F.when(F.col("bill_id") % 11 == 0, " ").otherwise(F.col("ticket_number"))))
+    found = L.whole_records(L.states(A.risk_flags(u)))
+    return found.withColumns({"endorsers": F.array_join("endorsers", "|"), "codes": F.array_join("codes", ",")})
+
+
 # ---- amounts and fingerprints -------------------------------------------------------------------
 
 

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from draftlake.operators import audit as A
+from draftlake.operators import lifecycle as L
+from draftlake.operators import service as V
 from draftlake.operators.stats import BUCKETS
+from draftlake.streaming.buckets import Buckets
 
 LATE = "10 minutes"
 
@@ -100,16 +104,31 @@ def into_uploads(uploads: DataFrame, path: str, checkpoint: str):
     return uploads.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
-def into_chunks(elements: DataFrame, chunked, path: str, checkpoint: str):
+def into_records(uploads: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Keep the state of each bill (``lifecycle.states``) while its uploads arrive. A batch rewrites
+    only the buckets that it touches, and a repeated batch changes nothing; ``lifecycle.whole_records``
+    of ``Buckets(spark, path).read()`` gives the records."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        new = L.states(A.risk_flags(V.named_tickets(batch)))
+        Buckets(batch.sparkSession, path, buckets).update(new, ("tenant_id", "ticket_number"), L.merged_states, number)
+
+    return uploads.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def into_chunks(elements: DataFrame, chunked, path: str, checkpoint: str, buckets: int = 64):
     """Chunk arriving elements (doc_id, ...) with ``chunked`` and keep them. Documents that other
-    batches hold are left out, so a document that is sent again changes nothing."""
+    batches hold are left out, so a document that is sent again changes nothing; which are held is
+    kept in buckets, of which a batch reads those of its own documents."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            schema = "doc_id long, batch long"
-            known = spark.read.schema(schema).option("basePath", path).option("ignoreMissingFiles", "true").parquet(path)
-            batch = batch.join(known.where(F.col("batch") < number).select("doc_id").distinct(), "doc_id", "left_anti")
+        held = Buckets(batch.sparkSession, f"{path}-keys", buckets)
+        keys = batch.select("doc_id").distinct()
+        known = held.touched(keys, ("doc_id",))
+        if known is not None:
+            batch = batch.join(known.where(F.col("since") < number).select("doc_id"), "doc_id", "left_anti")
         chunked(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        first = lambda rows: rows.groupBy("doc_id").agg(F.min("since").alias("since"))
+        held.update(keys.withColumn("since", F.lit(number).cast("long")), ("doc_id",), first, number)
 
     return elements.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
