@@ -193,13 +193,29 @@ class Known:
         return np.where((self.low[at] == low) & (self.high[at] == high), self.pieces[at], -1)
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """Those pre-tokens that occur at least so often that at most ``most`` do.
+
+    The bound comes from the numbers of pre-tokens by the logarithm of how often they occur, a small
+    table, so no task and not the driver sees more than the chosen ones.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    held, bound = 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += row["n"]
+        if held > most:
+            break
+        bound = row["step"]
+    return counts.where(F.lit(False) if bound is None else step >= bound)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", limit: int = LIMIT, sent: int = SENT) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for each document: as many tokens as the library gives,
     special strings in a text counted as it does by default (one token each).
 
     The pieces of each distinct pre-token are counted once. A document's frequencies of pre-tokens
-    are joined with these counts and added up: with the ``sent`` commonest ones, which all tasks
-    know, as soon as they are found, and with the others by a shuffle; no ids are ever kept.
+    are joined with these counts and added up: with the ``sent`` commonest ones at most, which all
+    tasks know, as soon as they are found, and with the others by a shuffle; no ids are ever kept.
 
     Null and empty texts have no bytes and no tokens; texts are read whole; rows are independent and
     each gives a row, repeated ones too, and null keys are kept; an empty table gives no rows; other
@@ -209,7 +225,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", k
     path = path or public_tokenizers.path(VOCABULARY)
     slim = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
     counts = cut(vocabulary(slim.select("t"), path))
-    common = counts.orderBy(F.desc("n"), "low", "high").limit(sent).select("low", "high", "pieces").toPandas()
+    common = commonest(counts, sent).select("low", "high", "pieces").toPandas()
     low, high = (common[c].to_numpy("int64").view(np.uint64) for c in ("low", "high"))
     known = spark.sparkContext.broadcast(Known(low, high, common["pieces"].to_numpy()))
     kind = dict(docs.dtypes)[key]
