@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable
 
@@ -167,31 +168,38 @@ def hybrid_search(legs: dict[str, DataFrame], weights: dict[str, float], k: int
     return fused.select("query_id.query_id", "query_id.tenant_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
-def ivf_search(queries: DataFrame, vectors: DataFrame, k: int, nlist: int = 128, nprobe: int = 64, sample: int = 50_000) -> DataFrame:
-    """The k best unit vectors for each query among the nprobe nearest of nlist cells.
+def cells_for(n: int) -> int:
+    """As many cells as a cell has vectors: so both the centres and a cell grow with the root of n."""
+    return max(16, min(1 << 14, math.isqrt(max(1, n))))
+
+
+def ivf_search(queries: DataFrame, vectors: DataFrame, k: int, nlist: int | None = None, share: float = 0.6, sample: int = 50_000) -> DataFrame:
+    """The k best unit vectors for each query among the nearest ``share`` of cells.
 
     Centres are fitted on about ``sample`` vectors; every vector is put into the cell of its
-    nearest centre. Only the centres, nlist rows, are known to all tasks.
+    nearest centre. Only the centres are known to all tasks. A cell's vectors are dealt into parts
+    that meet blocks of the queries that look there, each in one product of matrices, as in
+    ``dense_search``. Data without clusters need a large share: it is measured against all vectors.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = lambda df, name: df.withColumn(name, E.normalised("embedding"))
-    v = unit(vectors, "v").withColumn("features", array_to_vector("v"))
-    share = min(1.0, sample / max(1, vectors.count()))
-    model = KMeans(k=nlist, seed=1, maxIter=10).fit(v.sample(share, seed=1) if share < 1 else v)
-    cells = model.transform(v).select("chunk_id", "v", F.col("prediction").alias("cell"))
+    total = vectors.count()
+    nlist = nlist or cells_for(total)
+    v = vectors.withColumn("v", E.normalised("embedding")).withColumn("features", array_to_vector("v"))
+    part = min(1.0, sample / max(1, total))
+    model = KMeans(k=nlist, seed=1, maxIter=10).fit(v.sample(part, seed=1) if part < 1 else v)
     centres = np.stack(model.clusterCenters())
+    nprobe = max(1, math.ceil(share * len(centres)))
+    cells = model.transform(v).select("chunk_id", F.col("prediction").alias("tenant_id"), "embedding")
 
     @F.pandas_udf("array<int>")
     def nearest(q: pd.Series) -> pd.Series:
         near = np.stack(q.to_list()) @ centres.T - (centres**2).sum(1) / 2
         return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :nprobe].astype("int32")))
 
-    probes = unit(queries, "q").select("query_id", "q", F.explode(nearest("q")).alias("cell"))
-    s = probes.join(cells, "cell").select("query_id", "chunk_id", F.round(E.dot("q", "v"), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    probes = queries.withColumn("q", E.normalised("embedding")).select("query_id", F.explode(nearest("q")).alias("tenant_id"), "embedding")
+    return dense_search(probes, cells, k).select("query_id", "chunk_id", "score", "rank")
 
 
 def triage(queries: DataFrame, grades: DataFrame, words: tuple[str, ...]) -> DataFrame:
