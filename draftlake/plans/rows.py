@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from string import Formatter
 
 from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
+from draftlake.functions import scenes
 from draftlake.operators import audit as A
 from draftlake.operators import lifecycle as L
 from draftlake.operators import retrieval as R
@@ -173,3 +175,60 @@ def kept_parses(spark, d):
     parsed = D.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "content"))
     chunks = parsed.where(F.trim("content") != "").select("doc_id", "chunk_index")
     return C.unfinished(parsed, chunks, chunks.where((F.col("doc_id") + F.col("chunk_index")) % 3 != 0)).select("doc_id", "chunk_index")
+
+
+# ---- questions about bills ----------------------------------------------------------------------
+
+_TIER = "CASE WHEN coalesce({0}, 0) = 0 THEN '' WHEN {0} >= 1e7 THEN '特大额' WHEN {0} >= 5e6 THEN '大额' WHEN {0} >= 1e6 THEN '中额' ELSE '小额' END"
+_SQL_FIELDS = {
+    "ticket_type": "ticket_type", "acceptor": "coalesce(acceptor, '')", "drawer": "coalesce(drawer, '')", "drawer_bank": "'银行'", "item": "x", "bill_count": "CAST(bill_count AS VARCHAR)",
+    "period": "coalesce(CASE WHEN days <= 30 THEN '≤30' WHEN days <= 90 THEN '≤90' WHEN days <= 180 THEN '≤180' WHEN days <= 365 THEN '≤365' WHEN days > 365 THEN '>365' END, '')",
+    "days": "coalesce(CAST(days AS VARCHAR), 'None')", "tier": _TIER.format("amount_numeric"), "total_tier": _TIER.format("total"),
+    "amount": "coalesce(CASE WHEN amount_numeric <> 0 THEN CAST(CAST(amount_numeric AS DECIMAL(20, 2)) AS VARCHAR) END, 'None')",
+    "whole_amount": "format('{:,.0f}', coalesce(amount_numeric, 0))", "whole_total": "format('{:,.0f}', coalesce(total, 0))",
+    "overdue": "CASE WHEN days IS NULL THEN '到期日未知' WHEN days < 0 THEN '已逾期 ' || -days || ' 天' ELSE '距到期还有 ' || days || ' 天（尚未到期）' END",
+    "n_subjects": "CAST(len(subjects) AS VARCHAR)", "subjects": "array_to_string(subjects, ', ')", "n_flags": "CAST(len(codes) AS VARCHAR)", "flag_texts": "CASE WHEN len(codes) > 0 THEN array_to_string(codes, '；') ELSE '无' END",
+    "new_list": "CASE WHEN len(endorsers) > 0 THEN '[''' || array_to_string(endorsers, ''', ''') || ''']' ELSE '[]' END",
+}
+_SQL_LISTS = {
+    "named_acceptor": "CASE WHEN coalesce(acceptor, '') <> '' THEN [acceptor] ELSE [] END", "named_drawer": "CASE WHEN coalesce(drawer, '') <> '' THEN [drawer] ELSE [] END",
+    "endorsers": "endorsers", "new_endorsers": "endorsers", "flag_questions": "list_transform(codes, lambda c: q[c])",
+}
+
+
+def _filled(template: str) -> str:
+    parts = [(f"'{text}'" if text else "''") + (f" || {_SQL_FIELDS[name]}" if name else "") for text, name, *_ in Formatter().parse(template)]
+    return "(" + " || ".join(parts) + ")"
+
+
+def _scene_sql() -> tuple[str, str]:
+    asked, hints = [], []
+    for i, (each, always, else_, about) in enumerate(scenes.SCENES.values()):
+        lists = [f"list_transform({_SQL_LISTS[c]}, lambda x: {_filled(form)})" for c, form in each.items()] + ["CAST([" + ", ".join(f"trim({_filled(q)})" for q in always) + "] AS VARCHAR[])"]
+        both = " || ".join(f"CAST({x} AS VARCHAR[])" for x in lists)
+        asked.append(f"WHEN {i} THEN {f'CASE WHEN len({both}) = 0 THEN {else_!r} ELSE {both} END' if else_ else both}")
+        hints.append(f"WHEN {i} THEN {_filled(about)}")
+    return " ".join(asked), " ".join(hints)
+
+
+_ASKED, _HINTS = _scene_sql()
+
+
+@query(
+    f"""WITH {BILLS}, s AS (SELECT *, date_diff('day', DATE '{D.AS_OF}', CAST(due_date AS DATE)) AS days, sum(amount_numeric) OVER w AS total, count(*) OVER w AS bill_count,
+  list_filter([drawer] || endorsers, lambda x: x IS NOT NULL) AS subjects, MAP {scenes.FLAG_QUESTIONS!r} AS q,
+  list_filter([CASE WHEN due_date <= issue_date THEN 'DATE_LOGIC_ERROR' END, CASE WHEN ticket_type LIKE '%银行承兑%' AND acceptor <> '' THEN 'ACCEPTOR_NOT_BANK' END,
+    CASE WHEN amount_numeric <> 0 AND amount_numeric < 1000000 THEN 'AMOUNT_MISMATCH' END, CASE WHEN date_diff('day', CAST(issue_date AS DATE), CAST(due_date AS DATE)) > 366 THEN 'TENOR_TOO_LONG' END], lambda x: x IS NOT NULL) AS codes
+  FROM bills WINDOW w AS (PARTITION BY tenant_id, acceptor))
+SELECT bill_id, array_to_string(CASE bill_id % 8 {_ASKED} END, '|') AS queries, CASE bill_id % 8 {_HINTS} END AS hint FROM s"""
+)
+def scene_queries(spark, d):
+    """What each bill's question, of one of eight scenes, is searched with; a batch is a tenant's bills of one acceptor."""
+    b = A.risk_flags(D.bills(spark, d))
+    batches = b.groupBy("tenant_id", "acceptor").agg(F.sum("amount_numeric").alias("total"), F.count("*").alias("bill_count"))
+    same = b["tenant_id"].eqNullSafe(batches["tenant_id"]) & b["acceptor"].eqNullSafe(batches["acceptor"])
+    j = b.join(batches, same).drop(batches["tenant_id"]).drop(batches["acceptor"])
+    intent = F.get(F.array(*map(F.lit, scenes.SCENES)), (F.col("bill_id") % 8).cast("int"))
+    flags = F.transform("flags", lambda f: F.struct(f["code"].alias("code"), f["code"].alias("desc")))
+    queries, hint = scenes.scene_queries(intent, D.AS_OF, F.col("total"), F.col("bill_count"), flags=flags)
+    return j.select("bill_id", F.array_join(queries, "|").alias("queries"), hint.alias("hint"))
