@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.operators import audit as A
-from draftlake.operators.stats import numbered
+from draftlake.operators.stats import histogram, numbered
 
 
 def visible(df: DataFrame, tenant: Column | None, status: str | None = None) -> DataFrame:
@@ -146,6 +146,18 @@ def metric_rows(logs: DataFrame, by: str) -> DataFrame:
     return g.select(F.col(by).cast("string").alias("label"), F.explode(rows).alias("r")).select("label", "r.*")
 
 
+def exposition(logs: DataFrame, value: str, by: str) -> DataFrame:
+    """(metric, label, le, value): counters, and the histogram of ``value`` as buckets that hold all up
+    to their bound, the last one without a bound."""
+    h = histogram(logs, value, by)
+    buckets = h.select(F.lit(f"{value}_bucket").alias("metric"), F.col(by).cast("string").alias("label"), F.col("le").cast("long").cast("string").alias("le"), F.col("cumulative").cast("double").alias("value"))
+    all_of = h.select(F.col(by).cast("string").alias("label"), F.col("n").cast("double").alias("value")).distinct()
+    rows = [(f"{value}_bucket", "+Inf"), (f"{value}_count", None)]
+    ends = [all_of.select(F.lit(m).alias("metric"), "label", F.lit(le).cast("string").alias("le"), "value") for m, le in rows]
+    counters = metric_rows(logs, by).select("metric", "label", F.lit(None).cast("string").alias("le"), "value")
+    return buckets.unionByName(ends[0]).unionByName(ends[1]).unionByName(counters)
+
+
 def miss_backlog(misses: DataFrame) -> DataFrame:
     """Searches without a good hit by intent: how many, and how near their best hit was."""
     g = misses.groupBy("intent_id").agg(F.count("*").alias("misses"), F.round(F.avg("top1"), 6).alias("mean_top1"))

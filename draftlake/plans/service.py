@@ -119,6 +119,15 @@ def metric_rows(spark, d):
     return V.metric_rows(_states(spark, d), "tenant_id")
 
 
+@query(
+    f"""WITH {STATES}, bounds(le) AS (VALUES {", ".join(f"({b})" for b in S.BUCKETS)}), g AS (SELECT tenant_id, count(*)::DOUBLE AS a, (count(*) FILTER (status = 'error'))::DOUBLE AS b, round(sum(total_ms), 4) AS c, round(max(total_ms), 4) AS e, count(total_ms)::DOUBLE AS n FROM states GROUP BY 1)
+SELECT 'total_ms_bucket' AS metric, CAST(tenant_id AS VARCHAR) AS label, CAST(le AS VARCHAR) AS le, (count(*) FILTER (total_ms <= le))::DOUBLE AS value FROM states, bounds GROUP BY tenant_id, le
+UNION ALL SELECT unnest(['total_ms_bucket', 'total_ms_count', 'requests_total', 'errors_total', 'latency_ms_sum', 'latency_ms_max']), CAST(tenant_id AS VARCHAR), unnest(['+Inf', NULL, NULL, NULL, NULL, NULL]), round(unnest([n, n, a, b, c, e]), 4) FROM g"""
+)
+def metric_exposition(spark, d):
+    return V.exposition(_states(spark, d), "total_ms", "tenant_id")
+
+
 @query(f"WITH {CORPUS} SELECT tenant_id, status, count(*) AS documents FROM corpus GROUP BY ALL")
 def ingest_counters(spark, d):
     return D.corpus(spark, d).groupBy("tenant_id", "status").agg(F.count("*").alias("documents"))
