@@ -117,6 +117,7 @@ AGENT_TASKS = {
     "INTENT_AGENT_ISSUANCE": "issuance_check", "INTENT_AGENT_DISCOUNT": "discount_apply", "INTENT_AGENT_ENDORSEMENT": "endorsement",
     "INTENT_AGENT_FRAUD": "full_audit", "INTENT_AGENT_COMPLIANCE": "issuance_check", "INTENT_AGENT_FULL_AUDIT": "full_audit",
 }
+# Labels of a purpose, an acceptance clause and remarks.
 PURPOSE_LABELS = ("贸易背景：", "贸易背景:", "用途：", "用途:", "资金用途：")
 CLAUSE_LABELS = ("承兑条款：", "承兑条款:", "承兑条件：", "特别承兑条款：")
 REMARK_LABELS = ("其他记载事项：", "特殊事项：", "备注：", "备注:")
@@ -209,7 +210,7 @@ def masked(c: Column) -> Column:
 
 
 def bill_text() -> Column:
-    """A bill as a sentence for the index."""
+    """A bill as a sentence for the index. Its words are fixed values."""
     say = lambda f, default="未知": F.coalesce(plain(f), F.lit(default))
     amount = F.format_number(F.coalesce("amount_numeric", F.lit(0.0)), 2)
     parts = (

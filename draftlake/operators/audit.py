@@ -190,6 +190,7 @@ def flow_status(messages: DataFrame) -> DataFrame:
     return g.select("flow_task_id", "current_step", "elapsed_ms", F.coalesce("bad", F.lit("completed")).alias("status"), level.alias("timeout_level"))
 
 
+# Decisions and replies by level of risk.
 DECISIONS = {"LOW": "审核通过", "MEDIUM_LOW": "有条件通过", "MEDIUM_HIGH": "需人工审核", "HIGH": "建议拒绝", "CRITICAL": "强制拒绝"}
 REPLIES = {"LOW": "可执行", "MEDIUM_LOW": "可执行（需关注）", "HIGH": "不可执行", "CRITICAL": "不可执行"}
 

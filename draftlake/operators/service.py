@@ -201,7 +201,7 @@ def cleaned_weights(weights: Column) -> Column:
 
 def context_blocks(hits: DataFrame) -> DataFrame:
     """(query_id, context, sources): the hits of each query in order, as numbered blocks of text, and
-    the chunks that they are from."""
+    the chunks that they are from. The words around them are fixed values."""
     section = F.when(F.coalesce("section_path", F.lit("")) != "", F.concat(F.lit("["), "section_path", F.lit("] "))).otherwise("")
     page = F.coalesce(F.col("page_num").cast("string"), F.lit("?"))
     block = F.concat(F.lit("**参考文档 "), F.col("rank"), F.lit("** "), section, F.lit("(第"), page, F.lit("页)\n"), "content")
@@ -211,7 +211,7 @@ def context_blocks(hits: DataFrame) -> DataFrame:
 
 
 def endorser_text(ticket: str = "ticket_number") -> Column:
-    """A version's new endorsers as a sentence for the index."""
+    """A version's new endorsers as a sentence for the index. Its words are fixed values."""
     some = lambda c: F.when(F.size(c) > 0, F.array_join(c, "、")).otherwise("无")
     day = F.date_format("upload_time", "yyyy-MM-dd")
     return F.concat(
