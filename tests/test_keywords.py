@@ -143,3 +143,22 @@ def test_append_reads_no_old_postings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "alive", lambda *a: pytest.fail("old postings were read"))
     index.append(spark.createDataFrame([("a", 1000, "w1")], CHUNKS))
     assert len(index.live()) == 2
+
+
+def test_postings_are_not_multiplied_by_other_tenants_queries(spark, monkeypatch):
+    monkeypatch.setattr(K, "QUERY_BLOCK", 2)
+    q = spark.createDataFrame([(10 * t + i, f"t{t}", "w", 1.0) for t in range(10) for i in range(2)], "query_id long, tenant string, token string, w double")
+    rows = [(f"t{t}", c, w, 1.0, 1.0) for t in range(10) for c in range(3) for w in ("w", "unasked")]
+    postings = spark.createDataFrame(rows, "tenant string, chunk_id long, token string, impact double, rate double")
+    sizes = spark.createDataFrame([(f"t{t}", 1) for t in range(10)], "tenant string, parts int")
+    K.shared_folder(spark)
+    found, each = K.best_in_parts(q, postings, sizes, 2)
+    assert each.count() == 30
+    assert found.count() == 40
+
+
+def test_texts_are_counted_once_for_their_postings(spark):
+    df = spark.createDataFrame([("a", 1, "w1 w2 w1"), ("a", 2, None), ("a", 3, "")], CHUNKS)
+    postings = K.postings_of(df, R.tokens)
+    assert sorted(map(tuple, postings.collect())) == [("a", 1, 3, "w1", 2), ("a", 1, 3, "w2", 1)]
+    assert postings._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
