@@ -49,10 +49,16 @@ def admissions(requests: DataFrame, tenants: DataFrame, seconds: int = 60, limit
     limits = tenants.select("tenant_id", F.col(limit_column).cast("long").alias("most")).where("most is not null")
     rows = requests.select("id", "tenant_id", t.alias("t")).where("t is not null").join(limits, "tenant_id")
     rows = rows.withColumn("hour", F.floor(F.col("t") / span))
-    # A window reaches over two hours of its own length, so a request visits its own and the next.
-    own_hour = lambda df: df.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("place", F.col("hour") + F.col("turn"))
-    window = Window.partitionBy("tenant_id", "place").orderBy("t")
-    offered = own_hour(rows).withColumn("offered", F.count("*").over(window.rangeBetween(1 - span, 0))).where("turn = 0").drop("turn", "place").checkpoint()
+    # A window reaches over two hours of its own length, so a request visits its own and the next
+    # (kinds 0 and 1), and its own once more at the moment its window begins (kind 2). What is inside
+    # is the difference of two running counts, so no row goes through its window.
+    visits = lambda df: df.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns(
+        {"place": F.col("hour") + F.when(F.col("kind") == 1, 1).otherwise(0), "at": F.col("t") - F.when(F.col("kind") == 2, span).otherwise(0)}
+    )
+    place, own = Window.partitionBy("tenant_id", "place"), F.col("kind") == 0
+    upto = F.count_if(F.col("kind") < 2).over(place.orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    counts = visits(rows).withColumn("upto", upto).where("kind <> 1")
+    offered = counts.groupBy(*rows.columns).agg(F.sum(F.when(own, F.col("upto")).otherwise(-F.col("upto"))).alias("offered")).checkpoint()
 
     # Runs of hours in which more is offered than allowed: one row for each such hour of a tenant.
     hours = offered.groupBy("tenant_id", "hour").agg(F.count("*").alias("n"), F.bool_or(F.col("offered") > F.col("most")).alias("busy")).where("busy")
@@ -87,11 +93,15 @@ def admissions(requests: DataFrame, tenants: DataFrame, seconds: int = 60, limit
     decided = None if done is None else done.where("not told").select("tenant_id", "id", "t", F.lit(True).alias("refused"))
     final = offered.withColumn("refused", F.lit(False)) if decided is None else offered.join(decided.distinct(), ["tenant_id", "id", "t"], "left")
     final = final.withColumn("admitted", ~F.coalesce("refused", F.lit(False)))
-    ties = Window.partitionBy("tenant_id", "place", "t").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    count = F.count_if(F.col("admitted"))
-    seen = own_hour(final).withColumns(
-        {"before": F.coalesce(count.over(window.rangeBetween(1 - span, -1)), F.lit(0)) + F.coalesce(count.over(ties), F.lit(0)), "oldest": F.min(F.when(F.col("admitted"), F.col("t"))).over(window.rangeBetween(1 - span, 0))}
-    ).where("turn = 0")
+    # At one time: requests by id, then beginnings of windows, which leave it out.
+    order = [F.col("at"), F.col("kind") == 2, F.col("id")]
+    told = F.col("admitted") & (F.col("kind") < 2)
+    earlier = F.count_if(told).over(place.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    oldest = F.min(F.when(told, F.col("at"))).over(place.orderBy(*(x.desc() for x in order)).rowsBetween(Window.unboundedPreceding, 0))
+    seen = visits(final).withColumns({"earlier": earlier, "later": oldest}).where("kind <> 1")
+    seen = seen.groupBy("id", "tenant_id", "t", "most", "admitted").agg(
+        F.sum(F.when(own, F.col("earlier")).otherwise(-F.col("earlier"))).alias("before"), F.max(F.when(~own & (F.col("later") <= F.col("t")), F.col("later"))).alias("oldest")
+    )
     left = F.when(F.col("admitted"), F.greatest(F.lit(0), F.col("most") - F.col("before") - 1)).otherwise(0)
     reset = F.when(F.col("admitted"), F.lit(span)).otherwise(F.coalesce(F.lit(span) - (F.col("t") - F.col("oldest")), F.lit(span)))
     return seen.select("id", "tenant_id", "admitted", left.cast("long").alias("remaining"), reset.cast("long").alias("reset_in_us"))

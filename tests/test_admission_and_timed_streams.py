@@ -116,3 +116,10 @@ def test_flows_become_overdue_without_a_message(spark, files):
     assert sorted((f, level, ms - begin) for f, level, ms in got) == [
         (1, "OVERDUE", 300_000), (1, "URGENT", 120_000), (1, "WARNING", 60_000), (1, "WATCH", 30_000), (2, "WATCH", 40_000)
     ]
+
+
+def test_no_request_goes_through_its_window(spark, sf):
+    from draftlake.plans.queries import QUERIES
+
+    plan = QUERIES["admitted_requests"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -" not in plan
