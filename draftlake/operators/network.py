@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from draftlake.session import shared_folder
 
+#: Ways out of a node, on average, that a part of the edges keeps of a dense graph, the share of its
+#: edges that such a part may be at most, rounds in it, and parts that are tried one after another.
+PART_WAYS, PART_SHARE, PART_ROUNDS, PARTS = 4, 1 / 2, 8, 3
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, so that rounds do not add up to one long plan. (A
@@ -50,13 +55,15 @@ def _contracted(edges: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFram
     return outside.select("key", "src", "dst").unionByName(short).distinct(), members, rings
 
 
-def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _coloured(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(components, rest): each node takes the greatest name that reaches it as its colour; those of
     a colour that also reach the node of that name are its component. rest: edges inside a colour
-    between nodes that are in no component yet."""
+    between nodes that are in no component yet. With ``rounds`` both ways stop after so many: nodes
+    of a component still reach each other, but it may lack some."""
+    counted = lambda: itertools.count() if rounds is None else range(rounds)
     nodes = edges.select("key", F.col("src").alias("node")).unionByName(edges.select("key", F.col("dst").alias("node"))).distinct()
     colour = _kept(nodes.withColumn("colour", F.col("node")))
-    while True:
+    for _ in counted():
         told = edges.join(colour.withColumnRenamed("node", "src"), ["key", "src"]).groupBy("key", F.col("dst").alias("node")).agg(F.max("colour").alias("told"))
         after = colour.join(told, ["key", "node"], "left").select("key", "node", F.greatest("colour", "told").alias("colour"), F.coalesce(F.col("told") > F.col("colour"), F.lit(False)).alias("moved"))
         after = _kept(after)
@@ -67,7 +74,7 @@ def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     inside = _kept(both.where("a = b").select("key", "src", "dst", F.col("a").alias("colour")))
     reached = _kept(colour.where("node = colour").select("key", "node", F.col("colour").alias("component")))
     border = reached
-    while True:
+    for _ in counted():
         near = inside.join(border.select("key", F.col("node").alias("dst")), ["key", "dst"], "left_semi").select("key", F.col("src").alias("node"), F.col("colour").alias("component")).distinct()
         border = _kept(near.join(reached, ["key", "node"], "left_anti"))
         if border.isEmpty():
@@ -79,6 +86,45 @@ def _coloured(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reached.join(several, ["key", "component"]).select("key", "node", "component"), rest.select("key", "src", "dst")
 
 
+def _gathered(live: DataFrame, number: int = 0) -> DataFrame | None:
+    """(key, node, component) of nodes that reach each other by a part of the edges alone; component
+    is the name of one of them. None if the graph has too few edges to a node for such a part, or
+    if it tells nothing.
+
+    In a dense graph a few ways out of each node hold most of a component together, so rounds need
+    not go over all edges. The part is chosen by a hash of the edge; ``number`` chooses another.
+    """
+    node = lambda end: F.approx_count_distinct(F.struct("key", end))
+    n = live.agg(F.approx_count_distinct(F.struct("key", "src", "dst")).alias("edges"), F.greatest(node("src"), node("dst")).alias("nodes")).first()
+    share = PART_WAYS * n["nodes"] / max(1, n["edges"])
+    if share > PART_SHARE:
+        return None
+    scale = 1 << 20
+    part = live.where(F.pmod(F.xxhash64(F.lit(number), "src", "dst"), F.lit(scale)) < int(share * scale)).where("src <> dst").distinct()
+    # Rounds go over numbers, which are smaller than names. Nodes with a way in and a way out have one;
+    # the greatest, which colours spread from, are those with the most ways.
+    part = _kept(part)
+    ways = [part.groupBy("key", F.col(end).alias("name")).agg(F.count("*").alias(f"{end}_ways")) for end in ("src", "dst")]
+    nodes = ways[0].join(ways[1], ["key", "name"]).orderBy(F.least("src_ways", "dst_ways"))
+    nodes = _kept(nodes.select("key", "name", F.monotonically_increasing_id().alias("node")))
+    for end in ("src", "dst"):
+        part = part.join(nodes.select("key", F.col("name").alias(end), F.col("node").alias(f"{end}_number")), ["key", end])
+    part = _kept(part.select("key", F.col("src_number").alias("src"), F.col("dst_number").alias("dst")))
+    groups = _coloured(part, PART_ROUNDS)[0]
+    named = groups.join(nodes, ["key", "node"]).select("key", "component", F.col("name").alias("member"))
+    named = _kept(named.join(nodes.select("key", F.col("node").alias("component"), F.col("name").alias("label")), ["key", "component"]).select("key", F.col("member").alias("node"), F.col("label").alias("component")))
+    return None if named.isEmpty() else named
+
+
+def _merged(live: DataFrame, groups: DataFrame) -> DataFrame:
+    """The distinct edges that are left between nodes when those of a group become one."""
+    for end in ("src", "dst"):
+        name = groups.select("key", F.col("node").alias(end), F.col("component").alias("now")).hint("shuffle_hash")
+        # Distinct after either end: most of a dense graph's edges are one by then.
+        live = live.join(name, ["key", end], "left").withColumn(end, F.coalesce("now", end)).select("key", "src", "dst").where("src <> dst").distinct()
+    return live
+
+
 def strong_components(edges: DataFrame, key: str = "graph_key") -> DataFrame:
     """(key, party, component, size) of all parties on a cycle of an edge table (key, src, dst).
 
@@ -90,10 +136,31 @@ def strong_components(edges: DataFrame, key: str = "graph_key") -> DataFrame:
     doubled, so long ones take few rounds); and where neither changes anything, colours are spread
     along what is left and come back. Only the last takes as many rounds as the longest shortest
     way between branching nodes. All rounds are joins and groups over edges or nodes.
+
+    Before that, nodes that a part of a dense graph's edges already shows to be of one component
+    become one node, and so do the edges between them; the rounds go over all edges that are left.
     """
-    live = _kept(edges.select(F.col(key).alias("key"), "src", "dst").where("key is not null and src is not null and dst is not null").distinct())
-    loops = live.where("src = dst").select("key", F.col("src").alias("node"), F.col("src").alias("component"))
+    live = _kept(edges.select(F.col(key).alias("key"), "src", "dst").where("key is not null and src is not null and dst is not null"))
+    loops = _kept(live.where("src = dst").select("key", F.col("src").alias("node"), F.col("src").alias("component")).distinct())
     live = live.where("src <> dst")
+    merged = []
+    while len(merged) < PARTS and (groups := _gathered(live, len(merged))) is not None:
+        merged.append(groups)
+        live = _kept(_merged(live, groups))
+    known = _kept(_components(live.distinct()))
+    for groups in reversed(merged):
+        # A node of a group is where the group's name is; the others stay.
+        outer = known.select("key", F.col("node").alias("component"), F.col("component").alias("outer"))
+        inside = groups.join(outer, ["key", "component"], "left").select("key", "node", F.coalesce("outer", "component").alias("component"))
+        known = _kept(known.join(groups.select("key", "node"), ["key", "node"], "left_anti").unionByName(inside))
+    known = _kept(known.unionByName(loops.join(known.select("key", "node"), ["key", "node"], "left_anti")))
+    names = known.groupBy("key", "component").agg(F.min("node").alias("name"), F.count("*").alias("size"))
+    return known.join(names, ["key", "component"]).select(F.col("key").alias(key), F.col("node").alias("party"), F.col("name").alias("component"), "size")
+
+
+def _components(live: DataFrame) -> DataFrame:
+    """(key, node, component) of the nodes that reach each other by distinct edges (key, src, dst)
+    between different nodes, by rounds as ``strong_components`` says."""
     found, chains = [], []
     while True:
         live = _kept(live)
@@ -117,7 +184,7 @@ def strong_components(edges: DataFrame, key: str = "graph_key") -> DataFrame:
         else:
             components, live = _coloured(live)
             found.append(components)
-    known = loops.limit(0)
+    known = live.select("key", F.col("src").alias("node"), F.col("src").alias("component")).where("false")
     for part in found:
         known = known.unionByName(part)
     known = _kept(known)
@@ -129,12 +196,24 @@ def strong_components(edges: DataFrame, key: str = "graph_key") -> DataFrame:
         head = known.select("key", F.col("node").alias("head"), "component")
         tail = known.select("key", F.col("node").alias("tail"), "component")
         known = _kept(known.unionByName(members.join(head, ["key", "head"]).join(tail, ["key", "tail", "component"]).select("key", "node", "component")))
-    known = _kept(known.unionByName(loops.join(known.select("key", "node"), ["key", "node"], "left_anti")))
-    names = known.groupBy("key", "component").agg(F.min("node").alias("name"), F.count("*").alias("size"))
-    return known.join(names, ["key", "component"]).select(F.col("key").alias(key), F.col("node").alias("party"), F.col("name").alias("component"), "size")
+    return known
 
 
 def has_cycle(edges: DataFrame, key: str = "graph_key") -> DataFrame:
-    """(key, has_cycle) for each graph of an edge table (key, src, dst)."""
-    cyclic = strong_components(edges, key).select(key, F.lit(True).alias("c")).distinct()
-    return edges.select(key).distinct().join(cyclic, key, "left").select(key, F.coalesce("c", F.lit(False)).alias("has_cycle"))
+    """(key, has_cycle) for each graph of an edge table (key, src, dst).
+
+    A part of a graph's edges that holds a cycle settles it; graphs without such a part, or whose
+    part holds none, are looked at with all their edges.
+    """
+    every = _kept(edges.select(F.col(key).alias("key"), "src", "dst"))
+    live = every.where("key is not null and src is not null and dst is not null")
+    cyclic = live.where("src = dst").select("key").distinct()
+    groups = _gathered(live)
+    if groups is not None:
+        cyclic = cyclic.unionByName(groups.select("key")).distinct()
+    cyclic, keys = _kept(cyclic), _kept(every.select("key").distinct())
+    open_ = keys.where("key is not null").join(cyclic, "key", "left_anti")
+    if not open_.isEmpty():
+        rest = strong_components(live.join(open_, "key", "left_semi"), "key").select("key")
+        cyclic = cyclic.unionByName(rest).distinct()
+    return keys.join(cyclic.withColumn("c", F.lit(True)), "key", "left").select(F.col("key").alias(key), F.coalesce("c", F.lit(False)).alias("has_cycle"))

@@ -60,6 +60,22 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert [tuple(r) for r in got] == [("k", "n00000", 1001, 1001)] and len(rounds) < 40
 
 
+def test_dense_graphs_go_through_a_part_of_their_edges(spark, monkeypatch):
+    """Rounds see less than all edges; parties that only the other edges hold together are found too."""
+    seen, coloured = [], N._coloured
+    monkeypatch.setattr(N, "_coloured", lambda edges, *a: seen.append(edges.count()) or coloured(edges, *a))
+    r = random.Random(5)
+    rows = [(g, f"n{i:02}", f"n{j:02}") for g in "ab" for i in range(40) for j in range(40) if i != j and r.random() < 0.7]
+    # Two dense halves that one edge each way joins, a way in and a way out, and a dense graph without a cycle.
+    rows += [("c", f"{h}{i:02}", f"{h}{j:02}") for h in "xy" for i in range(30) for j in range(30) if i != j]
+    rows += [("c", "x00", "y00"), ("c", "y07", "x09"), ("c", "in", "x03"), ("c", "y03", "out"), ("c", "x01", "x01"), ("c", "out", "out")]
+    rows += [("d", f"n{i:02}", f"n{j:02}") for i in range(40) for j in range(i + 1, 40)] + [(None, "a", "a")]
+    df = spark.createDataFrame(rows, EDGES)
+    assert sorted(map(tuple, N.strong_components(df).collect())) == sorted(reachable([x for x in rows if None not in x]))
+    assert seen and max(seen) < len(rows) / 2
+    assert sorted(map(tuple, N.has_cycle(df).collect()), key=str) == [("a", True), ("b", True), ("c", True), ("d", False), (None, False)]
+
+
 class Reader(HTMLParser):
     """Text blocks and table cells by the standard library's events."""
 
