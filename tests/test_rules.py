@@ -189,3 +189,20 @@ def test_streams_into_tables(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     X.into_chunks(stream, C.chunk_documents, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_long_texts_are_split_a_slice_at_a_time(spark):
+    import pyarrow as pa
+
+    from draftlake.operators import chunking as C
+
+    texts = ["a" * 300, None, "", "b" * 5000, "票" * 100, *["c" * 90] * 50, None]
+    parts = [p.to_pylist() for p in C.slices(pa.array(texts), 1000)]
+    assert sum(parts, []) == texts and len(parts) > 5
+    assert all(sum(len((t or "").encode()) for t in p[1:]) < 1000 for p in parts)
+    assert list(C.slices(pa.array([], pa.string()))) == []
+    long = "word " * 30_000
+    rows = [(i, 0, [long, None, "", "one two three"][i % 4], "text") for i in range(40)]
+    got = C.chunk_documents(spark.createDataFrame(rows, "doc_id int, element_idx int, content string, element_type string"), least=1).groupBy("doc_id").count().collect()
+    said = {i: len(C.split_text(t or "", 512, 64)) for i, _, t, _ in rows}
+    assert dict(map(tuple, got)) == {i: n for i, n in said.items() if n}
