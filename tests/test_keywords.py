@@ -187,6 +187,22 @@ def test_only_asked_tokens_leave_the_texts(spark):
     df = spark.createDataFrame(rows, CHUNKS).coalesce(1)
     assert sorted(map(tuple, K.postings_of(df, R.tokens, ["w1", "w9"]).collect())) == [("a", 1, 3, "w1", 2), ("b", 5, 3, "w1", 1)]
     K.shared_folder(spark)
-    terms, stats = K.term_totals(df, R.tokens)
+    terms, stats, spread = K.term_totals(df, R.tokens)
     assert {(r.tenant_id, r.token): r.df for r in terms.collect()} == {("a", "w1"): 1, ("a", "w2"): 1, (None, "w3"): 1, ("b", "w1"): 1, ("b", "k"): 1, ("b", "票"): 1}
     assert {r.tenant_id: (r.n_docs, r.total, r.read) for r in stats.collect()} == {"a": (2, 3, 1), "b": (2, 3, 2), None: (1, 1, 1), "c": (1, None, 0)}
+    assert {(r.tenant_id, r.df): r.n for r in spread.groupBy("tenant_id", "df").agg(F.sum("n").alias("n")).collect()} == {("a", 1): 2, (None, 1): 1, ("b", 1): 3}
+    terms, _, spread = K.term_totals(df, R.tokens, ["w1", "k"])
+    assert sorted(map(tuple, terms.collect())) == [("a", "w1", 1), ("b", "k", 1), ("b", "w1", 1)] and spread.agg(F.sum("n")).first()[0] == 6
+
+
+def test_a_chunk_of_a_search_is_one_row(spark, monkeypatch):
+    """Shuffled rows do not grow with the words of a chunk; blocks of queries see all of them."""
+    monkeypatch.setattr(K, "QUERY_BLOCK", 2)
+    rows, queries = corpus(60), [(i, f"w1 w{i} w{i + 9}") for i in range(12)]
+    chunks, asked = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(queries, "query_id long, query string")
+    packed = K.packed_postings(chunks, R.tokens, ["w1", "w2", "w3"])
+    assert packed.count() == sum(bool({"w1", "w2", "w3"} & set(x.split())) for _, _, x in rows)
+    seen, best = [], K.best_in_parts
+    monkeypatch.setattr(K, "best_in_parts", lambda *a, **b: (seen.append(b.get("only")), best(*a, **b))[1])
+    assert told(R.bm25_search(asked, chunks, 5)) == plain_search(rows, queries, 5)
+    assert sorted(seen[0]) == sorted({w for _, x in queries for w in x.split()})
