@@ -1,5 +1,7 @@
 """Rules at their bounds, on rows written here."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from draftlake.functions import exprs as E
@@ -102,6 +104,15 @@ def test_grades(spark):
     assert [(r.grade, r.hit_count) for r in got] == [("SUFFICIENT", 3), ("PARTIAL", 1), ("INSUFFICIENT", 0), ("INSUFFICIENT", 0)]
 
 
+def test_mean_scores_are_exact_whatever_their_order(spark):
+    r = random.Random(1)
+    # Four scores of six digits whose mean lies just between two of six digits.
+    scores = [x for x in ([r.randrange(10**6) for _ in range(4)] for _ in range(800)) if sum(x) % 4 == 2]
+    hits = spark.createDataFrame([(i, x / 1e6) for i, four in enumerate(scores) for x in four], "query_id int, score double")
+    got = {r.query_id: r.mean_score for r in R.retrieval_quality(hits, hits).collect()}
+    assert got == {i: (sum(four) // 4 + 1) / 1e6 for i, four in enumerate(scores)}
+
+
 def test_fusion_order(spark):
     legs = [(1, "d", 0, "a"), (1, "d", 1, "b"), (1, "s", 0, "b"), (1, "s", 1, "c")]
     got = R.rrf_fuse(spark.createDataFrame(legs, "query_id int, leg string, rank int, id string"), {"d": 1.0, "s": 1.0}).orderBy("rank").collect()
