@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlake.operators import audit as A
+from draftlake.operators.keywords import SENT
 from draftlake.operators.stats import histogram, numbered
+from draftlake.session import shared_folder
 
 
 def visible(df: DataFrame, tenant: Column | None, status: str | None = None) -> DataFrame:
@@ -60,8 +62,16 @@ def rate_limits(requests: DataFrame, tenants: DataFrame, seconds: int) -> DataFr
 
 
 def with_metadata(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
-    """Hits with their chunks' columns; hits whose chunk is gone are dropped."""
-    return hits.join(chunks.select("tenant_id", "chunk_id", *columns), ["tenant_id", "chunk_id"])
+    """Hits with their chunks' columns; hits whose chunk is gone are dropped.
+
+    Hits of at most ``SENT`` bytes are sent to the chunks, so that these, with their texts, are joined
+    where they are read and only those that are hit are shuffled after.
+    """
+    shared_folder(hits.sparkSession)
+    hits = hits.checkpoint()
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8) for c, kind in hits.dtypes), F.lit(32))
+    few = (hits.agg(F.sum(size)).first()[0] or 0) <= SENT
+    return (F.broadcast(hits) if few else hits).join(chunks.select("tenant_id", "chunk_id", *columns), ["tenant_id", "chunk_id"])
 
 
 def histories(versions: DataFrame) -> DataFrame:

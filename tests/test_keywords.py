@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from draftlake.functions import segment as S
 from draftlake.operators import keywords as K
 from draftlake.operators import retrieval as R
+from draftlake.operators import service as V
 
 
 def best_cut(run, weights, single):
@@ -206,3 +207,19 @@ def test_a_chunk_of_a_search_is_one_row(spark, monkeypatch):
     monkeypatch.setattr(K, "best_in_parts", lambda *a, **b: (seen.append(b.get("only")), best(*a, **b))[1])
     assert told(R.bm25_search(asked, chunks, 5)) == plain_search(rows, queries, 5)
     assert sorted(seen[0]) == sorted({w for _, x in queries for w in x.split()})
+
+
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_texts_of_hits_are_joined_where_they_are_read(spark, monkeypatch, sent):
+    monkeypatch.setattr(V, "SENT", sent)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "z"), (None, 3, "n")], CHUNKS)
+        hits = [(7, "a", 1, 1), (8, "a", 1, 2), (7, "b", 1, 1), (7, "b", 9, 2), (9, None, 3, 1), (9, "a", 2, 3)]
+        found = V.with_metadata(spark.createDataFrame(hits, "query_id long, tenant_id string, chunk_id long, rank int"), chunks, "content")
+        assert sorted((r.query_id, r.tenant_id, r.rank, r.content) for r in found.collect()) == [(7, "a", 1, "x"), (7, "b", 1, "z"), (8, "a", 2, "x"), (9, "a", 3, None)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" in plan) == (sent == 0)
+        assert V.with_metadata(found.drop("content").where("rank > 9"), chunks, "content").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
