@@ -211,7 +211,7 @@ def test_a_chunk_of_a_search_is_one_row(spark, monkeypatch):
 
 @pytest.mark.parametrize("sent", [32 << 20, 0])
 def test_texts_of_hits_are_joined_where_they_are_read(spark, monkeypatch, sent):
-    monkeypatch.setattr(V, "SENT", sent)
+    monkeypatch.setattr(V, "SENT", sent, raising=False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         chunks = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "z"), (None, 3, "n")], CHUNKS)
@@ -223,3 +223,22 @@ def test_texts_of_hits_are_joined_where_they_are_read(spark, monkeypatch, sent):
         assert V.with_metadata(found.drop("content").where("rank > 9"), chunks, "content").count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_of_a_search_are_cut_once(spark):
+    """One cutting serves statistics and postings, and what it gave is not kept after the search."""
+    cut = spark.sparkContext.accumulator(0)
+
+    def told_pieces(texts):
+        cut.add(sum("mark" in (x or "") for x in texts.to_pylist()))
+        return S.pieces(texts)
+
+    rows = [("ab"[i % 3 == 0], i, f"mark rare{i % 8} " + "w " * (i % 5)) for i in range(120)] + [("a", 500, None), (None, 501, "rare1 mark")]
+    chunks, queries = spark.createDataFrame(rows, CHUNKS), [(i, f"rare{i} rare{i}") for i in range(8)]
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = told(R.bm25_search(spark.createDataFrame(queries, "query_id long, query string"), chunks, 3, S.Words(told_pieces)).where("tenant_id is not null"))
+    assert cut.value == 121 and len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+    assert found == plain_search([x for x in rows if x[0]], queries, 3)
+    # No query has a token.
+    empty = spark.createDataFrame([(1, ""), (2, None)], "query_id long, query string")
+    assert told(R.bm25_search(empty, spark.createDataFrame(rows[:9], CHUNKS), 3)) == plain_search(rows[:9], [(1, ""), (2, "")], 3)
