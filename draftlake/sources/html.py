@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,26 @@ BLOCKS = frozenset(
 )
 #: As browsers do, a cell spans so many columns and rows at most.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Between words HTML's white space and the no-break space become one space; at the ends of a text spaces of any kind go.
+WHITE, SPACES = "\t\n\f\r\xa0", " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def single(parts: list[str]) -> str:
+    text = "".join(parts)
+    for c in WHITE:
+        text = text.replace(c, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(SPACES)
+
+
+def unescape(text: str, references: Sequence[tuple[str, str]] | None) -> str:
+    """``references`` (name, character) are read one after another; None: all of HTML's, as browsers do."""
+    if references is None:
+        return html.unescape(text)
+    for name, character in references if "&" in text else ():
+        text = text.replace(name, character)
+    return text
 
 
 class Table:
@@ -57,7 +77,7 @@ class Table:
             for parts, down, across in row:
                 while at in grid[i]:
                     at += 1
-                text = " ".join("".join(parts).split())
+                text = single(parts)
                 for line in grid[i : i + down]:
                     for j in range(at, at + across):
                         line.setdefault(j, text)
@@ -66,15 +86,15 @@ class Table:
         return [[line.get(j, "") for j in range(width)] for line in grid if width]
 
 
-def elements_of(page: str) -> list[tuple[str, str | None, list[list[str]] | None]]:
-    """(kind, text, grid) of a page. Tables may stand in cells of others and may never be closed: an
+def elements_of(page: str, references: Sequence[tuple[str, str]] | None = None) -> list[tuple[str, str | None, list[list[str]] | None]]:
+    """(kind, text, grid) of a page, its texts by ``unescape``. Tables may stand in cells of others and may never be closed: an
     inner one is an element of its own behind the outer one, whose cell does not have its text."""
     out: list[tuple[str, str | None, Table | None]] = []
     held: list[str] = []
     tables: list[Table] = []
 
     def flush() -> None:
-        text = " ".join("".join(held).split())
+        text = single(held)
         held.clear()
         if text:
             out.append(("text", text, None))
@@ -82,7 +102,7 @@ def elements_of(page: str) -> list[tuple[str, str | None, list[list[str]] | None
     for token in TOKEN.finditer(page):
         if token["text"] is not None:
             cell = tables[-1].cell if tables else None
-            (held if cell is None else cell).append(html.unescape(token["text"]))
+            (held if cell is None else cell).append(unescape(token["text"], references))
             continue
         tag = (token["tag"] or "").lower()
         cell = tables[-1].cell if tables else None
@@ -107,11 +127,12 @@ def elements_of(page: str) -> list[tuple[str, str | None, list[list[str]] | None
     return [(kind, text, table.grid() if table else None) for kind, text, table in out if not table or table.grid()]
 
 
-def html_elements(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
+def html_elements(pages: DataFrame, key: str = "page_id", page: str = "html", references: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(key, element_idx, element_type, content, cells) of all elements of pages, in reading order.
 
     Text has content, white space between its words made single; a table has cells, rows of equal
-    width. Scripts, styles and comments have none. Null and empty pages give no rows.
+    width. Scripts, styles and comments have none. Null and empty pages give no rows. ``references``
+    are the character references that are read, in their order; None: all that HTML has.
     """
     kind = dict(pages.dtypes)[key]
     names = ["key", "element_idx", "element_type", "content", "cells"]
@@ -120,7 +141,7 @@ def html_elements(pages: DataFrame, key: str = "page_id", page: str = "html") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
-                if rows := elements_of(text.as_py()):
+                if rows := elements_of(text.as_py(), references):
                     columns = [pa.array(x, t) for x, t in zip((range(len(rows)), *zip(*rows, strict=True)), types, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(rows)), *columns], names)
 

@@ -3,10 +3,12 @@
 import random
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from draftlake.operators import network as N
 from draftlake.operators import service as V
+from draftlake.plans.queries import ORACLES, QUERIES
 from draftlake.sources import html as H
 
 EDGES = "graph_key string, src string, dst string"
@@ -189,3 +191,21 @@ def test_spans_cells_and_markdown(spark):
     assert {r.doc_id: r.method for r in V.table_choice(tables).collect()} == {1: "lattice", 5: "stream"}
     [stats] = H.parse_stats(found, tables).collect()
     assert stats.asDict() == {"text_pages": 1, "ocr_pages": 3, "text_elements": 4, "tables_lattice": 1, "tables_stream": 1, "tables_fallback": 0}
+
+
+@pytest.mark.parametrize("name", ["page_elements", "page_parse_stats"])
+def test_cut_references_and_odd_spaces_as_the_sql(spark, tmp_path, name):
+    """Titles are cut within references; spaces that HTML does not know stay between words."""
+    whole = ["&copy;", "&middot;", "&nbsp;", "&lt;", "&gt;", "&quot;", "&amp;", "&amp;lt;", "&eacute;", "&#39;"]
+    cut = [x[:n] for x in whole for n in range(1, len(x) + 1)]
+    spaces = [*" \t\n\f\r\v\x1c\x85\xa0\u2003\u2028\u3000"]
+    pages = [f"<title>token = {x}</title><h1>{x}<br>{x}x</h1><p>{'y' * 36} {x}" for x in cut]
+    pages += [f"<title>{x}a{x}b{x}</title><p>{x}</p><p>c {x} d" for x in spaces]
+    rows = [(i, f"http://host{i}.example/", page) for i, page in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    said = con.sql(ORACLES[name])
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*said.columns).collect())) == sorted(said.fetchall())
+    # All of HTML's references are read where none are named.
+    assert H.elements_of("<p>&eacute; &quot &#39;")[0][1] == "é \" '"
